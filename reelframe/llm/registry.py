@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, toxicity, transport_stream
+from reelframe.llm import context_tree, license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, toxicity, transport_stream
 from reelframe.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
