@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import context_tree, license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, toxicity, transport_stream
+from reelframe.llm import context_tree, license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, suffix_dedup, toxicity, transport_stream
 from reelframe.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.grouped_documents(table(spark, sf_dir, "documents")).drop("row")
 
