@@ -89,3 +89,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def with_text(documents: DataFrame, *more) -> DataFrame:
     """doc_id, text and the named columns only, so that nothing else is read or sent to Python."""
     return documents.select("doc_id", *more, F.col("text").cast("string").alias("text"))
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """All columns and __row, the number that operators give the rows of the same table."""
+    return documents.withColumn("__row", F.monotonically_increasing_id())
+
+
+def only(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose number is in rows (column row)."""
+    return numbered(documents).join(rows.select(F.col("row").alias("__row")), "__row", "left_semi").drop("__row")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, gather, pieces, with_text
+from reelframe.llm.common import checkpointed, gather, only, pieces, with_text
 from reelframe.llm.components import components
 from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, homed, unpack
 from reelframe.llm.textstats import Words, mix, salted, windows
@@ -200,14 +200,21 @@ def _open(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def grouped_documents(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row per input row: row, doc_id, n_shingles, component_id."""
+    """A row per input row: row, doc_id, n_shingles, component_id, group (a row number that names the component)."""
     sets = shingled(documents, size, percent)
     _, edges = links(sets, percent)
     roots = components(edges)
     classes = sets.filter(F.size("shared") > 0).groupBy("high", "low").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"))
     rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.select("high", "low", "root").join(least, "root").select("high", "low", "component_id")
+    by_set = rooted.select("high", "low", "root").join(least, "root").select("high", "low", "component_id", F.col("root").alias("group"))
     own = sets.select("row", "doc_id", "n_shingles", "high", "low", (F.size("shared") > 0).alias("open"))
-    out = own.filter("open").join(by_set, ["high", "low"]).select("row", "doc_id", "n_shingles", "component_id")
-    return out.unionByName(own.filter("not open").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = own.filter("open").join(by_set, ["high", "low"]).select("row", "doc_id", "n_shingles", "component_id", "group")
+    return out.unionByName(own.filter("not open").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("group")))
+
+
+def representatives(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Of each component the document with the smallest doc_id (the first row of it), with all its columns."""
+    found = grouped_documents(documents, size, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    return only(documents, found.groupBy("group").agg(F.min_by("row", order).alias("row")))

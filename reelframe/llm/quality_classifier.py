@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, fold, pieces, with_text
+from reelframe.llm.common import checkpointed, fold, only, pieces, with_text
 from reelframe.llm.textstats import Words, salted
 
 THRESHOLD = 0.3
@@ -144,3 +144,8 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
     out = stats.mapInArrow(score, "row long, doc_id long, score double")
     return out.select("row", "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the classifier doesn't reject, with all their columns."""
+    return only(documents, scored(documents, labels, threshold).filter("predicted = 1"))

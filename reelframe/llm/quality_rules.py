@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, pieces, with_text
+from reelframe.llm.common import checkpointed, only, pieces, with_text
 from reelframe.llm.textstats import Words, prefix_hashes, salted, span_hashes, windows, mix
 
 MIN_DOCUMENTS = 20
@@ -125,3 +125,8 @@ def assess(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: floa
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
         .select("row", "doc_id", *counts, "removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
     )
+
+
+def accepted(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = HOST_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
+    """The documents that the rules keep, with all their columns and their whole texts."""
+    return only(documents, assess(documents, min_documents, share, min_kept).filter("kept"))

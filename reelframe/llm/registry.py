@@ -19,17 +19,17 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.grouped_documents(table(spark, sf_dir, "documents")).drop("row")
+    return ngram_join.grouped_documents(table(spark, sf_dir, "documents")).drop("row", "group")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

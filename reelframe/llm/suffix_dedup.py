@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, flat_bytes, gather, pieces, with_text
+from reelframe.llm.common import checkpointed, flat_bytes, gather, numbered, pieces, with_text
 from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, homed, unpack
 from reelframe.llm.textstats import mix, prefix_hashes, span_hashes
 
@@ -387,23 +387,18 @@ def cut(data: bytes, removed: list[dict]) -> bytes:
     return b"".join(out)
 
 
-def with_texts(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with their spans: row and all columns, and spans."""
-    return documents.withColumn("row", F.monotonically_increasing_id()).join(found.select("row", "spans"), "row")
-
-
 def cleaned(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with text cut and n_chars counted anew; characters that a cut splits lose their other bytes too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            kept = [t if t is None or not s else cut(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            kept = [t if t is None or not s else cut(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(texts, batch.column("__spans").to_pylist(), strict=True)]
             out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
-            yield out.select([n for n in out.schema.names if n not in ("row", "spans")])
+            yield out.select([n for n in out.schema.names if n not in ("__row", "__spans")])
 
-    joined = with_texts(documents, spans(documents, length))
-    out = joined.mapInArrow(rows, documents.schema)
+    found = spans(documents, length).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    out = numbered(documents).join(found, "__row").mapInArrow(rows, documents.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out
 
 
