@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from reelframe.plans import formats, streams
+
+MODULES = [formats, streams]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
