@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.plans import formats, streams
+from reelframe.plans import formats, sequences, streams, texts
 
-MODULES = [formats, streams]
+MODULES = [formats, streams, texts, sequences]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
