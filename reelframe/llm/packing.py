@@ -15,6 +15,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -22,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, gather, pieces, texts, with_text
+from reelframe.llm.common import checkpointed, gather, pieces, with_text
+from reelframe.llm.textstats import Words
 
 CAPACITY = 2048
 END_ID = 0
 GROUP = 20_000
 #: Distinct blank-separated chunks whose ids a worker keeps; beyond that it starts anew.
 KEPT_CHUNKS = 1_000_000
-_BLANKS = re.compile(r"[ \t\n\r]+")
+#: Chunks of these characters are cut into the vocabulary's words here, and only new words are encoded; all other chunks
+#: (and those that may hold a special token) go to the library whole.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
 class ChunkIds:
@@ -48,39 +53,54 @@ class ChunkIds:
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[bytes, int] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        for first in range(0, len(chunks), 8192):
-            some = chunks[first : first + 8192]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            need, known = self.used + int(size.sum()), len(self.at)
-            while need > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            while known + len(some) + 1 > len(self.starts):
-                self.starts = np.resize(self.starts, 2 * len(self.starts))
-            self.ids[self.used : need] = np.fromiter((i for x in found for i in x), np.uint32, need - self.used)
-            self.starts[known + 1 : known + 1 + len(some)] = self.used + np.cumsum(size)
-            self.at.update(zip(some, range(known, known + len(some)), strict=True))
-            self.used = need
-
-    def encode(self, many: list[str]) -> list[np.ndarray]:
+    def _library(self, many: list[str]) -> Iterator[tuple[int, ...]]:
+        for first in range(0, len(many), 8192):
+            yield from (tuple(x.ids) for x in self.tokenizer.encode_batch_fast(many[first : first + 8192], add_special_tokens=False))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        if len(self.parts) > KEPT_CHUNKS:
+            self.parts = {}
+        given = [c.decode() for c in chunks]
+        cut_up = [_PARTS.findall(c.lower()) if "<|" not in c and _PLAIN.fullmatch(c) else None for c in given]
+        new = sorted({p for parts in cut_up if parts for p in parts if p not in self.parts})
+        self.parts.update(zip(new, self._library(new), strict=True))
+        whole = self._library([c for c, parts in zip(given, cut_up, strict=True) if parts is None])
+        get = self.parts.__getitem__
+        found = [next(whole) if parts is None else get(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(get, parts))) for parts in cut_up]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        need, known = self.used + int(size.sum()), len(self.at)
+        while need > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while known + len(found) + 1 > len(self.starts):
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+        self.ids[self.used : need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
+        self.starts[known + 1 : known + 1 + len(found)] = self.used + np.cumsum(size)
+        self.at.update(zip(chunks, range(known, known + len(found)), strict=True))
+        self.used = need
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        chunked = [_BLANKS.split(x) for x in many]
         if len(self.at) > KEPT_CHUNKS:
+            known = self.parts
             self.reset()
-        new = {c for chunks in chunked for c in chunks if c not in self.at}
-        self._learn(sorted(new))
-        get, out = self.at.__getitem__, []
-        for chunks in chunked:
-            place = np.fromiter(map(get, chunks), np.int64, len(chunks))
-            starts = self.starts[place]
-            out.append(self.ids[gather(starts, self.starts[place + 1] - starts)])
-        return out
+            self.parts = known
+        words = Words(column)
+        _, first, inverse = np.unique(words.hashes(False), return_index=True, return_inverse=True)
+        data = words.flat.tobytes()
+        chunks = [data[i:j] for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
+        self._learn([c for c in chunks if c not in self.at])
+        place = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))[inverse]
+        starts = self.starts[place]
+        size = self.starts[place + 1] - starts
+        ids = self.ids[gather(starts, size)]
+        ends = np.append(0, np.cumsum(size))[np.append(words.first, len(words.starts))]
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, ChunkIds] = {}
@@ -102,7 +122,7 @@ def cut(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
         own = encoder(tokenizer)
         for batch in pieces(batches):
             found: list[tuple] = []
-            for row, doc, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), own.encode(texts(batch)), strict=True):
+            for row, doc, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
