@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.plans import formats, reports, sequences, streams, texts
+from reelframe.plans import formats, media, reports, sequences, streams, texts
 
-MODULES = [formats, streams, texts, sequences, reports]
+MODULES = [formats, streams, texts, sequences, reports, media]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
