@@ -11,6 +11,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Size units by powers of 1024.
 SIZE_UNITS = ["Byte", "KiB", "MiB", "GiB", "TiB", "PiB"]
@@ -20,7 +21,7 @@ ASPECT_NAMES = [(1.0, "1.000"), (1.2, "6:5"), (1.222, "11:9"), (1.25, "5:4"), (1
 NTSC_NUMERATORS = [24000, 30000, 60000, 48000, 120000]
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _fixed(values: pa.Array, decimals: pa.Array) -> pa.Array:
     return pa.array([None if v is None or d is None else f"{v:.{d}f}" for v, d in zip(values.to_pylist(), decimals.to_pylist(), strict=True)], pa.string())
 

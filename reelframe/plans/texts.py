@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.functions import text as f
-from reelframe.functions.formatters import thousands  # noqa: F401
 from reelframe.sources.tables import table
 
-_REGION = F.element_at(F.array(*map(F.lit, ("", "-us", "_BR", "-Latn"))), (F.col("doc_id") % 4 + 1).cast("int"))
 _CODES = "VALUES " + ", ".join(f"('{a}', '{t}', '{b}', '{n}')" for a, t, b, n in f.LANGUAGES)
 _LANGUAGES = f"l AS (SELECT DISTINCT unnest([a, t, b]) AS code, a, t, n FROM ({_CODES}) AS v(a, t, b, n))"
 _TAGGED = f"WITH {_LANGUAGES}, d AS (SELECT doc_id, lang || ['', '-us', '_BR', '-Latn'][doc_id % 4 + 1] AS tag FROM documents UNION ALL SELECT doc_id + 1000000, ['ger', 'xx-yy', 'FRA', 'q'][doc_id % 4 + 1] FROM documents), u AS (SELECT *, lower(regexp_extract(tag, '^([^-_]*)', 1)) AS base, upper(regexp_extract(tag, '^[^-_]*[-_](.*)$', 1)) AS region FROM d), v AS (SELECT u.*, code, a, t, n, CASE WHEN region <> '' THEN '-' || region ELSE '' END AS tail FROM u LEFT JOIN l ON base = code)"
@@ -18,7 +16,8 @@ _TAGGED = f"WITH {_LANGUAGES}, d AS (SELECT doc_id, lang || ['', '-us', '_BR', '
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     odd = F.element_at(F.array(*map(F.lit, ("ger", "xx-yy", "FRA", "q"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return d.select("doc_id", F.concat("lang", _REGION).alias("tag")).unionByName(d.select((F.col("doc_id") + 1_000_000).alias("doc_id"), odd.alias("tag")))
+    region = F.element_at(F.array(*map(F.lit, ("", "-us", "_BR", "-Latn"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return d.select("doc_id", F.concat("lang", region).alias("tag")).unionByName(d.select((F.col("doc_id") + 1_000_000).alias("doc_id"), odd.alias("tag")))
 
 
 def q_language_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
