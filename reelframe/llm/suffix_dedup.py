@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.llm.common import checkpointed, flat_bytes, gather, numbered, pieces, with_text
-from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, homed, unpack
+from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_of, bucket_rows, buckets_for, chunk_name, homed, unpack
 from reelframe.llm.textstats import mix, prefix_hashes, span_hashes
 
 LENGTH = 200
@@ -38,6 +38,7 @@ ANCHOR = 100
 CHUNK_RUNS = 1_000_000
 CHUNK_BYTES = 6 << 20
 _BUCKET = 24
+_UNSENT = (1 << 32) - 1
 _OTHER = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -91,7 +92,7 @@ def _pack_runs(buckets: int, length: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = chunk_name(number)
-            starts, sizes, doc, least, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+            sizes, doc, least, whole = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((whole, least))
             a, b = least[order], whole[order]
             new = np.ones(len(a), bool)
@@ -105,13 +106,15 @@ def _pack_runs(buckets: int, length: int):
             sent = head | tail  # at most two distinct runs of a minimizer
             group = np.cumsum(head) - 1
             more = (np.bincount(group) > 2)[group] if len(key) else head
-            entry = np.empty(len(a), np.int64)
-            entry[order] = np.where(sent, np.arange(len(key)), -1)[entry_of_sorted] if len(key) else entry
-            number_of = np.flatnonzero(sent).astype(np.uint32)
-            flags = number_of | again[sent].astype(np.uint32) << np.uint32(31) | more[sent].astype(np.uint32) << np.uint32(30)
+            entry = np.empty(len(a), np.uint32)
+            entry[order] = np.where(sent, np.cumsum(sent) - 1, _UNSENT).astype(np.uint32)[entry_of_sorted] if len(key) else entry
+            flags = again[sent].astype(np.uint8) | more[sent].astype(np.uint8) << np.uint8(1)
             texts = np.concatenate(tables)
-            body = np.stack([doc, starts, sizes, entry], 1).astype(np.int64)
-            yield batch_of([(chunk, -1, np.concatenate([[len(texts)], texts.ravel()]).astype(np.int64).tobytes(), body.astype(np.uint32).tobytes(), b"".join(shas))])
+            # A text's runs follow each other without gaps, so their sizes say where each begins.
+            counts = np.bincount(doc, minlength=len(texts))
+            firsts_of = np.searchsorted(bucket_of(key[sent], buckets), np.arange(buckets))
+            head_ = np.concatenate([[len(texts)], np.column_stack([texts, counts]).ravel(), firsts_of]).astype(np.int64)
+            yield batch_of([(chunk, -1, head_.tobytes(), sizes.astype(np.uint8).tobytes() + entry.tobytes(), b"".join(shas))])
             out = bucket_rows(chunk, buckets, key[sent], run[sent], flags)
             for i in range(0, len(out), 64):
                 yield batch_of(out[i : i + 64])
@@ -123,8 +126,8 @@ def _pack_runs(buckets: int, length: int):
             tables.append(np.stack([batch.column("row").to_numpy(), known.fill_null(0).to_numpy(), known.is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets)], 1))
             view = memoryview(np.ascontiguousarray(flat))
             shas += [hashlib.sha256(view[i:j]).digest() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            held.append((starts - offsets[:-1][doc] if len(doc) else starts, sizes, doc + documents, least, whole))
-            total, documents = total + len(starts), documents + len(offsets) - 1
+            held.append((sizes, doc + documents, least, whole))
+            total, documents = total + len(sizes), documents + len(offsets) - 1
             if total >= CHUNK_RUNS:
                 yield from flush()
                 held, tables, shas, total, documents, number = [], [], [], 0, 0, number + 1
@@ -137,7 +140,7 @@ def _pack_runs(buckets: int, length: int):
 def _judge_runs(rows: list[dict]) -> Iterator[Answer]:
     """Code of each run: 1 goes on, 2 recurs as a whole, 3 both (the first copy of one that recurs)."""
     sizes = [len(r["a"]) // 8 for r in rows]
-    key, run, flags = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint32)))
+    key, run, flags = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint8)))
     order = np.lexsort((np.arange(len(key)), run, key))
     a, b, f = key[order], run[order], flags[order]
     new_key = np.ones(len(a), bool)
@@ -145,15 +148,15 @@ def _judge_runs(rows: list[dict]) -> Iterator[Answer]:
     new = new_key.copy()
     new[1:] |= b[1:] != b[:-1]
     pair, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-    again = (np.bincount(pair) > 1) | (np.bincount(pair, weights=f >> np.uint32(31)) > 0)
-    mixed = (np.bincount(group[new]) > 1) | (np.bincount(group, weights=f >> np.uint32(30) & np.uint32(1)) > 0)
+    again = (np.bincount(pair) > 1) | (np.bincount(pair, weights=f & 1) > 0)
+    mixed = (np.bincount(group[new]) > 1) | (np.bincount(group, weights=f & 2) > 0)
     code = np.where(again[pair], np.where(mixed[group] & new, 3, 2), np.where(mixed[group], 1, 0)).astype(np.uint8)
     out = np.empty(len(code), np.uint8)
     out[order] = code
     ends = np.cumsum(sizes)
     for r, i, j in zip(rows, ends - sizes, ends, strict=True):
         if (told := np.flatnonzero(out[i:j])).size:
-            yield r["chunk"], r["bucket"], out[i:j][told].tobytes(), (flags[i:j][told] & np.uint32((1 << 30) - 1)).tobytes(), b""
+            yield r["chunk"], r["bucket"], out[i:j][told].tobytes(), told.astype(np.uint32).tobytes(), b""
 
 
 MARKED = "row long, doc_id long, n_bytes long, sha256 string, starts array<long>, sizes array<int>, codes array<int>, deep boolean"
@@ -161,23 +164,25 @@ MARKED = "row long, doc_id long, n_bytes long, sha256 string, starts array<long>
 
 def _mark(chunk: str, payload: dict, answers: list[dict]) -> Iterator[pa.RecordBatch]:
     head = unpack(payload["a"], np.int64)
-    texts = head[1:].reshape(-1, 4)
-    total = max((int(unpack(r["b"], np.uint32).max()) for r in answers), default=-1) + 1
-    raw = payload["b"]
-    sha = payload["c"]
-    body = unpack(raw, np.uint32).reshape(-1, 4).astype(np.int64)
-    body[body[:, 3] == (1 << 32) - 1, 3] = -1
-    code_of = np.zeros(max(total, int(body[:, 3].max(initial=-1)) + 1) + 1, np.uint8)
+    texts, first_entry = head[1 : 1 + 5 * head[0]].reshape(-1, 5), head[1 + 5 * head[0] :]
+    raw, sha = payload["b"], payload["c"]
+    total = len(raw) // 5
+    size, entry = unpack(raw[:total], np.uint8).astype(np.int64), unpack(raw[total:], np.uint32).astype(np.int64)
+    text_of = np.repeat(np.arange(len(texts)), texts[:, 4])
+    start = np.cumsum(size) - size
+    start = start - np.repeat(start[np.minimum(np.cumsum(texts[:, 4]) - texts[:, 4], total - 1)], texts[:, 4]) if total else start
+    code_of = np.zeros(int(entry[entry != _UNSENT].max(initial=-1)) + 1, np.uint8)
     for r in answers:
-        code_of[unpack(r["b"], np.uint32)] = unpack(r["a"], np.uint8)
-    code = np.where(body[:, 3] < 0, 1, code_of[body[:, 3]])
+        code_of[first_entry[r["bucket"]] + unpack(r["b"], np.uint32)] = unpack(r["a"], np.uint8)
+    code = np.ones(total, np.uint8)  # runs that weren't sent go on
+    code[entry != _UNSENT] = code_of[entry[entry != _UNSENT]]
     threes = np.flatnonzero(code == 3)  # one copy is enough
     if len(threes):
-        _, first = np.unique(body[threes, 3], return_index=True)
+        _, first = np.unique(entry[threes], return_index=True)
         code[threes] = 2
         code[threes[first]] = 3
     used = code > 0
-    doc, starts, sizes, code = body[used, 0], body[used, 1], body[used, 2], code[used]
+    doc, starts, sizes, code = text_of[used], start[used], size[used], code[used]
     counts = np.bincount(doc, minlength=len(texts))
     bounds = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
     deep = np.bincount(doc, weights=code != 2, minlength=len(texts)) > 0
