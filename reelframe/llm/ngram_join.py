@@ -34,9 +34,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of a chunk; a task with more begins another chunk.
 CHUNK = 4_000_000
-ROUNDS = 8
-_PARTS = 16
-DOCUMENTS = "row long, doc_id long, n_shingles long, high long, low long, shared array<long>, prefix array<long>, first long"
+ROUNDS = 6
+#: 64-bit words of the parity bits of a set.
+_WORDS = 16
+DOCUMENTS = "row long, doc_id long, n_shingles long, high long, low long, shared array<long>, prefix array<long>, first long, parity array<long>"
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +68,7 @@ def _pack(buckets: int, size: int):
             chunk = chunk_name(number)
             value, doc = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(value, kind="stable")
-            value, doc = value[order], doc[order].astype(np.uint32)
+            value, doc = value[order], doc[order].astype(np.uint16 if documents < 1 << 16 else np.uint32)
             yield batch_of([(chunk, -1, np.concatenate(ids).tobytes(), b"", b"")])
             out = bucket_rows(chunk, buckets, value, doc)
             for i in range(0, len(out), 64):
@@ -103,7 +104,12 @@ def _count(rows: list[dict]) -> Iterator[Answer]:
     for r, i, j in zip(rows, ends - sizes, ends, strict=True):
         shared = np.flatnonzero(frequency[i:j] > 1)
         if len(shared):
-            yield r["chunk"], r["bucket"], keys[i:j][shared].tobytes(), unpack(r["b"], np.uint32)[shared].tobytes(), frequency[i:j][shared].tobytes()
+            yield r["chunk"], r["bucket"], keys[i:j][shared].tobytes(), _places(r)[shared].tobytes(), frequency[i:j][shared].tobytes()
+
+
+def _places(row: dict) -> np.ndarray:
+    """A chunk's document numbers, of two or four bytes each."""
+    return unpack(row["b"], np.uint16 if len(row["b"]) * 4 == len(row["a"]) else np.uint32)
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -116,7 +122,8 @@ def _assemble(percent: int):
         table = unpack(payload["a"], np.int64).reshape(-1, 6)
         n = table[:, 3]
         join = lambda name, kind: np.concatenate([unpack(r[name], kind) for r in answers]) if answers else np.empty(0, kind)
-        key, doc, frequency = join("a", np.uint64), join("b", np.uint32).astype(np.int64), join("c", np.uint32)
+        key, frequency = join("a", np.uint64), join("c", np.uint32)
+        doc = np.concatenate([_places(r) for r in answers]).astype(np.int64) if answers else np.empty(0, np.int64)
         order = np.lexsort((key, frequency, doc))
         key, doc = key[order], doc[order]
         shared = np.bincount(doc, minlength=len(n))
@@ -125,11 +132,14 @@ def _assemble(percent: int):
         starts = np.cumsum(shared) - shared
         open_ = prefix > 0
         array = lambda sizes: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(open_, sizes, 0))).astype(np.int32)), pa.array(key[gather(starts[open_], sizes[open_])].view(np.int64)))
-        for i in [0]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(table[:, 0]), pa.array(table[:, 1], mask=table[:, 2] > 0), pa.array(n), pa.array(table[:, 4]), pa.array(table[:, 5]), array(shared), array(prefix), pa.array(n - shared)],
-                ["row", "doc_id", "n_shingles", "high", "low", "shared", "prefix", "first"],
-            )
+        bits = np.zeros((len(n), _WORDS), np.uint64)
+        place = key >> np.uint64(64 - _WORDS.bit_length() + 1 - 6)
+        np.bitwise_xor.at(bits, (doc, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+        parity = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(open_, _WORDS, 0))).astype(np.int32)), pa.array(bits[open_].ravel().view(np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(table[:, 0]), pa.array(table[:, 1], mask=table[:, 2] > 0), pa.array(n), pa.array(table[:, 4]), pa.array(table[:, 5]), array(shared), array(prefix), pa.array(n - shared), parity],
+            ["row", "doc_id", "n_shingles", "high", "low", "shared", "prefix", "first", "parity"],
+        )
 
     return rows
 
@@ -145,53 +155,69 @@ def _linked(percent: int, common: Column) -> Column:
     return 100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
     """Of pairs (a, b), those that link by their whole sets."""
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"set_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked(percent, F.size(F.array_intersect("set_a", "set_b")))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked(percent, F.size(F.array_intersect("set_a", "set_b")))).select("a", "b", *more)
+
+
+def _distance(a: str, b: str) -> Column:
+    """At least so many shingles stand in one of two sets only: unique ones, and parity bits of shared ones that differ."""
+    bits = sum((F.bit_count(F.col(f"{a}w{k}").bitwiseXOR(F.col(f"{b}w{k}"))) for k in range(1, _WORDS)), F.bit_count(F.col(f"{a}w0").bitwiseXOR(F.col(f"{b}w0"))))
+    return bits + F.col(f"{a}first") + F.col(f"{b}first")
+
+
+def _possible(percent: int, a: str, b: str) -> Column:
+    """The length filter and the suffix filter: whether two classes' sizes and Hamming distance allow a link."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (n_a + n_b - _distance(a, b) >= 2 * _overlap(percent, n_a, n_b))
+
+
+def _overlap(percent: int, n_a: Column, n_b: Column) -> Column:
+    """Common shingles that a link needs."""
+    return F.ceil(F.lit(percent) * (n_a + n_b) / (100 + percent))
 
 
 def links(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(classes of the documents that may have partners: cid, n, shared, ...; links a, b between them)."""
     named = documents.filter(F.size("shared") > 0).groupBy("high", "low").agg(F.min("row").alias("row"))
-    sets = checkpointed(documents.join(named.select("row"), "row", "left_semi").select(F.col("row").alias("cid"), F.col("n_shingles").alias("n"), "shared", "prefix", "first", *(_part(k).alias(f"part{k}") for k in range(_PARTS))))
-    prefixes = checkpointed(sets.select("cid", "n", "first", F.posexplode("prefix").alias("place", "token")).select("cid", "n", "token", (F.col("first") + F.col("place")).alias("place")))
+    words = [F.get("parity", F.lit(k)).alias(f"w{k}") for k in range(_WORDS)]
+    sets = checkpointed(documents.join(named.select("row"), "row", "left_semi").select(F.col("row").alias("cid"), F.col("n_shingles").alias("n"), "shared", "prefix", "first", *words))
+    size = sets.count()
+    carried = ["cid", "n", "first", *(f"w{k}" for k in range(_WORDS))]
+    prefixes = checkpointed(sets.select(*carried, F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("first") + F.col("place")))
     found: DataFrame | None = None
     labels = sets.select("cid", F.col("cid").alias("label"))
     open_ = _open(prefixes, labels)
     for k in range(rounds):
-        pivot = open_.groupBy("token").agg(F.min_by(F.struct("cid", "label", "n"), F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("cid", F.lit(k)))).alias("p"))
-        short = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.col("label") != F.col("p.label"))
-        pairs = open_.join(pivot, "token").filter(short).groupBy("cid").agg(F.min_by(F.col("p.cid"), F.xxhash64("p.label", F.lit(k))).alias("pivot"))
-        new = checkpointed(_verified(pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct(), sets, percent))
+        pivot = open_.groupBy("token").agg(F.min_by(F.struct("label", *carried), F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("cid", F.lit(k)))).alias("p"))
+        pivot = pivot.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("label", *carried)))
+        near = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", *carried))).join(pivot, "token").filter((F.col("o_label") != F.col("p_label")) & _possible(percent, "o_", "p_"))
+        pairs = near.groupBy(F.col("o_cid").alias("a")).agg(F.min_by(F.struct("p_cid", "p_label"), F.xxhash64("p_label", F.lit(k))).alias("p")).select("a", F.col("p.p_cid").alias("b"), F.col("p.p_label").alias("taken"))
+        new = checkpointed(_verified(pairs, sets, percent, "taken"))
         got = new.count()
         if got:
-            found = new if found is None else checkpointed(found.unionAll(new))
+            edges = new.select("a", "b")
+            found = edges if found is None else found.unionAll(edges)
+            # A class takes its partner's label, which names a class of the same component; equal labels stay safe.
+            labels = checkpointed(labels.join(new.select(F.col("a").alias("cid"), "taken"), "cid", "left").select("cid", F.coalesce("taken", "label").alias("label")))
+        last = k == rounds - 1 or got * 100 < size
+        if last and found is not None:
             roots = components(found)
             labels = sets.select("cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("label"))
+        if got or last:
             open_ = _open(prefixes, labels)
-        if got * 50 < sets.count():  # the exact join has the rest
+        if last:  # the exact join has the rest
             break
-    left, right = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "place", "label"))) for s in "ab")
-    least = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    rest = F.lit(1) + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) - 1
-    candidates = (
-        left.join(right, "token").filter((F.col("cid_a") < F.col("cid_b")) & (F.col("label_a") != F.col("label_b")))
-        .filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (rest >= least))
-        .select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"), "n_a", "n_b").distinct()
-    )
-    part = lambda s: sets.select(F.col("cid").alias(s), *(F.col(f"part{k}").alias(f"{s}{k}") for k in range(_PARTS)))
-    bound = sum((F.least(f"a{k}", f"b{k}") for k in range(1, _PARTS)), F.least("a0", "b0"))
-    near = candidates.join(part("a"), "a").join(part("b"), "b").filter(bound >= least).select("a", "b")
-    rest_links = checkpointed(_verified(near, sets, percent))
+    left, right = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("label", "place", *carried))) for s in "ab")
+    # From the first common prefix shingle on, both sets have to hold what a link needs: the positional filter.
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    differ = (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label"))
+    candidates = left.join(right, "token").filter(differ & (rest >= _overlap(percent, F.col("a_n"), F.col("b_n"))) & _possible(percent, "a_", "b_"))
+    rest_links = checkpointed(_verified(candidates.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), sets, percent))
     return sets, rest_links if found is None else found.unionAll(rest_links)
 
 
-def _part(k: int) -> Column:
-    """Shared shingles in one of the equal parts of the hash space: the suffix filter's counts between fixed pivots."""
-    return F.size(F.filter("shared", lambda x: F.shiftrightunsigned(x, 60) == k))
-
-
 def _open(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     """Prefix rows of shingles whose classes have more than one label."""
     rows = prefixes.join(labels, "cid")
