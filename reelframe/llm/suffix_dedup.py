@@ -36,7 +36,9 @@ LENGTH = 200
 ANCHOR = 100
 #: Runs, and bytes of sorted text, after which a task begins another chunk.
 CHUNK_RUNS = 1_000_000
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
+#: Text bytes whose minimizers are found at once.
+PIECE = 2 << 20
 _BUCKET = 24
 _UNSENT = (1 << 32) - 1
 _OTHER = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -119,7 +121,7 @@ def _pack_runs(buckets: int, length: int):
             for i in range(0, len(out), 64):
                 yield batch_of(out[i : i + 64])
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             flat, offsets = flat_bytes(batch.column("text"))
             starts, sizes, doc, least, whole = runs(flat, offsets, length)
             known = batch.column("doc_id")
