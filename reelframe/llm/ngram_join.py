@@ -33,7 +33,7 @@ from reelframe.llm.textstats import Words, mix, salted, windows
 SHINGLE = 5
 PERCENT = 80
 #: Shingles of a chunk; a task with more begins another chunk.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 ROUNDS = 6
 #: 64-bit words of the parity bits of a set.
 _WORDS = 16
