@@ -135,3 +135,24 @@ def _any(text: Column, phrases: list[str]) -> Column:
     for p in phrases:
         out = out | text.contains(f" {p} ")
     return out
+
+
+def oracle_sql(min_score: float = MIN_SCORE) -> str:
+    """The same scan in DuckDB's SQL, for tables with one row per doc_id."""
+    quoted = ", ".join(f"('{w}', {t}, {p}, {x!r}::DOUBLE, {str(r).lower()})" for w, t, p, x, r in index())
+    names = ", ".join(f"({t}, '{label}')" for t, (label, _, _) in enumerate(TEMPLATES))
+    phrases = ", ".join(f"({t}, '{p}')" for t, (_, _, own) in enumerate(TEMPLATES) for p in own)
+    base = " UNION ALL ".join("SELECT doc_id, place, '{1}' AS label FROM n WHERE {0}".format(" AND ".join(f"w{k} = '{w}'" for k, w in enumerate(p.split())), label) for p, label in BASE_PHRASES)
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(translate(coalesce(text, ''), 'İK', 'ǂǂ')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM w),
+n AS (SELECT doc_id, place, word AS w0, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+b AS ({base}),
+c AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS base FROM b GROUP BY doc_id),
+k AS (SELECT DISTINCT doc_id, template FROM w, (VALUES {phrases}) AS v(template, phrase) WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ')),
+i AS (SELECT * FROM (VALUES {quoted}) AS v(word, template, position, weight, rare)),
+h AS (SELECT u.doc_id, i.template, sum(weight) AS score FROM u JOIN i USING (word) JOIN k ON k.doc_id = u.doc_id AND k.template = i.template GROUP BY u.doc_id, i.template, place - position HAVING sum(weight) >= {min_score} AND bool_or(rare)),
+f AS (SELECT doc_id, list(DISTINCT label) AS more, max(score) AS best FROM h JOIN (VALUES {names}) AS v(template, label) USING (template) GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, round(coalesce(best, 0), 6)) END AS score
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)"""

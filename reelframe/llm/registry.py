@@ -61,4 +61,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The licence scan is the one operator that plain SQL over text and words expresses whole."""
+    return {"op9_license_scan": license_scan.oracle_sql()}

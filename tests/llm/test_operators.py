@@ -355,3 +355,15 @@ def test_transport_stream_survives_damage():
         transport_stream.read_stream(bytes(bad[: r.randrange(len(bad))]))
     for n in range(1, 400):
         assert transport_stream.described(transport_stream.write_stream(b"x" * n))[0] == b"x" * n
+
+
+def test_license_scan_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    name = "/root/testdata/sf0.001/documents.parquet"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{name}'")
+    result = connection.execute(license_scan.oracle_sql())
+    columns = [d[0] for d in result.description]
+    got = license_scan.scanned(spark.read.parquet(name))
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(map(repr, (r[c] for c in columns))) for r in got.collect()) == sorted(tuple(map(repr, r)) for r in result.fetchall())
