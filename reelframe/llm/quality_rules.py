@@ -1,10 +1,10 @@
 """Quality rules: cross-document line frequency over the counts of whole texts.
 
 Lines are normalised (words, A-Z lower-cased, single blanks) and hashed. A line is counted for each distinct document
-of a host (column source) that holds it. Two documents count as one when the smallest hash among their other
-lines is the same, so exact and near copies of one text never make its own lines look like page furniture.
-Lines found in at least max(min_documents, share * documents of the host) distinct documents are removed; a document
-that keeps less than min_kept of its words is depleted and rejected.
+of a host (column source) that holds it. Two documents count as one when their sets of lines are the same, so exact
+copies of a text never make its own lines look like page furniture; documents that differ in any line count each.
+Lines found in at least max(min_documents, share * distinct documents of the host) distinct documents are removed; a
+document that keeps less than min_kept of its words is depleted and rejected.
 
 Defined results: a null or empty text has no words and fails the base rules; null hosts form one host; repeated rows
 are kept, each with its own result, and count once in line counts; other columns are ignored; an empty table gives an
@@ -28,7 +28,7 @@ HOST_SHARE = 0.01
 MIN_KEPT = 0.3
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
-SCHEMA = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, least long, second long, lines array<struct<line: long, words: int>>"
+SCHEMA = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_set long, lines array<struct<line: long, words: int>>"
 
 
 def line_stats(words: Words) -> dict[str, np.ndarray]:
@@ -78,13 +78,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(batch.column("text"))
         s = line_stats(words)
         bounds = np.searchsorted(s["line_doc"], np.arange(words.n + 1)).astype(np.int32)
-        count = np.diff(bounds)
-        padded = np.append(s["line"], [0, 0])
-        least, second = padded[bounds[:-1]], padded[np.minimum(bounds[:-1] + 1, len(padded) - 1)]
+        total = np.zeros(len(s["line"]) + 1, np.uint64)
+        np.cumsum(mix(s["line"].view(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)), out=total[1:])
+        line_set = (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
         lines = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(s["line"]), pa.array(s["line_words"])], ["line", "words"]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), batch.column("source"), *(pa.array(s[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(least, mask=count < 1), pa.array(second, mask=count < 2), lines],
-            ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "least", "second", "lines"],
+            [batch.column("row"), batch.column("doc_id"), batch.column("source"), *(pa.array(s[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(line_set), lines],
+            ["row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_set", "lines"],
         )
 
 
@@ -96,20 +96,19 @@ def document_lines(documents: DataFrame) -> DataFrame:
 
 def frequent_lines(stats: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = HOST_SHARE) -> DataFrame:
     """(host, line) of lines above the limit of their host."""
-    lines = _exploded(stats)
-    other = F.when(F.col("line") == F.col("least"), F.col("second")).otherwise(F.col("least"))
     counted = (
-        lines.select("host", "line", F.coalesce(other, F.lit(0)).alias("other"))
-        .groupBy("host", "line", "other").agg(F.lit(1).alias("one"))
+        _exploded(stats)
+        .groupBy("host", "line", "line_set").agg(F.lit(1).alias("one"))
         .groupBy("host", "line").agg(F.count("one").alias("documents"))
         .filter(F.col("documents") >= min_documents)
     )
-    hosts = stats.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_documents"))
+    distinct = stats.select(F.coalesce("host", F.lit("")).alias("host"), "line_set").distinct()
+    hosts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
     return counted.join(hosts, "host").filter(F.col("documents") >= share * F.col("host_documents")).select("host", "line")
 
 
 def _exploded(stats: DataFrame) -> DataFrame:
-    return stats.select("row", F.coalesce("host", F.lit("")).alias("host"), "least", "second", F.explode("lines").alias("x")).select("row", "host", "least", "second", "x.line", "x.words")
+    return stats.select("row", F.coalesce("host", F.lit("")).alias("host"), "line_set", F.explode("lines").alias("x")).select("row", "host", "line_set", "x.line", "x.words")
 
 
 def assess(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = HOST_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:

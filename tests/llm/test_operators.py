@@ -184,6 +184,24 @@ def test_frequent_lines_are_counted_per_host_and_copies_once(spark):
     assert removed[0] == 6 and removed[100] == 0 and removed[200] == 6
 
 
+def test_frequent_lines_count_distinct_documents_by_brute_force(spark):
+    shared = [f"menu entry number {j} of the site" for j in range(10)]
+    rows = [(k, "\n".join([*shared, f"only page {k} says this"]), "a") for k in range(100)]
+    rows += [(200 + k, "\n".join(shared[j] for j in range(10) if k >> j & 1), "b") for k in range(1, 60)]
+    rows += [(300 + k, "\n".join(f"page {k % 40} line {j}" for j in range(3)) + ("\nrare footer" if k % 40 < 3 else ""), "c") for k in range(400)]
+    want = set()
+    for host in "abc":
+        sets = {frozenset(t.split("\n")) for _, t, h in rows if h == host}
+        counts = collections.Counter(x for s in sets for x in s)
+        want |= {(host, x) for x, n in counts.items() if n >= max(3, 0.05 * len(sets))}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stats = quality_rules.document_lines(frame)
+    got = quality_rules.frequent_lines(stats, 3, 0.05).groupBy("host").count().collect()
+    assert {r["host"]: r["count"] for r in got} == dict(collections.Counter(h for h, _ in want))
+    removed = {r.doc_id: r.removed_words for r in quality_rules.assess(frame, 3, 0.05).collect()}
+    assert removed == {k: sum(len(x.split(" ")) for x in set(t.split("\n")) if (h, x) in want) for k, t, h in rows}
+
+
 def test_toxicity_scores(spark, docs, rows, none):
     out = toxicity.scored(docs, labels(spark, rows)).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
