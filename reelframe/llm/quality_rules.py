@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, only, pieces, with_text
+from reelframe.llm.common import checkpointed, numbered, pieces, with_text
 from reelframe.llm.textstats import Words, prefix_hashes, salted, span_hashes, windows, mix
 
 MIN_DOCUMENTS = 20
@@ -31,6 +31,22 @@ _SYMBOLS[list(b"#*$%&|<>")] = True
 SCHEMA = "row long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_set long, lines array<struct<line: long, words: int>>"
 
 
+def line_places(words: Words) -> tuple[np.ndarray, ...]:
+    """Of each line with words: its first byte and the end, its row, its first word and the hash of its normalised form."""
+    breaks = np.flatnonzero(words.flat == 10)
+    line_starts = np.unique(np.concatenate([words.offsets[:-1], breaks + 1]))
+    line_of = np.searchsorted(line_starts, words.starts, "right") - 1
+    used, first_word = np.unique(line_of, return_index=True)
+    doc_of = words.doc[first_word]
+    starts = line_starts[used]
+    stops = np.minimum(words.offsets[1:][doc_of], np.append(breaks, len(words.flat))[np.searchsorted(breaks, starts)])
+    lowered = words.hashes(True)
+    place = (np.arange(len(lowered)) - np.repeat(first_word, np.diff(np.append(first_word, len(lowered))))).astype(np.uint64)
+    value = mix(lowered + place * np.uint64(0xA24BAED4963EE407))
+    line = mix(np.add.reduceat(value, first_word) if len(first_word) else np.empty(0, np.uint64)).view(np.int64)
+    return starts, stops, doc_of, first_word, line
+
+
 def line_stats(words: Words) -> dict[str, np.ndarray]:
     """The five counts of each row, and its distinct normalised lines."""
     n, flat = words.n, words.flat
@@ -48,21 +64,11 @@ def line_stats(words: Words) -> dict[str, np.ndarray]:
         held[again + k] = True
     out["n_repeat_words"] = np.bincount(words.doc[held[: len(words.starts)]], minlength=n).astype(np.int64)
 
-    breaks = np.flatnonzero(flat == 10)
-    line_starts = np.unique(np.concatenate([words.offsets[:-1], breaks + 1]))
-    line_of = np.searchsorted(line_starts, words.starts, "right") - 1
-    used, first_word = np.unique(line_of, return_index=True)
-    doc_of = words.doc[first_word]
-    starts = line_starts[used]
-    stops = np.minimum(words.offsets[1:][doc_of], np.append(breaks, len(flat))[np.searchsorted(breaks, starts)])
+    starts, stops, doc_of, first_word, line = line_places(words)
     raw = np.unique(salted(span_hashes(exact, starts, stops), doc_of), return_index=True)[1]
     out["n_dup_lines"] = (np.bincount(doc_of, minlength=n) - np.bincount(doc_of[raw], minlength=n)).astype(np.int64)
 
-    lowered = words.hashes(True)
-    place = (np.arange(len(lowered)) - np.repeat(first_word, np.diff(np.append(first_word, len(lowered))))).astype(np.uint64)
-    value = mix(lowered + place * np.uint64(0xA24BAED4963EE407))
-    size = np.diff(np.append(first_word, len(lowered)))
-    line = mix(np.add.reduceat(value, first_word) if len(first_word) else np.empty(0, np.uint64)).view(np.int64)
+    size = np.diff(np.append(first_word, len(words.starts)))
     order = np.lexsort((line, doc_of))
     doc_s, line_s, size_s = doc_of[order], line[order], size[order]
     new = np.ones(len(order), bool)
@@ -113,8 +119,13 @@ def _exploded(stats: DataFrame) -> DataFrame:
 
 def assess(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = HOST_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
     """A row per input row: its counts, the words in removed lines, base_failed and kept."""
-    stats = document_lines(documents)
-    removed = _exploded(stats).join(frequent_lines(stats, min_documents, share), ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").cast("long").alias("removed_words"))
+    return _assessed(document_lines(documents), min_documents, share, min_kept).drop("removed_lines")
+
+
+def _assessed(stats: DataFrame, min_documents: int, share: float, min_kept: float, lines: bool = False) -> DataFrame:
+    """assess() of document_lines(), with the hashes of the removed lines where asked for, else null."""
+    gone = F.collect_list("line") if lines else F.lit(None).cast("array<long>")
+    removed = _exploded(stats).join(frequent_lines(stats, min_documents, share), ["host", "line"], "left_semi").groupBy("row").agg(F.sum("words").cast("long").alias("removed_words"), gone.alias("removed_lines"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_words") - F.col("removed_words") < min_kept * F.col("n_words")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -122,10 +133,37 @@ def assess(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: floa
         stats.select("row", "doc_id", *counts)
         .join(removed, "row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-        .select("row", "doc_id", *counts, "removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+        .select("row", "doc_id", *counts, "removed_words", "removed_lines", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
     )
 
 
+def without_lines(column: pa.Array, removed: pa.Array) -> pa.Array:
+    """The texts without the lines whose hashes are in removed; the other lines keep their bytes and order."""
+    words = Words(column)
+    starts, _, doc, _, line = line_places(words)
+    gone = removed.to_pylist()
+    pairs = [(d, x) for d, xs in enumerate(gone) for x in xs or ()]
+    rows, hashes = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+    dropped = set(starts[np.isin(salted(line.view(np.uint64), doc), salted(hashes.view(np.uint64), rows))].tolist())
+    out = column.to_pylist()
+    for d in np.unique(rows).tolist():
+        at, left = int(words.offsets[d]), []
+        for part in out[d].encode().split(b"\n"):
+            if at not in dropped:
+                left.append(part)
+            at += len(part) + 1
+        out[d] = b"\n".join(left).decode()
+    return pa.array(out, pa.string())
+
+
 def accepted(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = HOST_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
-    """The documents that the rules keep, with all their columns and their whole texts."""
-    return only(documents, assess(documents, min_documents, share, min_kept).filter("kept"))
+    """The documents that the rules keep, with all their columns, without the removed lines, and n_chars counted anew."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out = batch.set_column(batch.schema.get_field_index("text"), "text", without_lines(batch.column("text"), batch.column("__removed")))
+            yield out.select([n for n in out.schema.names if n not in ("__row", "__removed")])
+
+    found = _assessed(document_lines(documents), min_documents, share, min_kept, lines=True).filter("kept").select(F.col("row").alias("__row"), F.col("removed_lines").alias("__removed"))
+    out = numbered(documents).join(found, "__row").mapInArrow(rows, documents.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in documents.columns else out

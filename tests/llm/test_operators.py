@@ -202,6 +202,22 @@ def test_frequent_lines_count_distinct_documents_by_brute_force(spark):
     assert removed == {k: sum(len(x.split(" ")) for x in set(t.split("\n")) if (h, x) in want) for k, t, h in rows}
 
 
+def test_accepted_documents_lose_their_frequent_lines(spark):
+    menu = ["Home  About us", "über uns und mehr"]
+    body = lambda k: [" ".join(f"é{k}w{11 * j + i}" for i in range(11)) for j in range(6)]
+    rows = [(k, "\n".join([menu[0], "", *body(k)[:3], menu[1], *body(k)[3:], *[menu[0].upper()] * (k % 2)]), "h") for k in range(30)]
+    rows += [(100 + k, "\n".join([*menu * 25, f"tail {k} of it"]), "h") for k in range(5)] + [(200, "\n".join([*body(200), ""]), "h"), (201, None, "h"), (202, menu[0], None)]
+    frame = spark.createDataFrame([(*r, 0, "z") for r in rows], "doc_id long, text string, source string, n_chars long, more string")
+    got = quality_rules.accepted(frame)
+    assert got.columns == frame.columns
+    gone = {" ".join(x.translate(LOWER).split()) for x in menu}
+    want = {k: "\n".join(x for x in t.split("\n") if " ".join(x.translate(LOWER).split()) not in gone) for k, t, _ in rows if k < 100 or k == 200}
+    kept = {r.doc_id: r for r in got.collect()}
+    assert {k: r.text for k, r in kept.items()} == want
+    assert all(r.n_chars == len(r.text) and r.more == "z" and r.source == "h" for r in kept.values())
+    assert quality_rules.accepted(frame.limit(0)).count() == 0
+
+
 def test_toxicity_scores(spark, docs, rows, none):
     out = toxicity.scored(docs, labels(spark, rows)).collect()
     assert len(out) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
