@@ -2,7 +2,7 @@
 
 A file is scored by every registered format from its head, its extension and its size; candidates are tried by score,
 ties in registry order, and the first that parses gives the streams. An unknown file has its General row alone.
-Parsing reads at most CAP bytes of a file, so one task's memory doesn't follow file sizes.
+Detection reads the first HEAD bytes, parsing the whole file, which its row of binary content holds in memory anyway.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 Fields = dict[str, object]
 Streams = list[tuple[str, Fields]]
 HEAD = 64 * 1024
-CAP = 8 << 20
 SCHEMA = "file string, format string, score int, kind string, idx int, fields map<string,string>"
 
 
@@ -625,7 +624,7 @@ def parsed(name: str, data: bytes) -> tuple[str | None, int, Streams]:
     parsers = {n: p for n, _, p in REGISTRY}
     for format_, score in scores(data[:HEAD], ext, len(data)):
         try:
-            streams = parsers[format_](data[:CAP])
+            streams = parsers[format_](data)
         except (IndexError, struct.error, TypeError, ValueError, ZeroDivisionError, OverflowError, KeyError):
             streams = None  # damaged beyond what the format's checks foresee
         if streams is not None:

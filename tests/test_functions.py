@@ -89,6 +89,27 @@ def test_matroska_and_ogg_and_flv_and_avi():
     assert media.parsed("a.flv", flv)[2][1][1] | {} == {"Format": "AVC", "Duration": 200, "FrameCount": 5, "FrameRate": "25.000"}
 
 
+def test_files_are_parsed_beyond_eight_mebibytes():
+    import struct
+
+    from reelframe.plans import media as plans
+
+    big = 9 << 20
+    file = plans.build_mp4(320, 40)
+    start = file.index(b"moov") - 4
+    late = file[:start] + plans.box(b"mdat", bytes(big)) + file[start:]
+    want, got = media.parsed("a.mp4", file), media.parsed("a.mp4", late)
+    assert got[:2] == want[:2] and got[2][1:] == want[2][1:] and got[2][0][1]["FileSize"] == len(late)
+    page = lambda flags, granule, body: b"OggS\0" + bytes([flags]) + struct.pack("<qIII", granule, 7, 0, 0) + bytes([-(-len(body) // 255)]) + bytes([255] * (len(body) // 255) + ([len(body) % 255] if len(body) % 255 else [])) + body
+    pages = page(2, 0, b"OpusHead\1\2" + b"\0" * 9) + b"".join(page(0, 480 * k, bytes(60_000)) for k in range(1, 160))
+    assert len(pages) > big and media.parsed("a.ogg", pages)[2][1][1]["Duration"] == 10 * 159
+    tag = lambda time, body: bytes([9]) + len(body).to_bytes(3, "big") + time.to_bytes(3, "big") + b"\0\0\0\0" + body + b"\0\0\0\0"
+    flv = b"FLV\1\1\0\0\0\x09\0\0\0\0" + b"".join(tag(40 * k, b"\x17" + bytes(100_000)) for k in range(100))
+    assert media.parsed("a.flv", flv)[2][1][1]["FrameCount"] == 100
+    cue = "1\n00:00:01,000 --> 00:00:02,500\n" + "x" * 1000 + "\n\n"
+    assert media.parsed("a.srt", (cue * 10_000).encode())[2][1][1]["ElementCount"] == 10_000
+
+
 def test_subtitles_and_unknown_files(spark, tmp_path):
     (tmp_path / "a.srt").write_text("1\n00:00:01,000 --> 00:00:02,500\nhi\n\n2\n00:00:05,000 --> 00:00:04,000\nno\n")
     (tmp_path / "b.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nhi\n")
