@@ -4,11 +4,14 @@
    occur in two documents or more; the others can't be shared. Shingles are ordered by (frequency, hash), so these come
    after the document's unique ones, and a prefix that holds unique ones alone makes the document a class of its own.
 2. Documents with equal sets collapse into one class, named by its first row.
-3. Classes meet on prefix shingles. Star rounds come first: each class is verified against one partner per round, and
-   linked classes get one label; a shingle whose classes all share a label is done. What is left meets in an equi-join on
-   the prefix shingle of classes with different labels, under the length, positional and suffix filters, and
-   every pair is verified once. Rounds only save pairs inside an already linked group; no link between groups is lost.
-4. Links become components by stars over distributed links.
+3. Classes meet in an equi-join on prefix shingles, under the length, positional and suffix filters, and every pair is
+   verified once: all links between classes, also inside a component (linked_classes, grouped_documents).
+4. Links become components by stars over distributed links. A document's links are the other rows of its class and all
+   rows of the classes that its class links with.
+
+representatives() needs the components alone, so its star rounds come first (spanning_links): each class is verified
+against one partner per round, linked classes get one label, a shingle whose classes all share a label is done, and the
+equi-join has the pairs of different labels only. It joins the same components by fewer links.
 
 Two documents link when 100 * common >= percent * union. Defined results: a document without words (null, empty, or
 white space) has an empty set and its own component; null doc_ids get the smallest id of their component, or null;
@@ -37,6 +40,8 @@ CHUNK = 2_000_000
 ROUNDS = 6
 #: 64-bit words of the parity bits of a set.
 _WORDS = 16
+#: What a class carries along with each prefix shingle.
+CARRIED = ["cid", "n", "first", *(f"w{k}" for k in range(_WORDS))]
 DOCUMENTS = "row long, doc_id long, n_shingles long, high long, low long, shared array<long>, prefix array<long>, first long, parity array<long>"
 
 
@@ -79,8 +84,8 @@ def _pack(buckets: int, size: int):
             value, doc = shingle_sets(words, size)
             count = np.bincount(doc, minlength=words.n)
             bounds = np.cumsum(count) - count
-            full = np.append(value, np.uint64(0))
-            sums = [np.where(count > 0, np.add.reduceat(mix(full ^ np.uint64(salt)), bounds), 0) if words.n else np.empty(0, np.uint64) for salt in (0x51ED270B, 0x2545F4914F6CDD1D)]
+            full = lambda salt: np.append(mix(value ^ np.uint64(salt)), np.uint64(0))  # noqa: E731, B023
+            sums = [np.where(count > 0, np.add.reduceat(full(salt), bounds), 0) if words.n else np.empty(0, np.uint64) for salt in (0x51ED270B, 0x2545F4914F6CDD1D)]
             known = batch.column("doc_id")
             ids.append(np.stack([batch.column("row").to_numpy(), known.fill_null(0).to_numpy(), known.is_null().to_numpy(zero_copy_only=False).astype(np.int64), count, sums[0].astype(np.uint64).view(np.int64), sums[1].astype(np.uint64).view(np.int64)], axis=1))
             held.append((value, doc + documents))
@@ -178,21 +183,41 @@ def _overlap(percent: int, n_a: Column, n_b: Column) -> Column:
     return F.ceil(F.lit(percent) * (n_a + n_b) / (100 + percent))
 
 
-def links(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(classes of the documents that may have partners: cid, n, shared, ...; links a, b between them)."""
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes of the documents that may have partners (cid, n, shared, ...), and a row per prefix shingle of each."""
     named = documents.filter(F.size("shared") > 0).groupBy("high", "low").agg(F.min("row").alias("row"))
     words = [F.get("parity", F.lit(k)).alias(f"w{k}") for k in range(_WORDS)]
     sets = checkpointed(documents.join(named.select("row"), "row", "left_semi").select(F.col("row").alias("cid"), F.col("n_shingles").alias("n"), "shared", "prefix", "first", *words))
+    return sets, checkpointed(sets.select(*CARRIED, F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("first") + F.col("place")))
+
+
+def _exact(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every link (a, b), a < b, of classes with different labels that meet in rows of _open()."""
+    left, right = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("label", "place", *CARRIED))) for s in "ab")
+    # From the first common prefix shingle on, both sets have to hold what a link needs: the positional filter.
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    differ = (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label"))
+    candidates = left.join(right, "token").filter(differ & (rest >= _overlap(percent, F.col("a_n"), F.col("b_n"))) & _possible(percent, "a_", "b_"))
+    return checkpointed(_verified(candidates.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), sets, percent))
+
+
+def linked_classes(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every verified pair (a, b), a < b, of classes that link; documents: the rows of shingled()."""
+    sets, prefixes = _classes(documents)
+    return _exact(_open(prefixes, sets.select("cid", F.col("cid").alias("label"))), sets, percent)
+
+
+def spanning_links(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+    """Links (a, b) of classes, enough for the same components as all links have."""
+    sets, prefixes = _classes(documents)
     size = sets.count()
-    carried = ["cid", "n", "first", *(f"w{k}" for k in range(_WORDS))]
-    prefixes = checkpointed(sets.select(*carried, F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("first") + F.col("place")))
     found: DataFrame | None = None
     labels = sets.select("cid", F.col("cid").alias("label"))
     open_ = _open(prefixes, labels)
     for k in range(rounds):
-        pivot = open_.groupBy("token").agg(F.min_by(F.struct("label", *carried), F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("cid", F.lit(k)))).alias("p"))
-        pivot = pivot.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("label", *carried)))
-        near = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", *carried))).join(pivot, "token").filter((F.col("o_label") != F.col("p_label")) & _possible(percent, "o_", "p_"))
+        pivot = open_.groupBy("token").agg(F.min_by(F.struct("label", *CARRIED), F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("cid", F.lit(k)))).alias("p"))
+        pivot = pivot.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("label", *CARRIED)))
+        near = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", *CARRIED))).join(pivot, "token").filter((F.col("o_label") != F.col("p_label")) & _possible(percent, "o_", "p_"))
         pairs = near.groupBy(F.col("o_cid").alias("a")).agg(F.min_by(F.struct("p_cid", "p_label"), F.xxhash64("p_label", F.lit(k))).alias("p")).select("a", F.col("p.p_cid").alias("b"), F.col("p.p_label").alias("taken"))
         new = checkpointed(_verified(pairs, sets, percent, "taken"))
         got = new.count()
@@ -209,13 +234,8 @@ def links(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) ->
             open_ = _open(prefixes, labels)
         if last:  # the exact join has the rest
             break
-    left, right = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("label", "place", *carried))) for s in "ab")
-    # From the first common prefix shingle on, both sets have to hold what a link needs: the positional filter.
-    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    differ = (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label"))
-    candidates = left.join(right, "token").filter(differ & (rest >= _overlap(percent, F.col("a_n"), F.col("b_n"))) & _possible(percent, "a_", "b_"))
-    rest_links = checkpointed(_verified(candidates.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), sets, percent))
-    return sets, rest_links if found is None else found.unionAll(rest_links)
+    rest_links = _exact(open_, sets, percent)
+    return rest_links if found is None else found.unionAll(rest_links)
 
 
 def _open(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -225,22 +245,37 @@ def _open(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     return checkpointed(rows.join(mixed, "token", "left_semi"))
 
 
+def _members(sets: DataFrame) -> DataFrame:
+    """The classes: high, low, cid, the smallest doc_id and the number of rows."""
+    return sets.filter(F.size("shared") > 0).groupBy("high", "low").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
+
+
 def grouped_documents(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row per input row: row, doc_id, n_shingles, component_id, group (a row number that names the component)."""
+    """A row per input row: row, doc_id, n_shingles, component_id, group (a row number that names the component), n_links."""
     sets = shingled(documents, size, percent)
-    _, edges = links(sets, percent)
+    edges = linked_classes(sets, percent)
+    classes = checkpointed(_members(sets))
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(classes.select(F.col("cid").alias("b"), "members"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("members").alias("beside"))
+    counted = classes.join(beside, "cid", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("beside", F.lit(0)))
+    return _grouped(sets, counted, edges)
+
+
+def _grouped(sets: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of grouped_documents(); n_links is what classes has."""
     roots = components(edges)
-    classes = sets.filter(F.size("shared") > 0).groupBy("high", "low").agg(F.min("row").alias("cid"), F.min("doc_id").alias("least"))
     rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = rooted.select("high", "low", "root").join(least, "root").select("high", "low", "component_id", F.col("root").alias("group"))
+    by_set = rooted.select("high", "low", "root", "n_links").join(least, "root").select("high", "low", "component_id", F.col("root").alias("group"), "n_links")
     own = sets.select("row", "doc_id", "n_shingles", "high", "low", (F.size("shared") > 0).alias("open"))
-    out = own.filter("open").join(by_set, ["high", "low"]).select("row", "doc_id", "n_shingles", "component_id", "group")
-    return out.unionByName(own.filter("not open").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("group")))
+    out = own.filter("open").join(by_set, ["high", "low"]).select("row", "doc_id", "n_shingles", "component_id", "group", "n_links")
+    alone = own.filter("not open").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("group"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
 
 
 def representatives(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the smallest doc_id (the first row of it), with all its columns."""
-    found = grouped_documents(documents, size, percent)
+    sets = shingled(documents, size, percent)
+    found = _grouped(sets, _members(sets).withColumn("n_links", F.lit(None).cast("long")), spanning_links(sets, percent))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     return only(documents, found.groupBy("group").agg(F.min_by("row", order).alias("row")))

@@ -130,6 +130,30 @@ def test_ngram_join_equals_brute_force(docs, rows, none):
     assert ngram_join.representatives(docs).count() == groups
 
 
+def test_ngram_join_finds_every_link(spark, docs, rows):
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(150)]
+    more = []
+    for k in range(40):  # a group of near copies, where some pairs link and some don't
+        words = list(base)
+        for j in r.sample(range(150), 1 + k % 4):
+            words[j] = f"n{k}x{j}"
+        more.append((1000 + k, " ".join(words)))
+    more += more[:3]
+    frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    sets = []
+    for doc, t in rows + more:
+        w = WORD.findall(t.translate(LOWER))
+        sets.append((doc, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])))
+    linked = lambda x, y: bool(x) and 100 * len(x & y) >= 80 * len(x | y)
+    want = [(doc, sum(linked(x, y) for _, y in sets) - bool(x)) for doc, x in sets]
+    assert len({n for _, n in want}) > 5
+    assert sorted(map(tuple, ngram_join.grouped_documents(frame).select("doc_id", "n_links").collect()), key=str) == sorted(want, key=str)
+    distinct = list({x for _, x in sets})
+    pairs = sum(linked(x, y) for i, x in enumerate(distinct) for y in distinct[:i])
+    assert ngram_join.linked_classes(ngram_join.shingled(frame)).count() == pairs
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
