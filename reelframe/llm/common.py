@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import math
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -11,23 +14,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut into pieces of about this many text bytes, so that numpy temporaries stay small.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+#: Input bytes that one task of an exchange should see.
+TASK_BYTES = 32 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df once to spark.checkpoint.dir and go on from there, so that lost executors cost no recomputation.
 
-    The folder is the session's; only where none is named (tests) a temporary one is set.
+    The folder is the session's, shared by all executors; only a local session without one gets a temporary folder. The
+    shuffles that df needed are removed when the checkpoint stands, so an operator's disk is that of its largest step.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp()
+        context.setCheckpointDir(folder)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting counts for plans made while it is on
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def spread(spark: SparkSession) -> int:
-    """The number of tasks that an exchange of this session should have."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads; other leaves of its plan, such as checkpoints, count nothing."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    own = [leaves.apply(k) for k in range(leaves.size())]
+    return sum(int(str(x.stats().sizeInBytes())) for x in own if "Relation" in x.nodeName())
+
+
+def spread(df: DataFrame) -> int:
+    """The number of tasks that an exchange of df should have: the session's, and more where the input asks for more."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 17, math.ceil(input_bytes(df) / TASK_BYTES)))
+
+
+def release() -> None:
+    """Give what a task's temporaries took back to the system; called when a task has read its last batch."""
+    from reelframe.llm import textstats
+
+    textstats.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def fold(doc_id: Column, parts: int = 5) -> Column:
@@ -51,6 +88,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(first, last - first)
             first = last
+    release()
 
 
 def lengths(column: pa.Array) -> np.ndarray:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from reelframe.llm.common import spread
+from reelframe.llm.common import release, spread
 
 ROW = "chunk string, bucket int, a binary, b binary, c binary"
 NAMES = ["chunk", "bucket", "a", "b", "c"]
@@ -33,7 +33,16 @@ def bucket_rows(chunk: str, buckets: int, keys: np.ndarray, *values: np.ndarray)
     bucket = bucket_of(keys, buckets)
     used, first = np.unique(bucket, return_index=True)
     ends = np.append(first[1:], len(keys))
-    return [(chunk, int(k), keys[i:j].tobytes(), *(values[n][i:j].tobytes() if n < len(values) else b"" for n in range(2))) for k, i, j in zip(used, first, ends, strict=True)]
+    return [(chunk, int(k), planes(keys[i:j]), *(values[n][i:j].tobytes() if n < len(values) else b"" for n in range(2))) for k, i, j in zip(used, first, ends, strict=True)]
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Rising uint64 keys as eight planes of bytes: the high ones repeat, so that the exchange's compression shrinks them."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(value: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(value, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -50,10 +59,14 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
 
     for k, own in groupby(rows(), lambda r: r[key]):
         yield k, list(own)
+    release()
+
 
+def answered(packed: DataFrame, answer: Callable[[list[dict]], Iterator[Answer]], assemble: Callable[[str, dict | None, list[dict]], Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+    """packed: ROW rows. answer: the rows of one bucket to answers. assemble: a chunk, its payload row, its answers.
 
-def answered(packed: DataFrame, answer: Callable[[list[dict]], Iterator[Answer]], assemble: Callable[[str, dict | None, list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """packed: ROW rows. answer: the rows of one bucket to answers. assemble: a chunk, its payload row, its answers."""
+    parts: tasks of each exchange.
+    """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in grouped(batches, "bucket"):
@@ -70,7 +83,6 @@ def answered(packed: DataFrame, answer: Callable[[list[dict]], Iterator[Answer]]
             payload = next((r for r in rows if r["bucket"] < 0), None)
             yield from assemble(chunk, payload, [r for r in rows if r["bucket"] >= 0])
 
-    parts = spread(packed.sparkSession)
     met = packed.repartition(parts, "bucket", "home").sortWithinPartitions("bucket", "chunk").select(*NAMES).mapInArrow(reduce, ROW)
     return met.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(regroup, schema)
 
@@ -90,7 +102,7 @@ def chunk_name(number: int) -> str:
 
 
 def buckets_for(df: DataFrame) -> int:
-    return 4 * spread(df.sparkSession)
+    return 4 * spread(df)
 
 
 def unpack(value: bytes, kind: type = np.uint64) -> np.ndarray:

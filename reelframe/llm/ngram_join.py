@@ -5,13 +5,19 @@
    after the document's unique ones, and a prefix that holds unique ones alone makes the document a class of its own.
 2. Documents with equal sets collapse into one class, named by its first row.
 3. Classes meet in an equi-join on prefix shingles, under the length, positional and suffix filters, and every pair is
-   verified once: all links between classes, also inside a component (linked_classes, grouped_documents).
+   verified once: all links between classes, also inside a component (linked_classes, grouped_documents). The suffix
+   filter splits the shingles at 1023 fixed pivots: in each part where two sets' numbers of shingles differ in parity
+   stands a shingle that one of them lacks, so the parts that differ bound the Hamming distance from below.
 4. Links become components by stars over distributed links. A document's links are the other rows of its class and all
    rows of the classes that its class links with.
 
 representatives() needs the components alone, so its star rounds come first (spanning_links): each class is verified
 against one partner per round, linked classes get one label, a shingle whose classes all share a label is done, and the
-equi-join has the pairs of different labels only. It joins the same components by fewer links.
+equi-join has the pairs of different labels only, without those that a round has rejected. It joins the same components
+by fewer links.
+
+Sets are compared by 64-bit shingle hashes, not by their words: two different shingles of one pair of sets share a hash
+with a chance of |a| * |b| / 2**64.
 
 Two documents link when 100 * common >= percent * union. Defined results: a document without words (null, empty, or
 white space) has an empty set and its own component; null doc_ids get the smallest id of their component, or null;
@@ -28,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, gather, only, pieces, with_text
+from reelframe.llm.common import checkpointed, gather, only, pieces, spread, with_text
 from reelframe.llm.components import components
-from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, homed, unpack
+from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, from_planes, homed, planes, unpack
 from reelframe.llm.textstats import Words, mix, salted, windows
 
 SHINGLE = 5
@@ -40,6 +46,8 @@ CHUNK = 2_000_000
 ROUNDS = 6
 #: 64-bit words of the parity bits of a set.
 _WORDS = 16
+#: Prefix shingles that a prefix row carries along from before its own, so that a pair isn't found at each of them again.
+_BEFORE = 4
 #: What a class carries along with each prefix shingle.
 CARRIED = ["cid", "n", "first", *(f"w{k}" for k in range(_WORDS))]
 DOCUMENTS = "row long, doc_id long, n_shingles long, high long, low long, shared array<long>, prefix array<long>, first long, parity array<long>"
@@ -102,14 +110,14 @@ def _pack(buckets: int, size: int):
 def _count(rows: list[dict]) -> Iterator[Answer]:
     """To each chunk, its shingles that occur in two documents or more, with their frequency."""
     sizes = [len(r["a"]) // 8 for r in rows]
-    keys = np.concatenate([unpack(r["a"]) for r in rows])
+    keys = np.concatenate([from_planes(r["a"]) for r in rows])
     _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
     frequency = counts[inverse].astype(np.uint32)
     ends = np.cumsum(sizes)
     for r, i, j in zip(rows, ends - sizes, ends, strict=True):
         shared = np.flatnonzero(frequency[i:j] > 1)
         if len(shared):
-            yield r["chunk"], r["bucket"], keys[i:j][shared].tobytes(), _places(r)[shared].tobytes(), frequency[i:j][shared].tobytes()
+            yield r["chunk"], r["bucket"], planes(keys[i:j][shared]), _places(r)[shared].tobytes(), frequency[i:j][shared].tobytes()
 
 
 def _places(row: dict) -> np.ndarray:
@@ -126,8 +134,8 @@ def _assemble(percent: int):
     def rows(chunk: str, payload: dict, answers: list[dict]) -> Iterator[pa.RecordBatch]:
         table = unpack(payload["a"], np.int64).reshape(-1, 6)
         n = table[:, 3]
-        join = lambda name, kind: np.concatenate([unpack(r[name], kind) for r in answers]) if answers else np.empty(0, kind)
-        key, frequency = join("a", np.uint64), join("c", np.uint32)
+        key = np.concatenate([np.empty(0, np.uint64), *(from_planes(r["a"]) for r in answers)])
+        frequency = np.concatenate([np.empty(0, np.uint32), *(unpack(r["c"], np.uint32) for r in answers)])
         doc = np.concatenate([_places(r) for r in answers]).astype(np.int64) if answers else np.empty(0, np.int64)
         order = np.lexsort((key, frequency, doc))
         key, doc = key[order], doc[order]
@@ -153,7 +161,7 @@ def shingled(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     """A row per document: set size, set hash, shared shingles (rare first) and how many of them are in the prefix."""
     rows = with_text(documents.withColumn("row", F.monotonically_increasing_id()), "row")
     packed = homed(rows.mapInArrow(_pack(buckets_for(documents), size), ROW))
-    return checkpointed(answered(packed, _count, _assemble(percent), DOCUMENTS))
+    return checkpointed(answered(packed, _count, _assemble(percent), DOCUMENTS, spread(documents)))
 
 
 def _linked(percent: int, common: Column) -> Column:
@@ -161,9 +169,10 @@ def _linked(percent: int, common: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
-    """Of pairs (a, b), those that link by their whole sets."""
+    """Pairs (a, b) and whether they link by their whole sets."""
     side = lambda s: sets.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"set_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked(percent, F.size(F.array_intersect("set_a", "set_b")))).select("a", "b", *more)
+    linked = _linked(percent, F.size(F.array_intersect("set_a", "set_b"))).alias("linked")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", linked, *more)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -188,17 +197,24 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = documents.filter(F.size("shared") > 0).groupBy("high", "low").agg(F.min("row").alias("row"))
     words = [F.get("parity", F.lit(k)).alias(f"w{k}") for k in range(_WORDS)]
     sets = checkpointed(documents.join(named.select("row"), "row", "left_semi").select(F.col("row").alias("cid"), F.col("n_shingles").alias("n"), "shared", "prefix", "first", *words))
-    return sets, checkpointed(sets.select(*CARRIED, F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("first") + F.col("place")))
+    before = F.slice("prefix", F.greatest(F.col("place") - (_BEFORE - 1), F.lit(1)), F.least(F.col("place"), F.lit(_BEFORE))).alias("before")
+    placed = sets.select(*CARRIED, "prefix", F.posexplode("prefix").alias("place", "token"))
+    return sets, checkpointed(placed.select(*CARRIED, (F.col("first") + F.col("place")).alias("place"), "token", before))
 
 
-def _exact(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Every link (a, b), a < b, of classes with different labels that meet in rows of _open()."""
-    left, right = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("label", "place", *CARRIED))) for s in "ab")
+def _exact(open_: DataFrame, sets: DataFrame, percent: int, tried: DataFrame | None = None) -> DataFrame:
+    """Every link (a, b), a < b, of classes with different labels that meet in rows of _open() and aren't in tried."""
+    left, right = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("label", "place", "before", *CARRIED))) for s in "ab")
     # From the first common prefix shingle on, both sets have to hold what a link needs: the positional filter.
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     differ = (F.col("a_cid") < F.col("b_cid")) & (F.col("a_label") != F.col("b_label"))
-    candidates = left.join(right, "token").filter(differ & (rest >= _overlap(percent, F.col("a_n"), F.col("b_n"))) & _possible(percent, "a_", "b_"))
-    return checkpointed(_verified(candidates.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct(), sets, percent))
+    # A row whose classes share one of the prefix shingles before has been found there.
+    again = F.arrays_overlap("a_before", "b_before")
+    candidates = left.join(right, "token").filter(differ & ~again & (rest >= _overlap(percent, F.col("a_n"), F.col("b_n"))) & _possible(percent, "a_", "b_"))
+    pairs = candidates.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return checkpointed(_verified(pairs, sets, percent).filter("linked").select("a", "b"))
 
 
 def linked_classes(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -212,14 +228,21 @@ def spanning_links(documents: DataFrame, percent: int = PERCENT, rounds: int = R
     sets, prefixes = _classes(documents)
     size = sets.count()
     found: DataFrame | None = None
+    tried: DataFrame | None = None
     labels = sets.select("cid", F.col("cid").alias("label"))
     open_ = _open(prefixes, labels)
     for k in range(rounds):
         pivot = open_.groupBy("token").agg(F.min_by(F.struct("label", *CARRIED), F.struct(F.xxhash64("label", F.lit(k)), F.xxhash64("cid", F.lit(k)))).alias("p"))
         pivot = pivot.select("token", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("label", *CARRIED)))
         near = open_.select("token", *(F.col(c).alias(f"o_{c}") for c in ("label", *CARRIED))).join(pivot, "token").filter((F.col("o_label") != F.col("p_label")) & _possible(percent, "o_", "p_"))
+        if tried is not None:
+            both = [F.least("o_cid", "p_cid") == F.col("a"), F.greatest("o_cid", "p_cid") == F.col("b")]
+            near = near.join(tried, both, "left_anti")
         pairs = near.groupBy(F.col("o_cid").alias("a")).agg(F.min_by(F.struct("p_cid", "p_label"), F.xxhash64("p_label", F.lit(k))).alias("p")).select("a", F.col("p.p_cid").alias("b"), F.col("p.p_label").alias("taken"))
-        new = checkpointed(_verified(pairs, sets, percent, "taken"))
+        checked = checkpointed(_verified(pairs, sets, percent, "taken"))
+        ordered = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        tried = ordered if tried is None else tried.unionAll(ordered)
+        new = checked.filter("linked").drop("linked")
         got = new.count()
         if got:
             edges = new.select("a", "b")
@@ -234,7 +257,7 @@ def spanning_links(documents: DataFrame, percent: int = PERCENT, rounds: int = R
             open_ = _open(prefixes, labels)
         if last:  # the exact join has the rest
             break
-    rest_links = _exact(open_, sets, percent)
+    rest_links = _exact(open_, sets, percent, tried)
     return rest_links if found is None else found.unionAll(rest_links)
 
 

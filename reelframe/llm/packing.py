@@ -30,7 +30,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP = 20_000
 #: Distinct blank-separated chunks whose ids a worker keeps; beyond that it starts anew.
-KEPT_CHUNKS = 1_000_000
+KEPT_CHUNKS = 300_000
 #: Chunks of these characters are cut into the vocabulary's words here, and only new words are encoded; all other chunks
 #: (and those that may hold a special token) go to the library whole.
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")

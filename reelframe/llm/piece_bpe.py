@@ -29,7 +29,7 @@ from reelframe.llm.common import gather, pieces, texts, with_text
 BLANK = "▁"
 LONG_WORD = 400
 #: Distinct words of a worker whose ids it keeps; beyond that it starts anew.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _NONE = np.int64(1) << 40
 

@@ -7,11 +7,15 @@
 2. The suffixes of those runs are sorted within a chunk: prefix polynomial hashes and a binary search give the common
    extension of two suffixes, so a comparison takes log LENGTH steps, in a bottom-up mergesort over all buckets of equal
    first bytes at once. Neighbours whose extension reaches LENGTH are compared byte by byte, so that no hash collision
-   counts as a match. Each distinct prefix then meets those of other chunks under two independent hashes.
+   counts as a match. Each distinct prefix then meets those of other chunks under two independent 64-bit hashes.
 3. The covered bytes of a text are the union of its recurring runs and prefixes.
 
+Runs that recur as a whole are told by three 64-bit hashes together, the minimizer's and two of the run's text with
+byte values and bases of their own; their bytes are not compared.
+
 A minimizer sends at most two distinct runs per chunk (a third makes all of them go on), and a prefix one entry, so a
-passage that very many documents share is no hot group.
+passage that very many documents share is no hot group. Long texts are read in windows of PIECE bytes and their runs
+are dealt to chunks of CHUNK_BYTES, so a task holds a long text itself and temporaries of a fixed size.
 
 Defined results: a null or empty text has no bytes and no spans; texts under LENGTH bytes keep all; repeated rows cover
 each other; null doc_ids are kept; other columns are ignored; an empty table gives an empty result. The table has to be
@@ -25,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, flat_bytes, gather, numbered, pieces, with_text
-from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_of, bucket_rows, buckets_for, chunk_name, homed, unpack
-from reelframe.llm.textstats import mix, prefix_hashes, span_hashes
+from reelframe.llm.common import checkpointed, flat_bytes, gather, numbered, pieces, spread, with_text
+from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_of, bucket_rows, buckets_for, chunk_name, from_planes, homed, unpack
+from reelframe.llm.textstats import prefix_hashes, second_prefix_hashes, second_span_hashes, span_hashes
 
 LENGTH = 200
 ANCHOR = 100
@@ -38,10 +43,10 @@ ANCHOR = 100
 CHUNK_RUNS = 1_000_000
 CHUNK_BYTES = 3 << 20
 #: Text bytes whose minimizers are found at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 _BUCKET = 24
 _UNSENT = (1 << 32) - 1
-_OTHER = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_TAIL = np.dtype([("second", np.uint64), ("flags", np.uint8)])
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -63,18 +68,27 @@ def _leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.where(behind[first] <= ahead[last], behind_at[first], ahead_at[last])
 
 
-def runs(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Of all runs: first place, number of suffixes, row, minimizer, and hash of the run's whole text."""
+def runs(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR, window: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Of all runs: first place, number of suffixes, row, minimizer, and two hashes of the run's whole text.
+
+    Suffixes are taken in windows; a run that a window's end cuts goes on as another run of the same minimizer.
+    """
     none = np.empty(0, np.int64)
-    width = length - anchor + 1
-    if len(flat) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    found = [(none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64))]
+    for at in range(0, max(len(flat) - length + 1, 0), window):
+        own = _window_runs(flat[at : at + window + length - 1], offsets - at, length, anchor)
+        found.append((own[0] + at, *own[1:]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _window_runs(flat: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     prefix = prefix_hashes(flat)
     place = np.arange(len(flat) - anchor + 1)
     grams = span_hashes(prefix, place, place + anchor)
+    width = length - anchor + 1
     count = len(grams) - width + 1
     anchor_at = _leftmost_minima(grams, width)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:count]
+    doc = np.searchsorted(offsets, np.arange(count), "right") - 1
     inside = np.arange(count) + length <= offsets[1:][doc]
     new = np.ones(count, bool)
     new[1:] = (anchor_at[1:] != anchor_at[:-1]) | (doc[1:] != doc[:-1])
@@ -82,7 +96,8 @@ def runs(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: in
     sizes = np.add.reduceat(inside.astype(np.int64), heads)
     used = sizes > 0
     heads, sizes = heads[used], sizes[used]
-    return heads, sizes, doc[heads], grams[anchor_at[heads]], span_hashes(prefix, heads, heads + sizes + length - 1)
+    ends = heads + sizes + length - 1
+    return heads, sizes, doc[heads], grams[anchor_at[heads]], span_hashes(prefix, heads, ends), second_span_hashes(second_prefix_hashes(flat), heads, ends)
 
 
 def _pack_runs(buckets: int, length: int):
@@ -94,14 +109,14 @@ def _pack_runs(buckets: int, length: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = chunk_name(number)
-            sizes, doc, least, whole = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((whole, least))
-            a, b = least[order], whole[order]
+            sizes, doc, least, whole, other = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((other, whole, least))
+            a, b, c = least[order], whole[order], other[order]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
             entry_of_sorted = np.cumsum(new) - 1
             firsts = np.flatnonzero(new)
-            key, run, again = a[firsts], b[firsts], np.diff(np.append(firsts, len(a))) > 1
+            key, run, second, again = a[firsts], b[firsts], c[firsts], np.diff(np.append(firsts, len(a))) > 1
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             tail = np.append(head[1:], True) if len(key) else head
@@ -117,18 +132,20 @@ def _pack_runs(buckets: int, length: int):
             firsts_of = np.searchsorted(bucket_of(key[sent], buckets), np.arange(buckets))
             head_ = np.concatenate([[len(texts)], np.column_stack([texts, counts]).ravel(), firsts_of]).astype(np.int64)
             yield batch_of([(chunk, -1, head_.tobytes(), sizes.astype(np.uint8).tobytes() + entry.tobytes(), b"".join(shas))])
-            out = bucket_rows(chunk, buckets, key[sent], run[sent], flags)
+            tail_ = np.empty(len(flags), _TAIL)
+            tail_["second"], tail_["flags"] = second[sent], flags
+            out = bucket_rows(chunk, buckets, key[sent], run[sent], tail_)
             for i in range(0, len(out), 64):
                 yield batch_of(out[i : i + 64])
 
         for batch in pieces(batches, limit=PIECE):
             flat, offsets = flat_bytes(batch.column("text"))
-            starts, sizes, doc, least, whole = runs(flat, offsets, length)
+            starts, sizes, doc, least, whole, other = runs(flat, offsets, length)
             known = batch.column("doc_id")
             tables.append(np.stack([batch.column("row").to_numpy(), known.fill_null(0).to_numpy(), known.is_null().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(offsets)], 1))
             view = memoryview(np.ascontiguousarray(flat))
             shas += [hashlib.sha256(view[i:j]).digest() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            held.append((sizes, doc + documents, least, whole))
+            held.append((sizes.astype(np.int32), (doc + documents).astype(np.int32), least, whole, other))
             total, documents = total + len(sizes), documents + len(offsets) - 1
             if total >= CHUNK_RUNS:
                 yield from flush()
@@ -142,13 +159,14 @@ def _pack_runs(buckets: int, length: int):
 def _judge_runs(rows: list[dict]) -> Iterator[Answer]:
     """Code of each run: 1 goes on, 2 recurs as a whole, 3 both (the first copy of one that recurs)."""
     sizes = [len(r["a"]) // 8 for r in rows]
-    key, run, flags = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint8)))
-    order = np.lexsort((np.arange(len(key)), run, key))
-    a, b, f = key[order], run[order], flags[order]
+    key = np.concatenate([from_planes(r["a"]) for r in rows])
+    run, tail = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("b", np.uint64), ("c", _TAIL)))
+    order = np.lexsort((tail["second"], run, key))
+    a, b, c, f = key[order], run[order], tail["second"][order], tail["flags"][order]
     new_key = np.ones(len(a), bool)
     new_key[1:] = a[1:] != a[:-1]
     new = new_key.copy()
-    new[1:] |= b[1:] != b[:-1]
+    new[1:] |= (b[1:] != b[:-1]) | (c[1:] != c[:-1])
     pair, group = np.cumsum(new) - 1, np.cumsum(new_key) - 1
     again = (np.bincount(pair) > 1) | (np.bincount(pair, weights=f & 1) > 0)
     mixed = (np.bincount(group[new]) > 1) | (np.bincount(group, weights=f & 2) > 0)
@@ -201,16 +219,19 @@ class Suffixes:
     def __init__(self, flat: np.ndarray, length: int = LENGTH):
         self.flat, self.length = flat, length
         self.prefix = prefix_hashes(flat)
-        self.steps = [1 << k for k in range(length.bit_length() - 1, -1, -1)]
+        self.steps = [1 << k for k in range((length - 1).bit_length() - 1, -1, -1)]
+        self.whole = span_hashes(self.prefix, *(np.arange(max(len(flat) - length + 1, 0)) + x for x in (0, length)))
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common extension of two suffixes, by binary search over prefix hashes."""
-        size = np.zeros(len(i), np.int64)
+        """Length of the common extension of two suffixes, by binary search over prefix hashes; length where all agree."""
+        size = np.full(len(i), self.length)
+        differ = np.flatnonzero(self.whole[i] != self.whole[j])
+        i, j = i[differ], j[differ]
+        own = np.zeros(len(i), np.int64)
         for step in self.steps:
-            more = size + step
-            fits = more <= self.length
-            more = np.where(fits, more, size)
-            size = np.where(fits & (span_hashes(self.prefix, i, i + more) == span_hashes(self.prefix, j, j + more)), more, size)
+            more = np.minimum(own + step, self.length - 1)
+            own = np.where(span_hashes(self.prefix, i, i + more) == span_hashes(self.prefix, j, j + more), more, own)
+        size[differ] = own
         return size
 
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -221,10 +242,14 @@ class Suffixes:
 
     def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the first length bytes agree: by hashes, then verified byte by byte."""
-        same = self.common(i, j) >= self.length
-        for part in np.array_split(np.flatnonzero(same), len(i) // 20_000 + 1):
-            span = np.arange(self.length)
-            same[part] = (self.flat[i[part, None] + span] == self.flat[j[part, None] + span]).all(1)
+        same = self.whole[i] == self.whole[j]
+        words = np.ndarray(max(len(self.flat) - 7, 0), np.uint64, self.flat, strides=(1,)) if self.length >= 8 else self.flat
+        size = words.itemsize
+        at = np.flatnonzero(same)
+        for k in [*range(0, self.length - size, size), self.length - size]:
+            agree = words[i[at] + k] == words[j[at] + k]
+            same[at[~agree]] = False
+            at = at[agree]
         return same
 
     def sort(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,17 +306,6 @@ class Suffixes:
         return out
 
 
-def _second_hashes(flat: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A hash that doesn't depend on the first: other byte values, and a polynomial over shifted sums."""
-    base = 0xD1342543DE82EF95
-    power = np.array([pow(base, k, 1 << 64) for k in range(length)], np.uint64)
-    out = np.zeros(len(places), np.uint64)
-    for part in np.array_split(np.arange(len(places)), len(places) // 20_000 + 1):
-        window = _OTHER[flat[places[part, None] + np.arange(length)]]
-        out[part] = mix((mix(window) * power).sum(1, dtype=np.uint64))
-    return out
-
-
 def _pack_prefixes(buckets: int, length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: list[np.ndarray] = []
@@ -300,7 +314,7 @@ def _pack_prefixes(buckets: int, length: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             chunk = chunk_name(number)
-            flat = np.concatenate(segments)
+            flat = np.ascontiguousarray(np.concatenate(segments))
             row, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
             at = np.cumsum(size + length - 1) - (size + length - 1)
             places = gather(at, size)
@@ -308,7 +322,7 @@ def _pack_prefixes(buckets: int, length: int):
             kind = suffixes.classes(places)
             _, first, count = np.unique(kind, return_index=True, return_counts=True)
             key = span_hashes(suffixes.prefix, places[first], places[first] + length)
-            other = _second_hashes(flat, places[first], length)
+            other = second_span_hashes(second_prefix_hashes(flat), places[first], places[first] + length)
             order = np.lexsort((other, key))
             named = order.astype(np.uint32) | (count[order] > 1).astype(np.uint32) << np.uint32(31)
             yield batch_of([(chunk, -1, np.stack([row, start, size], 1).astype(np.int64).tobytes(), kind.astype(np.uint32).tobytes(), b"")])
@@ -323,12 +337,17 @@ def _pack_prefixes(buckets: int, length: int):
             doc = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             on = codes != 2
             doc, starts, sizes = doc[on], starts[on], sizes[on]
-            segments.append(flat[gather(offsets[:-1][doc] + starts, sizes + length - 1)])
-            found.append((batch.column("row").to_numpy()[doc], starts, sizes))
-            total += len(segments[-1])
-            if total >= CHUNK_BYTES:
-                yield from flush()
-                segments, found, total, number = [], [], 0, number + 1
+            row, place = batch.column("row").to_numpy()[doc], offsets[:-1][doc] + starts
+            ends, first = np.cumsum(sizes + length - 1), 0
+            while first < len(sizes):  # a chunk takes as many runs as it has room for
+                base = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, base + CHUNK_BYTES - total, "right")))
+                segments.append(flat[gather(place[first:last], sizes[first:last] + length - 1)])
+                found.append((row[first:last], starts[first:last], sizes[first:last]))
+                total, first = total + len(segments[-1]), last
+                if total >= CHUNK_BYTES or first < len(sizes):
+                    yield from flush()
+                    segments, found, total, number = [], [], 0, number + 1
         if total:
             yield from flush()
 
@@ -338,7 +357,8 @@ def _pack_prefixes(buckets: int, length: int):
 def _judge_prefixes(rows: list[dict]) -> Iterator[Answer]:
     """To each chunk, which of its distinct prefixes recur, in it or in another."""
     sizes = [len(r["a"]) // 8 for r in rows]
-    key, other, named = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("a", np.uint64), ("b", np.uint64), ("c", np.uint32)))
+    key = np.concatenate([from_planes(r["a"]) for r in rows])
+    other, named = (np.concatenate([unpack(r[n], t) for r in rows]) for n, t in (("b", np.uint64), ("c", np.uint32)))
     order = np.lexsort((other, key))
     new = np.ones(len(key), bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])
@@ -366,23 +386,49 @@ def _cover(chunk: str, payload: dict, answers: list[dict]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(row[owner[heads]]), pa.array(place[heads]), pa.array(np.diff(np.append(heads, len(hit))).astype(np.int32))], ["row", "start", "size"])
 
 
+SPANS = "row long, doc_id long, n_bytes long, sha256 string, spans array<struct<start: long, stop: long>>"
+
+
+def _united(length: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The recurring runs and prefixes of each row, sorted, with those that meet or overlap joined to one span."""
+        for batch in batches:
+            parts = []
+            for names in (("starts", "sizes"), ("found_starts", "found_sizes")):
+                lists = [batch.column(n) for n in names]
+                owner = pa.compute.list_parent_indices(lists[0]).to_numpy()
+                parts.append((owner.astype(np.int64), *(x.flatten().to_numpy().astype(np.int64) for x in lists)))
+            codes = batch.column("codes").flatten().to_numpy()
+            parts[0] = tuple(x[codes >= 2] for x in parts[0])
+            owner, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, owner))
+            owner, start, stop = owner[order], start[order], (start + size)[order] + length - 1
+            shift = owner * (int(stop.max(initial=0)) + 2)  # rows stay apart
+            reach = np.maximum.accumulate(stop + shift) if len(stop) else stop
+            new = np.ones(len(start), bool)
+            new[1:] = start[1:] + shift[1:] > reach[:-1]
+            heads = np.flatnonzero(new)
+            lasts = np.append(heads[1:], len(start)) - 1 if len(heads) else heads
+            bounds = pa.array(np.searchsorted(owner[heads], np.arange(batch.num_rows + 1)).astype(np.int32))
+            spans_ = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(start[heads]), pa.array(reach[lasts] - shift[heads])], ["start", "stop"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "doc_id", "n_bytes", "sha256")), spans_], ["row", "doc_id", "n_bytes", "sha256", "spans"])
+
+    return rows
+
+
 def spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """A row per document: row, doc_id, n_bytes, sha256 of the whole text, spans (removed runs: start, stop in bytes)."""
     rows = with_text(documents.withColumn("row", F.monotonically_increasing_id()), "row")
-    buckets = buckets_for(documents)
-    marked = checkpointed(answered(homed(rows.mapInArrow(_pack_runs(buckets, length), ROW)), _judge_runs, _mark, MARKED))
+    parts, buckets = spread(documents), buckets_for(documents)
+    marked = checkpointed(answered(homed(rows.mapInArrow(_pack_runs(buckets, length), ROW)), _judge_runs, _mark, MARKED, parts))
     deep = marked.filter("deep").select("row", "starts", "sizes", "codes")
     sorted_ = homed(rows.select("row", "text").join(deep, "row").mapInArrow(_pack_prefixes(buckets, length), ROW))
-    found = answered(sorted_, _judge_prefixes, _cover, "row long, start long, size int").groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("found"))
-    whole = F.expr("filter(arrays_zip(starts, sizes, codes), x -> x.codes >= 2)")
-    pieces_ = F.concat(F.transform(whole, lambda x: F.struct(x["starts"].alias("start"), x["sizes"].alias("size"))), F.coalesce("found", F.array().cast("array<struct<start:bigint,size:int>>")))
-    joined = marked.join(found, "row", "left").select("row", "doc_id", "n_bytes", "sha256", F.array_sort(pieces_).alias("pieces"))
-    # Pieces are sorted by start; one that begins within or at the end of the last span extends it.
-    merged = F.expr(f"""aggregate(pieces, cast(array() AS array<struct<start: bigint, stop: bigint>>), (out, x) ->
-        CASE WHEN size(out) > 0 AND element_at(out, -1).stop >= x.start
-             THEN concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'stop', greatest(element_at(out, -1).stop, x.start + x.size + {length - 1}))))
-             ELSE concat(out, array(named_struct('start', x.start, 'stop', x.start + x.size + {length - 1}))) END)""")
-    return checkpointed(joined.select("row", "doc_id", "n_bytes", "sha256", merged.alias("spans")))
+    found = answered(sorted_, _judge_prefixes, _cover, "row long, start long, size int", parts)
+    # A document's covered places, at most one entry per place: no longer than its text.
+    found = found.groupBy("row").agg(F.collect_list("start").alias("found_starts"), F.collect_list("size").alias("found_sizes"))
+    none = lambda n, t: F.coalesce(n, F.array().cast(f"array<{t}>")).alias(n)
+    joined = marked.join(found, "row", "left").select("row", "doc_id", "n_bytes", "sha256", "starts", "sizes", "codes", none("found_starts", "long"), none("found_sizes", "int"))
+    return checkpointed(joined.mapInArrow(_united(length), SPANS))
 
 
 def cut(data: bytes, removed: list[dict]) -> bytes:

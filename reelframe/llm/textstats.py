@@ -10,11 +10,21 @@ from reelframe.llm.common import flat_bytes
 _ODD = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_SECOND_ODD = 0xD1342543DE82EF95
+_SECOND_TABLE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _LOWER_TABLE = _TABLE.copy()
 _LOWER_TABLE[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _powers: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps between tasks.
+KEPT_POWERS = 1 << 21
+
+
+def forget() -> None:
+    """Drop tables of powers that a very long text has made."""
+    for name in [k for k, v in _powers.items() if len(v) > KEPT_POWERS]:
+        del _powers[name]
 
 
 def _ladder(name: str, base: int, n: int) -> np.ndarray:
@@ -43,14 +53,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def prefix_hashes(flat: np.ndarray, lower: bool = False) -> np.ndarray:
     """n + 1 prefix sums of table[byte] * base**place modulo 2**64."""
-    out = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((_LOWER_TABLE if lower else _TABLE)[flat] * _ladder("up", _ODD, len(flat))[: len(flat)], out=out[1:])
-    return out
+    return _prefix(flat, _LOWER_TABLE if lower else _TABLE, "up", _ODD)
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of each byte span, the same wherever it stands."""
-    down = _ladder("down", pow(_ODD, -1, 1 << 64), len(prefix))
+    return _spans(prefix, starts, ends, "down", _ODD)
+
+
+def second_prefix_hashes(flat: np.ndarray) -> np.ndarray:
+    """prefix_hashes() with byte values and a base of its own."""
+    return _prefix(flat, _SECOND_TABLE, "up2", _SECOND_ODD)
+
+
+def second_span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte span that doesn't depend on span_hashes(); prefix: second_prefix_hashes()."""
+    return _spans(prefix, starts, ends, "down2", _SECOND_ODD)
+
+
+def _prefix(flat: np.ndarray, values: np.ndarray, ladder: str, base: int) -> np.ndarray:
+    out = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum(values[flat] * _ladder(ladder, base, len(flat))[: len(flat)], out=out[1:])
+    return out
+
+
+def _spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, ladder: str, base: int) -> np.ndarray:
+    down = _ladder(ladder, pow(base, -1, 1 << 64), len(prefix))
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
