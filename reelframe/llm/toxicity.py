@@ -1,18 +1,28 @@
 """Toxicity: class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood.
 
-Each class (toxic, ordinary) spells a word symbol by symbol: the probability of the next byte after a word's beginning
-is the class's discounted count plus the mass of its discounts times a backoff estimate that both classes share, so
-an expression that is rare in either class falls back to shared counts and then says nothing about the class.
-A word's evidence is the difference of the two log-likelihoods of its spelling; evidence under EVIDENCE nats is left
-to the shared model. A document's two statistics, the evidence and the plain difference, are divided by its length
-and turned into a probability by a logistic curve that is fitted on labelled rows the counts have not seen.
+Each class (toxic, ordinary) has a word model of two orders over a spelling model:
 
-Training rows are the labelled rows outside fold 0, at most MAX_TRAINING of them (the smallest hashes of doc_id); rows
-of fold 1 fit the curve, the others are counted.
+* after the previous word, discounted counts of the class, with the discounts' mass on
+* the class's continuation counts (how many different words a word was seen after), with the mass on
+* the continuation counts of both classes together, with the mass on
+* the word's spelling: its next byte given its whole beginning, from the class's counts of different words that begin
+  so, with the mass on the discounted counts of both classes' words together.
+
+The mass at a place is the same for both classes (that of the class which leaves more), so an expression that is rare in
+either class rests on counts that both share and says nothing about the class, and a word that was never seen is judged
+by how far its spelling is known. A document's statistic is the difference of the two log-likelihoods of its words divided by
+(words + ADDED_LENGTH); a logistic curve over its signed root, fitted on labelled rows the counts have not seen, makes
+it a score. Where a place's counts don't tell the classes apart (_significance), the backoff alone speaks.
 
-Defined results: a null or empty text has no words and scores as the curve says for zero evidence; null or missing
-labels never train; a doc_id labelled twice counts as its largest label; repeated rows are scored each; without
-training rows of both classes the score is 0; other columns are ignored; an empty table gives an empty result.
+Training rows are the labelled rows outside fold 0, at most MAX_TRAINING of them (the smallest hashes of doc_id); rows
+of fold 1 fit the curve, the others are counted. Counts of pairs of words and of beginnings that the sample has but once
+are not kept: both classes then use the estimate that backs them.
+
+Defined results: a null or empty text has no words and scores as the curve says for no difference; null or missing
+labels never train; a doc_id labelled twice counts as its largest label; repeated rows and null doc_ids are scored each
+(a null hashes as empty text); a score that equals the threshold predicts 1; without training rows of both classes the
+score is 0; other columns are ignored; an empty table gives an empty result. A very long text is one piece of its
+own; temporaries take some 150 bytes per text byte.
 """
 
 from __future__ import annotations
@@ -24,116 +34,202 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, fold, pieces, with_text
+from reelframe.llm.common import checkpointed, fold, gather, pieces, with_text
 from reelframe.llm.textstats import Words, mix, prefix_hashes, span_hashes
 
 MAX_TRAINING = 16_000
-DEPTH = 10
 DISCOUNT = 0.75
-SHARED_WEIGHT = 20.0
-EVIDENCE = 1.5
+#: Classes whose rates of an expression differ by less than this factor are taken to agree in it; and the odds that they
+#: differ, before its counts are seen.
+FACTOR = 2.0
+PRIOR = 1e-3
 ADDED_LENGTH = 10
 MIN_COUNT = 2
+_END = np.uint64(0x8BB84B93962EACC9)
+_START = np.uint64(0x2D358DCCAA6C78A5)
 _TRIMMED = np.zeros(256, bool)
 _TRIMMED[list(b".,!?;:*$%&#|\"'()")] = True
 
 
-def spellings(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words, and of the distinct ones: inverse, trimmed length, and a key per depth for each beginning.
+class Spelled:
+    """The words of a batch, lower-cased (A-Z) and without trailing punctuation, as hashes, with their distinct forms.
 
-    Words are lower-cased (A-Z) and lose trailing punctuation. The key at a depth beyond the word stands for its end.
+    word: distinct form of each word. hashes, starts, size: of the distinct forms. pair: hash of each word's neighbours.
     """
-    words = Words(column)
-    prefix = prefix_hashes(words.flat, True)
-    ends = words.ends.copy()
-    while len(ends) and (cut := (ends - words.starts > 1) & _TRIMMED[words.flat[ends - 1]]).any():
-        ends = ends - cut
-    _, first, inverse = np.unique(span_hashes(prefix, words.starts, ends), return_index=True, return_inverse=True)
-    starts, size = words.starts[first], (ends - words.starts)[first]
-    keys = np.empty((DEPTH, len(first)), np.uint64)
-    for k in range(1, DEPTH + 1):
-        keys[k - 1] = mix(span_hashes(prefix, starts, starts + np.minimum(size, k)) * np.uint64(2 * DEPTH + 2) + np.uint64(k) + (size < k).astype(np.uint64) * np.uint64(DEPTH + 1))
-    return words, inverse, size, keys
 
-
-NODES = "depth int, node long, parent long, toxic long, ordinary long"
+    def __init__(self, column: pa.Array):
+        self.words = Words(column)
+        self.prefix = prefix_hashes(self.words.flat, True)
+        ends = self.words.ends.copy()
+        while len(ends) and (cut := (ends - self.words.starts > 1) & _TRIMMED[self.words.flat[ends - 1]]).any():
+            ends = ends - cut
+        self.hashes, first, self.word = np.unique(span_hashes(self.prefix, self.words.starts, ends), return_index=True, return_inverse=True)
+        self.starts, self.size = self.words.starts[first], (ends - self.words.starts)[first]
+        own = self.hashes[self.word]
+        self.before = np.full(len(own), _START)
+        self.before[1:] = own[:-1]
+        heads = self.words.first[self.words.per_doc > 0]
+        self.before[heads] = _START
+        self.pair = mix(self.before * np.uint64(0x9E3779B97F4A7C15) + own)
+        self.earlier = np.full(len(own), _START)
+        self.earlier[1:] = self.before[:-1]
+        self.earlier[heads] = _START
+
+    def beginnings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every form: the keys of its beginnings of 1 byte, 2 bytes, ..., the whole, and then its end; their form, their depth."""
+        form = np.repeat(np.arange(len(self.size)), self.size + 1)
+        depth = gather(np.ones(len(self.size), np.int64), self.size + 1)
+        whole = depth > self.size[form]
+        starts = self.starts[form]
+        key = span_hashes(self.prefix, starts, starts + np.minimum(depth, self.size[form]))
+        return np.where(whole, mix(key ^ _END), key), form, depth
+
+
+PAIRS = "key long, context long, word long, earlier long, toxic boolean, ordinary boolean"
+BEGINNINGS = "key long, context long, word long"
+
+
+def _longs(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({n: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for n, v in columns.items()})
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different (word before the first, pair of words) of each batch, and the classes that have them."""
+    for batch in pieces(batches):
+        own = Spelled(batch.column("text"))
+        toxic = batch.column("label").to_numpy(zero_copy_only=False)[own.words.doc] == 1
+        triple, first, at = np.unique(mix(own.pair + mix(own.earlier)), return_index=True, return_inverse=True)
+        has = [np.bincount(at, weights=x, minlength=len(triple)) > 0 for x in (toxic, ~toxic)]
+        yield _longs(key=own.pair[first], context=own.before[first], word=own.hashes[own.word[first]], earlier=own.earlier[first], toxic=has[0], ordinary=has[1])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The beginnings of each batch's different words (context: the beginning that is a byte shorter, or 0)."""
     for batch in pieces(batches):
-        words, inverse, size, keys = spellings(batch.column("text"))
-        label = batch.column("label").to_numpy(zero_copy_only=False)[words.doc]
-        both = [np.bincount(inverse[label == c], minlength=len(size)) for c in (1, 0)]
-        for k in range(DEPTH):
-            here = size >= k
-            node, first, at = np.unique(keys[k][here], return_index=True, return_inverse=True)
-            sums = [np.bincount(at, weights=x[here], minlength=len(node)).astype(np.int64) for x in both]
-            parent = keys[k - 1][here][first] if k else np.zeros(len(node), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, np.int32)), pa.array(node.view(np.int64)), pa.array(parent.view(np.int64)), *map(pa.array, sums)], ["depth", "node", "parent", "toxic", "ordinary"])
+        own = Spelled(batch.column("text"))
+        key, form, depth = own.beginnings()
+        yield _longs(key=key, context=np.where(depth > 1, np.roll(key, 1), np.uint64(0)), word=own.hashes[form])
+
+
+class Table:
+    """Sorted keys with rows of values; unknown keys get the place -1."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], [v[order] for v in values]
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[place] == wanted, place, -1)
+
 
+def _significance(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Chance that the classes differ in an event by more than FACTOR: the binomial likelihood ratio against PRIOR."""
+    ordinary, toxic = counts
+    size = np.maximum(totals, 1e-9)
+    low, high = (size[1] * f / (size[1] * f + size[0]) for f in (1 / FACTOR, FACTOR))
+    share = toxic / np.maximum(ordinary + toxic, 1e-9)
+    near = np.clip(share, low, high)
+    gain = toxic * np.log(np.maximum(share, 1e-9) / near) + ordinary * np.log(np.maximum(1 - share, 1e-9) / (1 - near))
+    return 1 / (1 + np.exp(np.clip(-np.log(PRIOR) - gain, -60, 60)))
 
-def _statistics(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    length = np.bincount(doc, minlength=n)
-    strong = np.bincount(doc, weights=np.where(values > EVIDENCE, values, 0), minlength=n) / (length + ADDED_LENGTH)
-    plain = np.bincount(doc, weights=values, minlength=n) / (length + ADDED_LENGTH)
-    return np.column_stack([np.ones(n), np.sqrt(strong), strong, np.clip(plain, -1, 1)])
+
+class Contexts:
+    """Per context the classes' totals, and the mass that both leave to the backoff.
+
+    The mass is that of the class which leaves more, so an expression that neither model knows is as likely in both.
+    """
+
+    def __init__(self, total: np.ndarray, types: np.ndarray):
+        """Rows of both classes; the last context stands for none."""
+        self.total, self.kept = (np.pad(x.astype(float), ((0, 0), (0, 1))) for x in (total, np.maximum(total - DISCOUNT * types, 0)))
+        self.mass = np.where((self.total > 0).all(0), 1 - (self.kept / np.maximum(self.total, 1e-9)).min(0), 1.0)
+
+    def estimate(self, slot: np.ndarray, counts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+        """Both classes' estimates: discounted counts and the backoff's share; the backoff alone where the classes agree. slot -1: no context."""
+        own = (1 - self.mass[slot]) * np.maximum(counts - DISCOUNT, 0) / np.maximum(self.kept[:, slot], 1e-9) + self.mass[slot] * backoff
+        weight = np.where((slot >= 0) & (self.mass[slot] < 1), _significance(counts, self.total[:, slot]), 0)
+        return weight * own + (1 - weight) * backoff
 
 
 class ClassModels:
-    """The differences of the two models' log-likelihoods for every beginning of a word, and the logistic curve."""
-
-    def __init__(self, depth: np.ndarray, node: np.ndarray, parent: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray):
-        self.keys: list[np.ndarray] = []
-        self.values: list[np.ndarray] = []
-        above_key, above_value = np.zeros(1, np.uint64), np.zeros(1)
-        for k in range(DEPTH):
-            at = np.flatnonzero(depth == k)
-            at = at[np.isin(parent[at], above_key)]
-            at = at[np.argsort(node[at])]
-            place = np.searchsorted(above_key, parent[at])
-            counts = np.stack([ordinary[at], toxic[at]]).astype(float)
-            size = len(above_key)
-            total = np.stack([np.bincount(place, weights=x, minlength=size) for x in counts])
-            types = np.stack([np.bincount(place[x > 0], minlength=size) for x in counts])
-            pooled, pooled_types = counts.sum(0), np.bincount(place, minlength=size)
-            shared = np.minimum(1, (np.maximum(pooled - DISCOUNT, 0) + DISCOUNT * np.maximum(pooled_types, 1)[place] / 64) / np.maximum(total.sum(0)[place], 1))
-            backoff = np.minimum(DISCOUNT * types, total)[:, place] + SHARED_WEIGHT
-            likelihood = (np.maximum(counts - DISCOUNT, 0) + backoff * shared) / (total[:, place] + SHARED_WEIGHT)
-            above_key, above_value = node[at], above_value[place] + np.log(likelihood[1]) - np.log(likelihood[0])
-            self.keys.append(above_key)
-            self.values.append(above_value)
-        self.curve = np.array([-np.inf, 0, 0, 0])
-
-    def evidence(self, keys: np.ndarray) -> np.ndarray:
-        """Per word the difference at its longest known beginning."""
-        out = np.zeros(keys.shape[1])
-        open_ = np.arange(keys.shape[1])
-        for k in range(DEPTH - 1, -1, -1):
-            table = self.keys[k]
-            if not len(table) or not len(open_):
-                continue
-            wanted = keys[k][open_]
-            place = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-            hit = table[place] == wanted
-            out[open_[hit]] = self.values[k][place[hit]]
-            open_ = open_[~hit]
-        return out
+    """Both classes' models (rows 0: ordinary, 1: toxic of each table) and the logistic curve."""
+
+    def __init__(self, pairs: pa.Table, contexts: pa.Table, words: pa.Table, nodes: pa.Table):
+        """Tables of key, ordinary, toxic: pairs of words, words that stand before another (and of how many different ones:
+        ordinary_types, toxic_types), words, and beginnings (context: the shorter one)."""
+        keys = lambda t, name="key": t.column(name).to_numpy().view(np.uint64)
+        both = lambda t, *names: np.stack([t.column(n).to_numpy().astype(float) for n in names])
+        self.pairs = Table(keys(pairs), *both(pairs, "ordinary", "toxic"))
+        self.before = Table(keys(contexts), *both(contexts, "ordinary", "toxic", "ordinary_types", "toxic_types"))
+        self.after = Contexts(np.stack(self.before.values[:2]), np.stack(self.before.values[2:]))
+        company = both(words, "ordinary", "toxic")
+        total = max(company.sum(), 1)
+        self.rest = DISCOUNT * company.shape[1] / total
+        self.words = Table(keys(words), *company, np.maximum(company.sum(0) - DISCOUNT, 0) / total)
+        self.any = Contexts(company.sum(1, keepdims=True), (company > 0).sum(1, keepdims=True))
+        self.ready = bool((company.sum(1) > 0).all())
+        self.curve = np.array([-np.inf, 0.0])
+        self.nodes = Table(keys(nodes), keys(nodes, "context"), *both(nodes, "ordinary", "toxic"))
+        above, counts = self.nodes.values[0], np.stack(self.nodes.values[1:])
+        root = above == 0
+        parent = self.nodes.find(above)
+        size = len(above) + 1
+        slot = np.where(root, size - 1, parent)
+        summed = lambda x: np.bincount(slot, weights=x, minlength=size)
+        pooled = counts.sum(0)
+        shared = (np.maximum(pooled - DISCOUNT, 0) + DISCOUNT * summed(pooled > 0)[slot] / 257) / np.maximum(summed(pooled)[slot], 1)
+        following = Contexts(np.stack([summed(x) for x in counts]), np.stack([summed(x > 0) for x in counts]))
+        logs, up = np.log(following.estimate(slot, counts, np.stack([shared, shared]))), np.where(root, -1, parent)
+        while (up >= 0).any():  # log-likelihoods of beginnings, summed along the way by doubling
+            more = up >= 0
+            logs = logs + np.where(more, logs[:, up], 0)
+            up = np.where(more, up[up], -1)
+        self.spelled = logs
+
+    def spelling(self, own: Spelled) -> np.ndarray:
+        """Log-likelihood of each form's spelling in both classes; what follows the longest known beginning is equal in both."""
+        n = len(own.size)
+        if not n or not len(self.nodes.keys):
+            return np.zeros((2, n))
+        key, _, depth = own.beginnings()
+        place = self.nodes.find(key)
+        heads = np.cumsum(own.size + 1) - (own.size + 1)
+        known = np.maximum.reduceat(np.where(place >= 0, depth, 0), heads)
+        out = np.where(known > 0, self.spelled[:, place[heads + np.maximum(known - 1, 0)]], 0.0)
+        return np.maximum(out - (own.size + 1 - known) * np.log(257), -600)
+
+    def differences(self, own: Spelled) -> np.ndarray:
+        """Of each word, its log-likelihood in the toxic model minus that in the ordinary one."""
+        logs = self.spelling(own)
+        take = lambda table, place, *of: np.stack([np.where(place >= 0, table.values[k][place] if len(table.keys) else 0, 0) for k in of])
+        at = self.words.find(own.hashes)
+        # A known word's shared estimate leans to the class whose words are spelled like it; an unknown one has its spelling alone.
+        spelled = np.where(at >= 0, np.exp(logs - np.logaddexp(*logs)) * 2 * take(self.words, at, 2), self.rest * np.exp(logs))
+        single = self.any.estimate(np.zeros(len(at), np.int64), take(self.words, at, 0, 1), spelled)
+        pair = self.after.estimate(self.before.find(own.before), take(self.pairs, self.pairs.find(own.pair), 0, 1), single[:, own.word])
+        return np.log(pair[1]) - np.log(pair[0])
 
     def statistics(self, column: pa.Array) -> np.ndarray:
-        words, inverse, _, keys = spellings(column)
-        return _statistics(self.evidence(keys)[inverse], words.doc, words.n)
+        own = Spelled(column)
+        n, doc = own.words.n, own.words.doc
+        plain = np.bincount(doc, weights=self.differences(own), minlength=n) / (own.words.per_doc + ADDED_LENGTH)
+        return np.column_stack([np.ones(n), np.sign(plain) * np.sqrt(np.abs(plain))])
 
-    def fit_curve(self, x: np.ndarray, y: np.ndarray, rounds: int = 30) -> None:
-        """Newton steps for a lightly ridged logistic regression."""
+    def fit_curve(self, x: np.ndarray, y: np.ndarray, rounds: int = 50) -> None:
+        """Newton steps for a lightly ridged logistic regression on the difference."""
         if len(y) == 0 or y.min() == y.max():
-            self.curve = np.array([-4.0, 8.0, 0.0, 1.0])
+            self.curve = np.array([0.0, 10.0])
             return
-        w = np.zeros(x.shape[1])
+        scale = max(float(x[:, 1].std()), 1e-9)
+        z, w = x / [1, scale], np.zeros(2)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            ridge = 1e-2 * np.r_[0, np.ones(len(w) - 1)]
-            w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-6), x.T @ (p - y) + ridge * w)
-        self.curve = w
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            ridge = 1e-3 * np.array([0.0, 1.0])
+            w = w - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(ridge + 1e-6), z.T @ (p - y) + ridge * w)
+        self.curve = w / [1, scale]
 
     def scores(self, column: pa.Array) -> np.ndarray:
         if np.isinf(self.curve[0]):
@@ -141,7 +237,26 @@ class ClassModels:
         return 1 / (1 + np.exp(-np.clip(self.statistics(column) @ self.curve, -30, 30)))
 
 
+def count(sample: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The four tables of ClassModels from rows of label and text.
+
+    A pair counts the different words before it, a word the different words before it, and a beginning what its words
+    count, so copies of a text count once.
+    """
+    rows = sample.select("label", "text")
+    some = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    triples = rows.mapInArrow(_pairs, PAIRS).groupBy("key", "context", "word", "earlier").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
+    pairs = checkpointed(triples.groupBy("key", "context", "word").agg(some("toxic"), some("ordinary")))
+    types = [F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in ("toxic", "ordinary")]
+    contexts = pairs.groupBy(F.col("context").alias("key")).agg(some("toxic"), some("ordinary"), *types)
+    words = pairs.groupBy(F.col("word").alias("key")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary")))
+    nodes = rows.mapInArrow(_beginnings, BEGINNINGS).distinct().join(words.withColumnRenamed("key", "word"), "word").groupBy("key", "context").agg(some("toxic"), some("ordinary"))
+    several = F.col("toxic") + F.col("ordinary") >= MIN_COUNT
+    return pairs.filter(several).select("key", "toxic", "ordinary"), contexts, words, nodes.filter(several)
+
+
 def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> ClassModels:
+    """Learn from at most bound rows; the tables that reach the driver have no more rows than these have bytes."""
     given = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -149,11 +264,8 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> C
     )
     # At most bound rows of two numbers: small enough to broadcast at any size of the tables.
     sample = checkpointed(with_text(documents).join(F.broadcast(given), "doc_id"))
-    counting = sample.filter(fold(F.col("doc_id")) != 1)
-    nodes = counting.select("label", "text").mapInArrow(_count, NODES).groupBy("depth", "node", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= MIN_COUNT).toArrow()
-    column = lambda name: nodes.column(name).to_numpy()
-    model = ClassModels(column("depth"), column("node").view(np.uint64), column("parent").view(np.uint64), column("toxic"), column("ordinary"))
-    if column("toxic").sum() == 0 or column("ordinary").sum() == 0:
+    model = ClassModels(*(t.toArrow() for t in count(sample.filter(fold(F.col("doc_id")) != 1))))
+    if not model.ready:
         return model
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -163,10 +275,7 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> C
             yield pa.RecordBatch.from_pydict({"label": batch.column("label").to_pylist(), "x": x.tolist()})
 
     seen = sample.filter(fold(F.col("doc_id")) == 1).select("label", "text").mapInArrow(measure, "label long, x array<double>").toArrow()
-    if seen.num_rows:
-        model.fit_curve(np.array(seen.column("x").to_pylist()), np.array(seen.column("label").to_pylist(), float))
-    else:
-        model.fit_curve(np.empty((0, 4)), np.empty(0))
+    model.fit_curve(np.array(seen.column("x").to_pylist(), float).reshape(-1, 2), np.array(seen.column("label").to_pylist(), float))
     return model
 
 
