@@ -6,11 +6,13 @@ hash, so that no task's work grows with the table, while each group still packs
 
 Only documents of more than CAPACITY ids are cut. Defined results: a null or empty text is the single id 0; repeated
 rows are packed each (their doc_id and piece repeat); null doc_ids are packed like others; other columns are ignored;
-an empty table gives no sequences.
+pieces of equal length are taken in
+the order of row and piece, last first; an empty table gives no sequences. A very long text is one piece of its own.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from bisect import bisect_right
@@ -34,9 +36,22 @@ KEPT_CHUNKS = 300_000
 #: Chunks of these characters are cut into the vocabulary's words here, and only new words are encoded; all other chunks
 #: (and those that may hold a special token) go to the library whole.
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: The normaliser and the splitter that this holds for; texts go to the library whole with any other.
+_NORMALIZERS = [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
+def splits_at_blanks(settings: dict) -> bool:
+    """Whether a vocabulary file normalises and splits texts as ChunkIds does."""
+    normal = (settings.get("normalizer") or {}).get("normalizers", [])
+    split = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [(x["type"], x.get("pattern"), x.get("content")) for x in normal] == _NORMALIZERS
+        and [x["type"] for x in split] == ["Split", "ByteLevel"] and split[0]["pattern"] == {"Regex": _SPLIT} and not split[1]["add_prefix_space"]
+    )
+
+
 class ChunkIds:
     """Ids of texts, encoded once per distinct chunk between blanks.
 
@@ -50,6 +65,8 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            self.chunked = splits_at_blanks(json.load(file))
         self.reset()
 
     def reset(self) -> None:
@@ -86,6 +103,8 @@ class ChunkIds:
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.chunked:
+            return [np.array(x, np.uint32) for x in self._library([x or "" for x in column.to_pylist()])]
         if len(self.at) > KEPT_CHUNKS:
             known = self.parts
             self.reset()

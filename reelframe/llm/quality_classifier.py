@@ -2,7 +2,7 @@
 
 Each class gets a mean and a covariance shrunk towards the pooled covariance and its diagonal; the score is the
 posterior of class 1 from the difference of the Gaussian log-densities, whose Mahalanobis terms use Cholesky factors
-computed once. The sufficient statistics (counts, sums, cross products) are sums over all labelled training rows, so
+and their inverses, computed once. The sufficient statistics (counts, sums, cross products) are sums over all labelled training rows, so
 no sample is needed and what reaches the driver has a fixed size.
 
 Defined results: a null or empty text has all-zero counts and is scored like any other; null or missing labels never
@@ -100,11 +100,12 @@ class Discriminant:
         scatter = moments[:, 1 + d :].reshape(2, d, d) - self.counts[:, None, None] * self.means[:, :, None] * self.means[:, None, :]
         common = scatter.sum(0) / self.counts.sum() + 1e-3 * np.eye(d)
         common = (1 - diagonal) * common + diagonal * np.diag(np.diag(common))
-        self.factors, self.logdets = [], []
+        self.factors, self.inverses, self.logdets = [], [], []
         for k in (0, 1):
             weight = max(pooled, d / (d + self.counts[k]))
             covariance = (1 - weight) * scatter[k] / self.counts[k] + weight * common
             self.factors.append(np.linalg.cholesky(covariance))
+            self.inverses.append(np.linalg.solve(self.factors[-1], np.eye(d)))
             self.logdets.append(2 * np.log(np.diag(self.factors[-1])).sum())
         self.priors = np.log(self.counts / self.counts.sum())
 
@@ -114,7 +115,7 @@ class Discriminant:
             return np.full(len(x), 0.5)
         densities = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.inverses[k] @ (x - self.means[k]).T
             densities.append(self.priors[k] - 0.5 * (self.logdets[k] + (z * z).sum(0)))
         return 1 / (1 + np.exp(np.clip(densities[0] - densities[1], -700, 700)))
 

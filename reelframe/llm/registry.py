@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import context_tree, license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, suffix_dedup, toxicity, transport_stream
+from reelframe.llm import context_tree, license_scan, ngram_join, oracles, packing, piece_bpe, quality_classifier, quality_rules, suffix_dedup, toxicity, transport_stream
 from reelframe.llm.common import table
 
 
@@ -61,5 +61,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The licence scan is the one operator that plain SQL over text and words expresses whole."""
-    return {"op9_license_scan": license_scan.oracle_sql()}
+    """The operators that SQL expresses whole; the others depend on vocabularies, trained models or byte streams."""
+    return {
+        "op2_suffix_dedup": oracles.suffix_dedup(),
+        "op3_ngram_join": oracles.ngram_join(),
+        "op5_quality_rules": oracles.quality_rules(),
+        "op9_license_scan": license_scan.oracle_sql(),
+    }

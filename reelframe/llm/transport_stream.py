@@ -101,14 +101,35 @@ def write_stream(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(data: bytes) -> Iterator[bytes]:
-    """Whole table sections with a valid CRC; data begins with the pointer field."""
-    at = 1 + data[0] if data else 0
-    while at + 3 <= len(data) and data[at] != 0xFF:
-        size = 3 + (int.from_bytes(data[at + 1 : at + 3], "big") & 0xFFF)
-        if at + size <= len(data) and size >= 12 and section_crc(data[at : at + size]) == 0:
-            yield data[at : at + size]
-        at += size
+class Sections:
+    """Table sections of one packet id, put together from as many packets as they take."""
+
+    def __init__(self):
+        self.held: bytearray | None = None
+
+    def fed(self, data: bytes, start: bool) -> Iterator[bytes]:
+        """The whole sections with a valid CRC that this packet's payload ends."""
+        if not start:
+            if self.held is not None:
+                self.held += data
+                yield from self._drained()
+            return
+        skip = 1 + data[0] if data else 0
+        if self.held is not None:
+            self.held += data[1:skip]
+            yield from self._drained()
+        self.held = bytearray(data[skip:])
+        yield from self._drained()
+
+    def _drained(self) -> Iterator[bytes]:
+        while len(self.held) >= 3 and self.held[0] != 0xFF:
+            size = 3 + (int.from_bytes(self.held[1:3], "big") & 0xFFF)
+            if len(self.held) < size:
+                return
+            section = bytes(self.held[:size])
+            del self.held[:size]
+            if size >= 12 and section_crc(section) == 0:
+                yield section
 
 
 def _unit(data: bytes) -> tuple[int | None, bytes] | None:
@@ -138,6 +159,7 @@ def read_stream(media: bytes) -> dict:
     last: dict[int, int] = {}
     open_: dict[int, list] = {}
     units: list[tuple[int, int | None, bool, bytes]] = []
+    tables: dict[int, Sections] = {0: Sections()}
 
     def close(pid: int) -> None:
         nonlocal errors
@@ -168,15 +190,19 @@ def read_stream(media: bytes) -> dict:
             if counter_of[k] != (last[pid] + 1) & 15:
                 errors += 1
                 open_.pop(pid, None)
+                if pid in tables:
+                    tables[pid].held = None
         last[pid] = counter_of[k]
-        if pid == 0 and starts[k]:
-            for s in _sections(data):
+        if pid == 0:
+            for s in tables[0].fed(data, starts[k]):
                 for i in range(8, len(s) - 4, 4):
                     number = int.from_bytes(s[i : i + 2], "big")
                     if number:
-                        maps[int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF] = number
-        elif pid in maps and starts[k]:
-            for s in _sections(data):
+                        to = int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF
+                        maps[to] = number
+                        tables.setdefault(to, Sections())
+        elif pid in maps:
+            for s in tables[pid].fed(data, starts[k]):
                 own = programs.setdefault(maps[pid], {})
                 i = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
                 while i + 5 <= len(s) - 4:
@@ -202,15 +228,15 @@ def padded(text: str) -> bytes:
 SCHEMA = "doc_id long, n_bytes long, media binary, units array<struct<pts: long, random_access: boolean, size: int>>"
 
 
-def stored(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the stream, and its timestamps with random-access points as read back."""
+def stored(documents: DataFrame, read_back: bool = True) -> DataFrame:
+    """doc_id, n_bytes, the stream, and its timestamps with random-access points as read back (else null)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())]))
         for batch in pieces(batches):
             given = texts(batch)
             media = [write_stream(padded(x)) for x in given]
-            units = [[{"pts": p, "random_access": r, "size": len(d)} for _, p, r, d in read_stream(m)["units"]] for m in media]
+            units = [None] * len(media) if not read_back else [[{"pts": p, "random_access": r, "size": len(d)} for _, p, r, d in read_stream(m)["units"]] for m in media]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x.encode()) for x in given], pa.int64()), pa.array(media, pa.binary()), pa.array(units, kind)], ["doc_id", "n_bytes", "media", "units"])
 
     return with_text(documents).mapInArrow(rows, SCHEMA)
@@ -242,4 +268,4 @@ def digests(documents: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
 
-    return stored(documents).select("doc_id", "n_bytes", "media").mapInArrow(rows, DIGESTS)
+    return stored(documents, read_back=False).select("doc_id", "n_bytes", "media").mapInArrow(rows, DIGESTS)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reelframe.llm import components, context_tree, license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, suffix_dedup, toxicity, transport_stream
+from reelframe.llm import components, context_tree, license_scan, ngram_join, packing, piece_bpe, quality_classifier, quality_rules, registry, suffix_dedup, toxicity, transport_stream
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -437,6 +437,19 @@ def test_transport_stream_round_trips(docs, rows, none):
     assert units.filter("pts IS NULL").count() == 0 and units.filter("pts = 0 AND random_access").count() == len(rows)
 
 
+def test_transport_stream_tables_span_packets():
+    """A program map of 120 streams takes several packets; the last stream is found only when they are put together."""
+    t = transport_stream
+    pat = t._section(t.PAT_ID, 1, (7).to_bytes(2, "big") + (0xE000 | 0x100).to_bytes(2, "big"))
+    pids = [0x200 + k for k in range(120)]
+    body = (0xE000 | pids[0]).to_bytes(2, "big") + b"\xf0\x00" + b"".join(bytes([6]) + (0xE000 | p).to_bytes(2, "big") + b"\xf0\x03\x05\x01\x00" for p in pids)
+    pmt = b"\x00" + t._section(t.PMT_ID, 7, body)
+    parts = [pmt[i : i + t.ROOM].ljust(t.ROOM, b"\xff") for i in range(0, len(pmt), t.ROOM)]
+    media = t._packet(0, 0, True, (b"\x00" + pat).ljust(t.ROOM, b"\xff")) + b"".join(t._packet(0x100, k, k == 0, x) for k, x in enumerate(parts))
+    got = t.read_stream(media)
+    assert len(parts) > 3 and got["programs"] == {7: {p: 6 for p in pids}} and got["errors"] == 0
+
+
 def test_transport_stream_survives_damage():
     media = transport_stream.write_stream(bytes(range(256)) * 60)
     assert transport_stream.read_stream(media)["errors"] == 0
@@ -451,6 +464,33 @@ def test_transport_stream_survives_damage():
         assert transport_stream.described(transport_stream.write_stream(b"x" * n))[0] == b"x" * n
 
 
+@pytest.mark.parametrize("name", ["op2_suffix_dedup", "op3_ngram_join", "op5_quality_rules"])
+def test_operators_equal_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    result = connection.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    got = registry.queries()[name](spark, folder)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(map(repr, (r[c] for c in columns))) for r in got.collect()) == sorted(tuple(map(repr, r)) for r in result.fetchall())
+
+
+def test_packing_refuses_to_split_for_another_vocabulary(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    import json
+
+    settings = json.load(open(path("word_bpe_49k.json"), encoding="utf-8"))
+    assert packing.splits_at_blanks(settings)
+    settings["normalizer"]["normalizers"].pop()
+    name = str(tmp_path / "cased.json")
+    json.dump(settings, open(name, "w", encoding="utf-8"))
+    texts = ["Some Text it's 12,5", "", "ÄÖ x  y"]
+    library = tokenizers.Tokenizer.from_file(name)
+    assert [x.tolist() for x in packing.ChunkIds(name).encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_license_scan_equals_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     name = "/root/testdata/sf0.001/documents.parquet"
