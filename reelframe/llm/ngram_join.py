@@ -43,7 +43,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Shingles of a chunk; a task with more begins another chunk.
 CHUNK = 2_000_000
-ROUNDS = 6
+ROUNDS = 2
 #: 64-bit words of the parity bits of a set.
 _WORDS = 16
 #: Prefix shingles that a prefix row carries along from before its own, so that a pair isn't found at each of them again.
