@@ -122,9 +122,12 @@ def significant(value: Column, digits: int) -> Column:
 
 
 def bitrate_string(bps: Column) -> Column:
+    """The unit is chosen first, so the number is formatted once."""
     v = F.abs(bps.cast("double"))
-    scaled = lambda by, unit: F.concat(significant(v / by, 3), F.lit(unit))
-    return F.when(v < 10_000, F.concat(thousands(F.round(v)), F.lit(" b/s"))).when(v < 10_000_000, scaled(1000.0, " kb/s")).when(v < 10_000_000_000, scaled(1_000_000.0, " Mb/s")).otherwise(scaled(1_000_000_000.0, " Gb/s"))
+    small = v < 10_000
+    by = F.when(v < 10_000_000, 1e3).when(v < 10_000_000_000, 1e6).otherwise(1e9)
+    unit = F.when(v < 10_000_000, " kb/s").when(v < 10_000_000_000, " Mb/s").otherwise(" Gb/s")
+    return F.when(small, F.concat(thousands(F.round(v)), F.lit(" b/s"))).otherwise(F.concat(significant(v / by, 3), unit))
 
 
 def sampling_rate_string(hz: Column) -> Column:

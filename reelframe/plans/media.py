@@ -141,7 +141,7 @@ def q_probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages and documents as files: texts that no format takes keep their General row alone."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("file"), F.to_binary("html", F.lit("utf-8")).alias("content"))
     cue = F.concat(F.lit("1\n00:00:01,000 --> 00:00:02,500\n"), F.col("text"))
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.to_binary(cue, F.lit("utf-8")).alias("content"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.to_binary(cue, F.lit("utf-8")).alias("content"))
     return media.stream_rows(pages.unionByName(docs)).groupBy("format", "kind").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -196,7 +196,7 @@ ORACLE = {
     "q_ac3_header": f"{_P} SELECT file, 'AC-3' AS format, '2' AS channels, ([{', '.join(map(str, media.AC3_KBITS))}][w // 16 % 19 + 1] * 1000)::VARCHAR AS bitrate, '96' AS duration FROM p",
     "q_mp4_boxes": f"{_P} SELECT file, 'MPEG-4' AS format, 'avc1' AS codecid, w::VARCHAR AS width, h::VARCHAR AS height, h::VARCHAR AS framecount, '23.976' AS framerate, 'eng' AS language FROM p",
     "q_media_roundtrip": f"{_P} SELECT file, ['PNG', 'GIF', 'Bitmap', 'Wave', 'AU', 'AIFF', 'FLAC', 'MPEG-4'][k % 8 + 1] AS format, 100 AS score, [33, 13, 180, 44 + 4 * h, 28, 38, 42, {len(build_mp4(16, 1))}][k % 8 + 1]::BIGINT AS size FROM p",
-    "q_probe_files": "SELECT * FROM (VALUES ('SubRip', 'General'), ('SubRip', 'Text')) AS v(format, kind), (SELECT count(*) AS rows FROM documents WHERE doc_id % 2 = 0) UNION ALL SELECT NULL, 'General', count(*) FROM pages",
+    "q_probe_files": "SELECT * FROM (VALUES ('SubRip', 'General'), ('SubRip', 'Text')) AS v(format, kind), (SELECT count(*) AS rows FROM documents) UNION ALL SELECT NULL, 'General', count(*) FROM pages",
     "q_srt_stats": "WITH t AS (SELECT user_id, event_id * 7919 % 86000000 AS ms FROM events) SELECT user_id::VARCHAR AS file, 'SubRip' AS format, count(*)::VARCHAR AS elementcount, max(ms + 1500)::VARCHAR AS duration, min(ms)::VARCHAR AS delay FROM t GROUP BY user_id",
     "q_probe_rank": "WITH r AS (SELECT * FROM (VALUES (1, 'a', 100), (2, 'b', 60), (3, 'c', 60), (4, 'd', 20)) AS v(place, name, base)), s AS (SELECT p_partkey, name, base AS score, row_number() OVER (PARTITION BY p_partkey ORDER BY base DESC, place) AS n FROM part, r WHERE p_size % (place + 1) = 0) SELECT p_partkey, name, score FROM s WHERE n = 1",
     "q_ext_score": "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 90 WHEN p_partkey % 2 = 0 THEN 60 WHEN p_partkey % 3 = 0 THEN 20 ELSE 0 END AS score FROM part",
