@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.sources import more, tags
+
 Fields = dict[str, object]
 Streams = list[tuple[str, Fields]]
 HEAD = 64 * 1024
@@ -135,6 +137,12 @@ def webp(b: bytes) -> Streams | None:
 # Sound
 
 
+def info_tags(b: bytes) -> Fields:
+    """Tags of a RIFF file's INFO lists."""
+    own = [(at, size) for name, at, size in chunks(b, 12, "little") if name == b"LIST" and b[at : at + 4] == b"INFO"]
+    return tags.riff_info([(n, b[i : i + k]) for at, size in own for n, i, k in chunks(b[: at + size], at + 4, "little")])
+
+
 def wave(b: bytes) -> Streams | None:
     if b[:4] not in (b"RIFF", b"RF64") or b[8:12] != b"WAVE":
         return None
@@ -147,7 +155,8 @@ def wave(b: bytes) -> Streams | None:
             out |= {"StreamSize": size, "Duration": ms(size // out["_align"], out["SamplingRate"]) if out["CodecID"] in "13" and out["_align"] else ms(size, out["BitRate"] / 8)}
             break
     out.pop("_align", None)
-    return [("Audio", out)] if out else None
+    general = info_tags(b)
+    return [*([("General", general)] if general else []), ("Audio", out)] if out else None
 
 
 def avi(b: bytes) -> Streams | None:
@@ -172,7 +181,8 @@ def avi(b: bytes) -> Streams | None:
                     out[-1][1].update({"CodecID": f"{le(b, start, 2):X}", "Channel(s)": le(b, start + 2, 2), "SamplingRate": le(b, start + 4, 4), "BitRate": le(b, start + 8, 4) * 8})
 
     walk(12, len(b))
-    return out or None
+    general = info_tags(b)
+    return [*([("General", general)] if general else []), *out] if out else None
 
 
 def aiff(b: bytes) -> Streams | None:
@@ -216,11 +226,23 @@ def caf(b: bytes) -> Streams | None:
 
 
 def flac(b: bytes) -> Streams | None:
+    general, start = tags.id3v2(b)
+    b = b[start:]
     if b[:4] != b"fLaC" or len(b) < 26 or b[4] & 0x7F:
         return None
     packed = int.from_bytes(b[18:26], "big")
     rate, channels, depth, samples = packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1
-    return [("Audio", {"Format": "FLAC", "Channel(s)": channels, "SamplingRate": rate, "BitDepth": depth, "Duration": ms(samples, rate) if samples else None, "Compression_Mode": "Lossless"})] if rate else None
+    at, last = 4, False
+    while not last and at + 4 <= len(b):  # metadata blocks
+        last, kind, size = b[at] > 127, b[at] & 127, be(b, at + 1, 3)
+        if kind == 4:
+            general |= tags.vorbis(b[at + 4 : at + 4 + size])
+        at += 4 + size
+    length = ms(samples, rate) if samples else None
+    sound = {"Format": "FLAC", "Channel(s)": channels, "SamplingRate": rate, "BitDepth": depth, "Duration": length, "Compression_Mode": "Lossless", "Encoded_Library": general.pop("Encoded_Library", None)}
+    if length and at < len(b):
+        sound |= {"StreamSize": len(b) - at, "BitRate": int((len(b) - at) * 8000 / length + 0.5)}
+    return [*([("General", general)] if general else []), ("Audio", sound)] if rate else None
 
 
 def tta(b: bytes) -> Streams | None:
@@ -286,9 +308,8 @@ def mpeg_header(b: bytes, at: int) -> tuple[int, int, int, int, int, int] | None
 
 
 def mpeg_audio(b: bytes) -> Streams | None:
-    at = 0
-    if b[:3] == b"ID3" and len(b) > 10:
-        at = 10 + (b[6] << 21 | b[7] << 14 | b[8] << 7 | b[9])
+    general, at = tags.id3v2(b)
+    general = tags.id3v1(b) | tags.apev2(b) | general
     head = first = mpeg_header(b, at)
     frames, sizes = 0, set()
     while head and head[:2] == first[:2] and head[3] == first[3]:
@@ -299,7 +320,7 @@ def mpeg_audio(b: bytes) -> Streams | None:
         return None
     version, layer, bits, rate, _, channels = first
     per = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
-    return [("Audio", {"Format": "MPEG Audio", "Format_Version": f"Version {2.5 if version == 25 else version}", "Format_Profile": f"Layer {layer}", "Channel(s)": channels, "SamplingRate": rate, "BitRate_Mode": "CBR" if len(sizes) == 1 else "VBR", "BitRate": bits if len(sizes) == 1 else None, "FrameCount": frames, "Duration": int(frames * per * 1000 / rate)})]
+    return [*([("General", general)] if general else []), ("Audio", {"Format": "MPEG Audio", "Format_Version": f"Version {2.5 if version == 25 else version}", "Format_Profile": f"Layer {layer}", "Channel(s)": channels, "SamplingRate": rate, "BitRate_Mode": "CBR" if len(sizes) == 1 else "VBR", "BitRate": bits if len(sizes) == 1 else None, "FrameCount": frames, "Duration": int(frames * per * 1000 / rate)})]
 
 
 def ac3(b: bytes) -> Streams | None:
@@ -335,6 +356,26 @@ def ivf(b: bytes) -> Streams | None:
     return [("Video", {"Format": code.decode("latin-1"), "CodecID": code.decode("latin-1"), "Width": width, "Height": height, "FrameRate": f"{rate / scale:.3f}" if scale else None, "FrameCount": frames, "Duration": duration, "StreamSize": payload, "BitRate": int(payload * 8000 / duration + 0.5) if duration else None})]
 
 
+def item_tags(b: bytes, at: int, end: int) -> Fields:
+    """Tags of a movie's item list (udta, meta, ilst)."""
+    items = []
+    for kind, s, e in boxes(b, at, end):
+        if kind in (b"udta", b"meta", b"ilst"):
+            skip = 4 if kind == b"meta" and b[s : s + 4] == b"\0\0\0\0" else 0
+            if kind != b"ilst":
+                items.append(item_tags(b, s + skip, e))
+                continue
+            own = []
+            for name, i, j in boxes(b, s, e):
+                parts = {k: (p, q) for k, p, q in boxes(b, i, j)}
+                if b"data" in parts:
+                    p, q = parts[b"data"]
+                    full = ":".join(["----", *(b[x + 4 : y].decode("utf-8", "replace") for x, y in (parts[n] for n in (b"mean", b"name") if n in parts))]) if name == b"----" else name.decode("latin-1")
+                    own.append((full, be(b, p, 4) & 0xFFFFFF, b[p + 8 : q]))
+            items.append(tags.mp4_items(own))
+    return {k: v for own in items for k, v in own.items()}
+
+
 def mp4(b: bytes) -> Streams | None:
     out: Streams = []
     movie = next(((s, e) for t, s, e in boxes(b, 0, len(b)) if t == b"moov"), None)
@@ -376,7 +417,8 @@ def mp4(b: bytes) -> Streams | None:
                 fields |= {"FrameCount": samples, "FrameRate": f"{scale / runs[0][1] if len(runs) == 1 else samples * scale / ticks:.3f}", "FrameRate_Mode": "CFR" if len(runs) == 1 or (len(runs) == 2 and runs[1][0] == 1) else "VFR"}
         if label:
             out.append((label, fields))
-    return out
+    general = item_tags(b, *movie)
+    return [*([("General", general)] if general else []), *out]
 
 
 def ebml(b: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
@@ -437,7 +479,7 @@ def matroska(b: bytes) -> Streams | None:
 
 
 def ogg(b: bytes) -> Streams | None:
-    at, out, last = 0, {}, {}
+    at, out, last, general = 0, {}, {}, {}
     while b[at : at + 4] == b"OggS" and at + 27 <= len(b):
         granule, serial = struct.unpack("<qI", b[at + 6 : at + 18])
         count = b[at + 26]
@@ -453,13 +495,17 @@ def ogg(b: bytes) -> Streams | None:
                 out[serial] = inner[0]
             elif data[:7] == b"\x80theora" and len(data) >= 30:
                 out[serial] = ("Video", {"Format": "Theora", "Width": be(data, 14, 3), "Height": be(data, 17, 3), "FrameRate": f"{be(data, 22, 4) / max(1, be(data, 26, 4)):.3f}"})
+        else:
+            for mark in (b"\x03vorbis", b"OpusTags", b"\x81theora"):
+                if data.startswith(mark):
+                    general = tags.vorbis(data[len(mark) :]) | general
         if granule >= 0:
             last[serial] = granule
         at = body + size
     for serial, (kind, fields) in out.items():
         if kind == "Audio" and serial in last:
             fields["Duration"] = ms(last[serial], fields["SamplingRate"])
-    return list(out.values()) or None
+    return [*([("General", general)] if general else []), *out.values()] if out else None
 
 
 def flv(b: bytes) -> Streams | None:
@@ -581,6 +627,34 @@ def _is_ass(head: bytes, ext: str, size: int) -> int:
     return 100 if text.startswith("[Script Info]") else 70 if ext in ("ass", "ssa") and "[Events]" in text and "Dialogue:" in text else 0
 
 
+def _is_transport(head: bytes, ext: str, size: int) -> int:
+    shape = more.packet_size(head)
+    if not shape:
+        return 0
+    return 100 if ext in ("ts", "m2t", "m2ts", "mts", "tp", "trp", "tmf") else 90 if shape == (188, 0) else 85
+
+
+def _is_annex_b(kind: Callable[[bytes], int], needed: set[int], exts: tuple[str, ...]) -> Probe:
+    """Start codes from the beginning on, and all parameter sets in the first 4 KiB."""
+
+    def probe(head: bytes, ext: str, size: int) -> int:
+        if not re.match(rb"\x00{2,3}\x01", head):
+            return 0
+        own = [u for u in more.units(head[:4096]) if u and not u[0] & 128]
+        if needed <= {kind(u) for u in own}:
+            return 95 if ext in exts else 70
+        return 40 if ext in exts and len(own) > 1 else 0
+
+    return probe
+
+
+def ext_score(magic: bool, ext: bool) -> int:
+    """Score of a format with and without its magic bytes and its extension."""
+    return 90 if magic and ext else 60 if magic else 20 if ext else 0
+
+
+#: What a probe or parser may raise on bytes that are cut off or damaged; the file then tells the first in ParseError.
+DAMAGE = (IndexError, struct.error, TypeError, ValueError, ZeroDivisionError, OverflowError, KeyError, EOFError)
 #: In order: name, probe of (head, extension, size), parser.
 REGISTRY: list[tuple[str, Probe, Callable[[bytes], Streams | None]]] = [
     ("Matroska", _magic(b"\x1a\x45\xdf\xa3"), matroska),
@@ -592,19 +666,37 @@ REGISTRY: list[tuple[str, Probe, Callable[[bytes], Streams | None]]] = [
     ("AU", lambda h, e, n: 0 if h[:4] != b".snd" else 100 if (be(h, 4, 4) or 0) >= 24 and 1 <= (be(h, 12, 4) or 0) <= 27 else 60, au),
     ("CAF", lambda h, e, n: 0 if h[:4] != b"caff" else 100 if h[4:6] == b"\0\1" and h[8:12] == b"desc" else 70, caf),
     ("Ogg", lambda h, e, n: 100 if h[:5] == b"OggS\0" else 0, ogg),
+    ("ASF", _magic(more.ASF_HEADER), more.asf),
     ("Flash Video", lambda h, e, n: 0 if h[:3] != b"FLV" else 100 if h[3:4] == b"\1" and be(h, 5, 4) == 9 else 70, flv),
+    ("RealMedia", _magic(b".RMF"), more.real),
+    ("MXF", lambda h, e, n: 100 if h.startswith(more.MXF_KEY) else 80 if more.MXF_KEY in h else 0, more.mxf),
+    ("Nut", _magic(more.NUT_HEAD), more.nut),
     ("IVF", lambda h, e, n: 0 if h[:4] != b"DKIF" else 100 if h[4:8] == b"\0\0\x20\0" else 80, ivf),
+    ("MPEG-TS", _is_transport, more.transport),
+    ("MPEG-PS", lambda h, e, n: 0 if b"\0\0\1\xba" not in h else 60 if h[:4] != b"\0\0\1\xba" else 100 if e in ("mpeg", "mpg", "m2p", "vob", "vro", "pss", "evo") else 90, more.program),
+    ("DV", _chained(lambda h: more.dv(h) is not None, ("dv", "dif")), more.dv),
     ("FLAC", lambda h, e, n: (100 if be(h, 5, 3) == 34 else 80) if h[:4] == b"fLaC" else 20 if e == "flac" else 0, flac),
+    ("WavPack", lambda h, e, n: (100 if more.wavpack(h) else 40) if h[:4] == b"wvpk" else 20 if e in ("wv", "wvc") else 0, more.wavpack),
     ("TTA", lambda h, e, n: (100 if tta(h) else 40) if h[:4] == b"TTA1" else 20 if e == "tta" else 0, tta),
+    ("Monkey's Audio", lambda h, e, n: (100 if more.ape(h) else 50) if h[:4] == b"MAC " else 20 if e in ("ape", "mac") else 0, more.ape),
     ("AMR", lambda h, e, n: 100 if h.startswith((b"#!AMR\n", b"#!AMR-WB\n")) else 10 if e == "amr" else 0, amr),
+    ("MLP", lambda h, e, n: (60 if e in ("mlp", "thd") else 30) if more.mlp(h) else 0, more.mlp),
     ("AC-3", _chained(lambda h: ac3(h) is not None, ("ac3",)), ac3),
+    ("DTS", _chained(lambda h: more.dts(h) is not None, ("dts", "dtshd")), more.dts),
     ("ADTS", _chained(lambda h: adts(h) is not None, ("aac", "adts")), adts),
+    ("LATM", _chained(lambda h: more.latm(h) is not None, ("latm", "loas"), 65), more.latm),
     ("MPEG Audio", _chained(lambda h: mpeg_audio(h) is not None, ("mp1", "mp2", "mp3", "mpa")), mpeg_audio),
+    ("AVC", _is_annex_b(lambda u: u[0] & 31, {7, 8}, ("avc", "h264", "264")), more.avc),
+    ("HEVC", _is_annex_b(lambda u: u[0] >> 1 & 63, {32, 33, 34}, ("hevc", "h265", "265")), more.hevc),
+    ("MPEG Video", lambda h, e, n: 0 if h[:4] != b"\0\0\1\xb3" or b"\0\0\1\0" not in h else 95 if e in ("mpgv", "mpv", "mp1v", "m1v", "mp2v", "m2v") else 60 if b"\0\0\1\xb8" in h or b"\0\0\1\xb5" in h else 0, more.mpeg_video),
+    ("MPEG-4 Visual", lambda h, e, n: 0 if not re.match(rb"\x00\x00\x01[\xb0\xb5\x00-\x2f]", h) or not re.search(rb"\x00\x00\x01[\x20-\x2f]", h) or b"\0\0\1\xb6" not in h else 95 if e in ("m4v", "mp4v") else 60, more.mpeg4_visual),
+    ("VC-3", lambda h, e, n: 0 if h[:4] != b"\0\0\2\x80" else 90 if e in ("dnxhd", "vc3") else 40, more.vc3),
     ("JPEG", lambda h, e, n: 100 if h[:3] == b"\xff\xd8\xff" else 60 if e in ("jpg", "jpeg") and h[:2] == b"\xff\xd8" else 0, jpeg),
     ("PNG", lambda h, e, n: 0 if h[:8] != b"\x89PNG\r\n\x1a\n" else 100 if h[12:16] == b"IHDR" else 80, png),
     ("GIF", _magic(b"GIF87a", b"GIF89a"), gif),
     ("Bitmap", lambda h, e, n: 0 if not bmp(h) else 100 if (le(h, 10, 4) or 0) <= n else 60, bmp),
     ("TIFF", lambda h, e, n: 0 if h[:4] not in (b"II*\0", b"MM\0*") else 100 if int.from_bytes(h[4:8], "little" if h[:1] == b"I" else "big") < n else 50, tiff),
+    ("JPEG 2000", lambda h, e, n: 100 if h[:12] == b"\0\0\0\x0cjP  \r\n\x87\n" else 0 if h[:4] != b"\xff\x4f\xff\x51" else 100 if e in ("j2k", "j2c", "jpc") else 90, more.jpeg2000),
     ("SubRip", lambda h, e, n: 100 if _is_cue(h) else 0, srt),
     ("ASS/SSA", _is_ass, ass),
     ("WebVTT", lambda h, e, n: 100 if re.match(r"WEBVTT(?:\s|$)", decoded(h) or "") else 0, vtt),
@@ -614,7 +706,14 @@ REGISTRY: list[tuple[str, Probe, Callable[[bytes], Streams | None]]] = [
 
 def scores(head: bytes, ext: str, size: int) -> list[tuple[str, int]]:
     """Formats with a score, best first, ties in registry order."""
-    found = [(name, probe(head, ext, size)) for name, probe, _ in REGISTRY]
+
+    def score(probe: Probe) -> int:
+        try:
+            return probe(head, ext, size)
+        except DAMAGE:
+            return 0
+
+    found = [(name, score(probe)) for name, probe, _ in REGISTRY]
     return sorted((x for x in found if x[1] > 0), key=lambda x: -x[1])
 
 
@@ -622,15 +721,16 @@ def parsed(name: str, data: bytes) -> tuple[str | None, int, Streams]:
     """Format, score and streams of a file; (None, 0, [General]) when no format takes it."""
     ext = name.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in name.rsplit("/", 1)[-1].lstrip(".") else ""
     parsers = {n: p for n, _, p in REGISTRY}
+    failed: str | None = None
     for format_, score in scores(data[:HEAD], ext, len(data)):
         try:
             streams = parsers[format_](data)
-        except (IndexError, struct.error, TypeError, ValueError, ZeroDivisionError, OverflowError, KeyError):
-            streams = None  # damaged beyond what the format's checks foresee
+        except DAMAGE as error:
+            streams, failed = None, failed or f"{format_}: {type(error).__name__}"  # damaged beyond what the format's checks foresee
         if streams is not None:
             general = dict(next((f for k, f in streams if k == "General"), {}))
             return format_, score, [("General", {"Format": format_, "FileSize": len(data)} | general), *((k, f) for k, f in streams if k != "General")]
-    return None, 0, [("General", {"FileSize": len(data), "StreamSize": len(data)})]
+    return None, 0, [("General", {"FileSize": len(data), "StreamSize": len(data), "ParseError": failed})]
 
 
 def stream_rows(files: DataFrame, name: str = "file", content: str = "content") -> DataFrame:
