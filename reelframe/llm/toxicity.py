@@ -34,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, fold, gather, pieces, with_text
+from reelframe.llm.common import checkpointed, flat_bytes, fold, gather, pieces, with_text
 from reelframe.llm.textstats import Words, mix, prefix_hashes, span_hashes
 
-MAX_TRAINING = 16_000
+MAX_TRAINING = 8_000
 DISCOUNT = 0.75
 #: Classes whose rates of an expression differ by less than this factor are taken to agree in it; and the odds that they
 #: differ, before its counts are seen.
@@ -70,45 +70,59 @@ class Spelled:
         self.before[1:] = own[:-1]
         heads = self.words.first[self.words.per_doc > 0]
         self.before[heads] = _START
-        self.pair = mix(self.before * np.uint64(0x9E3779B97F4A7C15) + own)
+        self.pair = pair_keys(self.before, own)
         self.earlier = np.full(len(own), _START)
         self.earlier[1:] = self.before[:-1]
         self.earlier[heads] = _START
 
-    def beginnings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every form: the keys of its beginnings of 1 byte, 2 bytes, ..., the whole, and then its end; their form, their depth."""
-        form = np.repeat(np.arange(len(self.size)), self.size + 1)
-        depth = gather(np.ones(len(self.size), np.int64), self.size + 1)
-        whole = depth > self.size[form]
-        starts = self.starts[form]
-        key = span_hashes(self.prefix, starts, starts + np.minimum(depth, self.size[form]))
-        return np.where(whole, mix(key ^ _END), key), form, depth
 
+def beginnings(prefix: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word: the keys of its beginnings of 1 byte, 2 bytes, ..., the whole, and then its end; their word, their depth."""
+    form = np.repeat(np.arange(len(size)), size + 1)
+    depth = gather(np.ones(len(size), np.int64), size + 1)
+    whole = depth > size[form]
+    key = span_hashes(prefix, starts[form], starts[form] + np.minimum(depth, size[form]))
+    return np.where(whole, mix(key ^ _END), key), form, depth
 
-PAIRS = "key long, context long, word long, earlier long, toxic boolean, ordinary boolean"
-BEGINNINGS = "key long, context long, word long"
 
+TRIPLES = "context long, word long, earlier int, toxic boolean"
+FORMS = "word long, form binary"
+BEGINNINGS = "key long, context long, toxic long, ordinary long"
 
-def _longs(**columns: np.ndarray) -> pa.RecordBatch:
+
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _columns(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for n, v in columns.items()})
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different (word before the first, pair of words) of each batch, and the classes that have them."""
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different (word before the first, pair of words, class) of each batch; of the first word 32 bits tell enough."""
     for batch in pieces(batches):
         own = Spelled(batch.column("text"))
         toxic = batch.column("label").to_numpy(zero_copy_only=False)[own.words.doc] == 1
-        triple, first, at = np.unique(mix(own.pair + mix(own.earlier)), return_index=True, return_inverse=True)
-        has = [np.bincount(at, weights=x, minlength=len(triple)) > 0 for x in (toxic, ~toxic)]
-        yield _longs(key=own.pair[first], context=own.before[first], word=own.hashes[own.word[first]], earlier=own.earlier[first], toxic=has[0], ordinary=has[1])
+        first = np.unique(mix(own.pair + mix(own.earlier) + toxic), return_index=True)[1]
+        yield _columns(context=own.before[first], word=own.hashes[own.word[first]], earlier=(own.earlier[first] >> np.uint64(32)).astype(np.uint32).view(np.int32), toxic=toxic[first])
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The beginnings of each batch's different words (context: the beginning that is a byte shorter, or 0)."""
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words of each batch."""
     for batch in pieces(batches):
         own = Spelled(batch.column("text"))
-        key, form, depth = own.beginnings()
-        yield _longs(key=key, context=np.where(depth > 1, np.roll(key, 1), np.uint64(0)), word=own.hashes[form])
+        data = own.words.flat.tobytes()
+        forms = [data[i : i + n].lower() for i, n in zip(own.starts.tolist(), own.size.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(own.hashes.view(np.int64)), pa.array(forms, pa.binary())], ["word", "form"])
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The beginnings of words with the words' counts (context: the beginning that is a byte shorter, or 0)."""
+    for batch in pieces(batches, "form"):
+        flat, offsets = flat_bytes(batch.column("form"))
+        key, form, depth = beginnings(prefix_hashes(flat), offsets[:-1], np.diff(offsets))
+        counts = {n: batch.column(n).to_numpy()[form] for n in ("toxic", "ordinary")}
+        yield _columns(key=key, context=np.where(depth > 1, np.roll(key, 1), np.uint64(0)), **counts)
 
 
 class Table:
@@ -158,11 +172,11 @@ class ClassModels:
     """Both classes' models (rows 0: ordinary, 1: toxic of each table) and the logistic curve."""
 
     def __init__(self, pairs: pa.Table, contexts: pa.Table, words: pa.Table, nodes: pa.Table):
-        """Tables of key, ordinary, toxic: pairs of words, words that stand before another (and of how many different ones:
+        """Tables of key, ordinary, toxic: pairs of words (context, word), words that stand before another (and of how many different ones:
         ordinary_types, toxic_types), words, and beginnings (context: the shorter one)."""
         keys = lambda t, name="key": t.column(name).to_numpy().view(np.uint64)
         both = lambda t, *names: np.stack([t.column(n).to_numpy().astype(float) for n in names])
-        self.pairs = Table(keys(pairs), *both(pairs, "ordinary", "toxic"))
+        self.pairs = Table(pair_keys(keys(pairs, "context"), keys(pairs, "word")), *both(pairs, "ordinary", "toxic"))
         self.before = Table(keys(contexts), *both(contexts, "ordinary", "toxic", "ordinary_types", "toxic_types"))
         self.after = Contexts(np.stack(self.before.values[:2]), np.stack(self.before.values[2:]))
         company = both(words, "ordinary", "toxic")
@@ -194,7 +208,7 @@ class ClassModels:
         n = len(own.size)
         if not n or not len(self.nodes.keys):
             return np.zeros((2, n))
-        key, _, depth = own.beginnings()
+        key, _, depth = beginnings(own.prefix, own.starts, own.size)
         place = self.nodes.find(key)
         heads = np.cumsum(own.size + 1) - (own.size + 1)
         known = np.maximum.reduceat(np.where(place >= 0, depth, 0), heads)
@@ -244,15 +258,17 @@ def count(sample: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     count, so copies of a text count once.
     """
     rows = sample.select("label", "text")
-    some = lambda c: F.sum(F.col(c).cast("long")).alias(c)
-    triples = rows.mapInArrow(_pairs, PAIRS).groupBy("key", "context", "word", "earlier").agg(F.max("toxic").alias("toxic"), F.max("ordinary").alias("ordinary"))
-    pairs = checkpointed(triples.groupBy("key", "context", "word").agg(some("toxic"), some("ordinary")))
+    some = lambda c: F.sum(F.col(c)).cast("long").alias(c)
+    # Dealt by pair once: what a pair counts is then local.
+    triples = rows.mapInArrow(_triples, TRIPLES).repartition("context", "word").groupBy("context", "word", "earlier").agg(F.max("toxic").cast("int").alias("toxic"), F.max(~F.col("toxic")).cast("int").alias("ordinary"))
+    pairs = checkpointed(triples.groupBy("context", "word").agg(some("toxic"), some("ordinary")))
     types = [F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in ("toxic", "ordinary")]
     contexts = pairs.groupBy(F.col("context").alias("key")).agg(some("toxic"), some("ordinary"), *types)
     words = pairs.groupBy(F.col("word").alias("key")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary")))
-    nodes = rows.mapInArrow(_beginnings, BEGINNINGS).distinct().join(words.withColumnRenamed("key", "word"), "word").groupBy("key", "context").agg(some("toxic"), some("ordinary"))
+    forms = rows.mapInArrow(_forms, FORMS).groupBy("word").agg(F.min("form").alias("form"))
+    nodes = forms.join(words.withColumnRenamed("key", "word"), "word").mapInArrow(_beginnings, BEGINNINGS).groupBy("key", "context").agg(some("toxic"), some("ordinary"))
     several = F.col("toxic") + F.col("ordinary") >= MIN_COUNT
-    return pairs.filter(several).select("key", "toxic", "ordinary"), contexts, words, nodes.filter(several)
+    return pairs.filter(several), contexts, words, nodes.filter(several)
 
 
 def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> ClassModels:
