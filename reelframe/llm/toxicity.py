@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,6 @@ def beginnings(prefix: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tupl
 
 TRIPLES = "context long, word long, earlier int, toxic boolean"
 FORMS = "word long, form binary"
-BEGINNINGS = "key long, context long, toxic long, ordinary long"
 
 
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -116,13 +116,31 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own.hashes.view(np.int64)), pa.array(forms, pa.binary())], ["word", "form"])
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The beginnings of words with the words' counts (context: the beginning that is a byte shorter, or 0)."""
-    for batch in pieces(batches, "form"):
-        flat, offsets = flat_bytes(batch.column("form"))
-        key, form, depth = beginnings(prefix_hashes(flat), offsets[:-1], np.diff(offsets))
-        counts = {n: batch.column(n).to_numpy()[form] for n in ("toxic", "ordinary")}
-        yield _columns(key=key, context=np.where(depth > 1, np.roll(key, 1), np.uint64(0)), **counts)
+PACKED = "context binary, word binary, toxic binary, ordinary binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the triples of a task, which has all of a pair: each pair's different words before it, in one row of arrays."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        mine = pa.Table.from_batches(held)
+        context, word, earlier = (mine.column(n).to_numpy() for n in ("context", "word", "earlier"))
+        toxic = mine.column("toxic").to_numpy(zero_copy_only=False)
+        order = np.lexsort((toxic, earlier, word, context))
+        context, word, earlier, toxic = (x[order] for x in (context, word, earlier, toxic))
+        pair = np.ones(len(order), bool)
+        pair[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+        new = pair.copy()
+        new[1:] |= (earlier[1:] != earlier[:-1]) | (toxic[1:] != toxic[:-1])
+        heads = np.flatnonzero(pair)
+        sums = [np.add.reduceat((new & x).astype(np.int32), heads, dtype=np.int32) for x in (toxic, ~toxic)]
+        yield pa.RecordBatch.from_pydict({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("context", "word", "toxic", "ordinary"), (context[heads], word[heads], *sums), strict=True)})
+
+
+def _summed(keys: dict[str, np.ndarray], by: str, sums: dict[str, np.ndarray]) -> pa.Table:
+    """The keys of different values of keys[by], with the sums of their rows."""
+    _, first, at = np.unique(keys[by], return_index=True, return_inverse=True)
+    return pa.table({n: k[first].view(np.int64) for n, k in keys.items()} | {n: np.bincount(at, weights=x, minlength=len(first)).astype(np.int64) for n, x in sums.items()})
 
 
 class Table:
@@ -251,28 +269,31 @@ class ClassModels:
         return 1 / (1 + np.exp(-np.clip(self.statistics(column) @ self.curve, -30, 30)))
 
 
-def count(sample: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def count(sample: DataFrame) -> tuple[pa.Table, pa.Table, pa.Table, pa.Table]:
     """The four tables of ClassModels from rows of label and text.
 
     A pair counts the different words before it, a word the different words before it, and a beginning what its words
-    count, so copies of a text count once.
+    count, so copies of a text count once. The driver holds the sample's different pairs and words, 24 bytes each.
     """
     rows = sample.select("label", "text")
-    some = lambda c: F.sum(F.col(c)).cast("long").alias(c)
-    # Dealt by pair once: what a pair counts is then local.
-    triples = rows.mapInArrow(_triples, TRIPLES).repartition("context", "word").groupBy("context", "word", "earlier").agg(F.max("toxic").cast("int").alias("toxic"), F.max(~F.col("toxic")).cast("int").alias("ordinary"))
-    pairs = checkpointed(triples.groupBy("context", "word").agg(some("toxic"), some("ordinary")))
-    types = [F.count_if(F.col(c) > 0).alias(f"{c}_types") for c in ("toxic", "ordinary")]
-    contexts = pairs.groupBy(F.col("context").alias("key")).agg(some("toxic"), some("ordinary"), *types)
-    words = pairs.groupBy(F.col("word").alias("key")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("toxic", "ordinary")))
-    forms = rows.mapInArrow(_forms, FORMS).groupBy("word").agg(F.min("form").alias("form"))
-    nodes = forms.join(words.withColumnRenamed("key", "word"), "word").mapInArrow(_beginnings, BEGINNINGS).groupBy("key", "context").agg(some("toxic"), some("ordinary"))
-    several = F.col("toxic") + F.col("ordinary") >= MIN_COUNT
-    return pairs.filter(several), contexts, words, nodes.filter(several)
+    packed = rows.mapInArrow(_triples, TRIPLES).repartition("context", "word").mapInArrow(_packed, PACKED).toArrow()
+    context, word, toxic, ordinary = (np.concatenate([np.empty(0, t), *(np.frombuffer(x, t) for x in packed.column(n).to_pylist())]) for n, t in (("context", np.uint64), ("word", np.uint64), ("toxic", np.int32), ("ordinary", np.int32)))
+    types = {"toxic_types": toxic > 0, "ordinary_types": ordinary > 0}
+    contexts = _summed({"key": context}, "key", {"toxic": toxic, "ordinary": ordinary} | types)
+    words = _summed({"key": word}, "key", {"toxic": toxic > 0, "ordinary": ordinary > 0})
+    several = toxic + ordinary >= MIN_COUNT
+    pairs = pa.table({"context": context[several].view(np.int64), "word": word[several].view(np.int64), "toxic": toxic[several], "ordinary": ordinary[several]})
+    forms = rows.mapInArrow(_forms, FORMS).groupBy("word").agg(F.min("form").alias("form")).toArrow().combine_chunks().sort_by("word")
+    own = words.take(pa.compute.index_in(forms.column("word"), words.column("key").combine_chunks()))
+    flat, offsets = flat_bytes(forms.column("form").combine_chunks())
+    key, form, depth = beginnings(prefix_hashes(flat), offsets[:-1], np.diff(offsets))
+    above = np.where(depth > 1, np.roll(key, 1), np.uint64(0))
+    nodes = _summed({"key": key, "context": above}, "key", {n: own.column(n).to_numpy()[form] for n in ("toxic", "ordinary")})
+    return pairs, contexts, words, nodes.filter(pa.compute.greater_equal(pa.compute.add(nodes.column("toxic"), nodes.column("ordinary")), MIN_COUNT))
 
 
 def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> ClassModels:
-    """Learn from at most bound rows; the tables that reach the driver have no more rows than these have bytes."""
+    """Learn from at most bound rows; the tables that reach the driver grow with these alone."""
     given = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -280,7 +301,7 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> C
     )
     # At most bound rows of two numbers: small enough to broadcast at any size of the tables.
     sample = checkpointed(with_text(documents).join(F.broadcast(given), "doc_id"))
-    model = ClassModels(*(t.toArrow() for t in count(sample.filter(fold(F.col("doc_id")) != 1))))
+    model = ClassModels(*count(sample.filter(fold(F.col("doc_id")) != 1)))
     if not model.ready:
         return model
     shared = documents.sparkSession.sparkContext.broadcast(model)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -286,16 +287,16 @@ def test_toxicity_counts_and_estimates_by_brute_force(spark):
     """Continuation counts of a small sample, and estimates that sum to one over what may follow."""
     texts = [("a bad cat sat", 1), ("a bad cat sat", 1), ("the bad cat ran", 1), ("a good cat sat", 0), ("the good dog sat", 0), ("", 0)]
     frame = spark.createDataFrame([(t, y) for t, y in texts], "text string, label int")
-    pairs, contexts, words, nodes = toxicity.count(frame)
+    pairs, contexts, words, nodes = ([types.SimpleNamespace(**r) for r in t.to_pylist()] for t in toxicity.count(frame))
     triples = {(y, *x) for t, y in texts for w in [["^", "^", *t.split()]] for x in zip(w, w[1:], w[2:]) if t}
     company = collections.Counter((y, w) for y, _, v, w in {(y, 0, v, w) for y, _, v, w in triples})
-    assert sorted(r.toxic for r in words.collect()) == sorted(company[1, w] for w in {w for _, w in company})
-    assert sorted(r.ordinary for r in words.collect()) == sorted(company[0, w] for w in {w for _, w in company})
+    assert sorted(r.toxic for r in words) == sorted(company[1, w] for w in {w for _, w in company})
+    assert sorted(r.ordinary for r in words) == sorted(company[0, w] for w in {w for _, w in company})
     after = collections.Counter((y, v) for y, _, v, _ in triples)
-    assert sorted((r.toxic, r.ordinary) for r in contexts.collect()) == sorted((after[1, v], after[0, v]) for v in {v for _, v in after})
+    assert sorted((r.toxic, r.ordinary) for r in contexts) == sorted((after[1, v], after[0, v]) for v in {v for _, v in after})
     begin = collections.Counter((y, w[:k] + ("$" if k > len(w) else "")) for (y, w), n in company.items() for k in range(1, len(w) + 2) for _ in range(n))
     several = {b for _, b in begin if begin[0, b] + begin[1, b] > 1}
-    assert sorted((r.toxic, r.ordinary) for r in nodes.collect()) == sorted((begin[1, b], begin[0, b]) for b in several)
+    assert sorted((r.toxic, r.ordinary) for r in nodes) == sorted((begin[1, b], begin[0, b]) for b in several)
     own = toxicity.Contexts(np.array([[7.0], [5.0]]), np.array([[2.0], [2.0]]))
     counts, backoff = np.array([[4.0, 3.0, 0.0], [1.0, 4.0, 0.0]]), np.array([[0.5, 0.3, 0.2]] * 2)
     assert np.allclose(own.mass[0] * backoff.sum(1) + (1 - own.mass[0]) * (np.maximum(counts - 0.75, 0) / own.kept[:, :1]).sum(1), 1)
