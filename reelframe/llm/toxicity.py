@@ -159,11 +159,11 @@ class Table:
 
 def _significance(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Chance that the classes differ in an event by more than FACTOR: the binomial likelihood ratio against PRIOR."""
-    ordinary, toxic = counts
-    size = np.maximum(totals, 1e-9)
+    ordinary, toxic = counts.astype(float)
+    size = np.maximum(totals.astype(float), 1e-9)
     low, high = (size[1] * f / (size[1] * f + size[0]) for f in (1 / FACTOR, FACTOR))
     share = toxic / np.maximum(ordinary + toxic, 1e-9)
-    near = np.clip(share, low, high)
+    near = np.clip(np.clip(share, low, high), 1e-9, 1 - 1e-9)
     gain = toxic * np.log(np.maximum(share, 1e-9) / near) + ordinary * np.log(np.maximum(1 - share, 1e-9) / (1 - near))
     return 1 / (1 + np.exp(np.clip(-np.log(PRIOR) - gain, -60, 60)))
 
@@ -176,7 +176,7 @@ class Contexts:
 
     def __init__(self, total: np.ndarray, types: np.ndarray):
         """Rows of both classes; the last context stands for none."""
-        self.total, self.kept = (np.pad(x.astype(float), ((0, 0), (0, 1))) for x in (total, np.maximum(total - DISCOUNT * types, 0)))
+        self.total, self.kept = (np.pad(x, ((0, 0), (0, 1))).astype(np.float32) for x in (total, np.maximum(total - DISCOUNT * types, 0)))
         self.mass = np.where((self.total > 0).all(0), 1 - (self.kept / np.maximum(self.total, 1e-9)).min(0), 1.0)
 
     def estimate(self, slot: np.ndarray, counts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
@@ -193,19 +193,24 @@ class ClassModels:
         """Tables of key, ordinary, toxic: pairs of words (context, word), words that stand before another (and of how many different ones:
         ordinary_types, toxic_types), words, and beginnings (context: the shorter one)."""
         keys = lambda t, name="key": t.column(name).to_numpy().view(np.uint64)
-        both = lambda t, *names: np.stack([t.column(n).to_numpy().astype(float) for n in names])
+        both = lambda t, *names: np.stack([t.column(n).to_numpy().astype(np.float32) for n in names])
         self.pairs = Table(pair_keys(keys(pairs, "context"), keys(pairs, "word")), *both(pairs, "ordinary", "toxic"))
-        self.before = Table(keys(contexts), *both(contexts, "ordinary", "toxic", "ordinary_types", "toxic_types"))
-        self.after = Contexts(np.stack(self.before.values[:2]), np.stack(self.before.values[2:]))
+        # A context without a kept pair leaves all to the backoff, as an unknown one does.
+        before = Table(keys(contexts), *both(contexts, "ordinary", "toxic", "ordinary_types", "toxic_types"))
+        used = np.isin(before.keys, keys(pairs, "context"))
+        self.before = Table(before.keys[used])
+        total, types = (np.stack([x[used] for x in before.values[k : k + 2]]) for k in (0, 2))
+        self.after = Contexts(total, types)
         company = both(words, "ordinary", "toxic")
-        total = max(company.sum(), 1)
+        total = max(float(company.sum()), 1.0)
         self.rest = DISCOUNT * company.shape[1] / total
-        self.words = Table(keys(words), *company, np.maximum(company.sum(0) - DISCOUNT, 0) / total)
+        self.words = Table(keys(words), *company, (np.maximum(company.sum(0) - DISCOUNT, 0) / total).astype(np.float32))
         self.any = Contexts(company.sum(1, keepdims=True), (company > 0).sum(1, keepdims=True))
         self.ready = bool((company.sum(1) > 0).all())
         self.curve = np.array([-np.inf, 0.0])
         self.nodes = Table(keys(nodes), keys(nodes, "context"), *both(nodes, "ordinary", "toxic"))
-        above, counts = self.nodes.values[0], np.stack(self.nodes.values[1:])
+        above, counts = self.nodes.values[0], np.stack(self.nodes.values[1:]).astype(float)
+        self.nodes.values = []
         root = above == 0
         parent = self.nodes.find(above)
         size = len(above) + 1
@@ -219,7 +224,7 @@ class ClassModels:
             more = up >= 0
             logs = logs + np.where(more, logs[:, up], 0)
             up = np.where(more, up[up], -1)
-        self.spelled = logs
+        self.spelled = logs.astype(np.float32)
 
     def spelling(self, own: Spelled) -> np.ndarray:
         """Log-likelihood of each form's spelling in both classes; what follows the longest known beginning is equal in both."""
@@ -312,6 +317,7 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = MAX_TRAINING) -> C
             yield pa.RecordBatch.from_pydict({"label": batch.column("label").to_pylist(), "x": x.tolist()})
 
     seen = sample.filter(fold(F.col("doc_id")) == 1).select("label", "text").mapInArrow(measure, "label long, x array<double>").toArrow()
+    shared.destroy()
     model.fit_curve(np.array(seen.column("x").to_pylist(), float).reshape(-1, 2), np.array(seen.column("label").to_pylist(), float))
     return model
 
