@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import checkpointed, flat_bytes, fold, gather, pieces, with_text
 from reelframe.llm.textstats import Words, mix, prefix_hashes, span_hashes
 
-MAX_TRAINING = 8_000
+MAX_TRAINING = 6_000
 DISCOUNT = 0.75
 #: Classes whose rates of an expression differ by less than this factor are taken to agree in it; and the odds that they
 #: differ, before its counts are seen.
