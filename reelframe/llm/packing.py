@@ -32,7 +32,9 @@ CAPACITY = 2048
 END_ID = 0
 GROUP = 20_000
 #: Distinct blank-separated chunks whose ids a worker keeps; beyond that it starts anew.
-KEPT_CHUNKS = 300_000
+KEPT_CHUNKS = 500_000
+#: Text bytes that are encoded at once: in larger pieces the same chunks come again, so fewer are looked up.
+PIECE = 4 << 20
 #: Chunks of these characters are cut into the vocabulary's words here, and only new words are encoded; all other chunks
 #: (and those that may hold a special token) go to the library whole.
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
@@ -139,7 +141,7 @@ def cut(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataF
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=PIECE):
             found: list[tuple] = []
             for row, doc, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
