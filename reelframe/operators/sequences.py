@@ -76,3 +76,50 @@ def edit_list(rows: DataFrame, key: str) -> DataFrame:
     """Of edits (duration, media_time): delay of the empty ones, presentation of the others, first media time."""
     empty = F.col("media_time") == -1
     return rows.groupBy(key).agg(F.sum(F.when(empty, F.col("duration")).otherwise(0)).alias("delay"), F.sum(F.when(~empty, F.col("duration")).otherwise(0)).alias("presentation"), F.min(F.when(~empty, F.col("media_time"))).alias("media_start"))
+
+
+def first_and_last(rows: DataFrame, key: str, time: str, length: str, order: list[str]) -> DataFrame:
+    """The first stamp seen, and the end of the latest one; of equal stamps the one seen last gives its length."""
+    seen = F.struct(*order)
+    latest = F.max_by(F.col(time) + F.col(length), F.struct(F.col(time), *order))
+    return rows.groupBy(key).agg(F.min_by(time, seen).alias("first"), latest.alias("last"))
+
+
+def sample_offsets(samples: DataFrame, chunk: list[str], size: str, order: list[str], start: str) -> DataFrame:
+    """Place of each sample: its chunk's start and the sizes of the chunk's samples before it."""
+    before = Window.partitionBy(*chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return samples.withColumn("offset", F.col(start) + F.coalesce(F.sum(size).over(before), F.lit(0)))
+
+
+def rate_range(rows: DataFrame, key: str, delta: str, order: list[str], unit: float = 1000.0) -> DataFrame:
+    """Least and greatest rate of the positive durations, and whether the last one is shorter than all others."""
+    numbered = rows.withColumn("__last", F.max_by(delta, F.struct(*order)).over(Window.partitionBy(key))).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))))
+    positive = F.when(F.col(delta) > 0, F.col(delta))
+    others = F.min(F.when(F.col("__n") > 1, F.col(delta)))
+    return numbered.groupBy(key).agg((unit / F.max(positive)).alias("rate_min"), (unit / F.min(positive)).alias("rate_max"), F.coalesce(F.max("__last") < others, F.lit(False)).alias("last_shorter"))
+
+
+def index_totals(entries: DataFrame, keys: list[str], size: str, scale: int = 1) -> DataFrame:
+    """Chunks and scaled bytes of each stream of an index."""
+    return entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("chunks"), (F.sum(size) * scale).alias("bytes"))
+
+
+def video_delay(streams: DataFrame, file: str, kind: str, delay: str, order: str) -> DataFrame:
+    """Each audio stream's delay beside the file's first video stream."""
+    video = F.first(F.when(F.col(kind) == "Video", F.col(delay)), ignorenulls=True).over(Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return streams.withColumn("video_delay", F.when(F.col(kind) == "Audio", F.col(delay) - video))
+
+
+def stream_order(streams: DataFrame, file: str, kind_rank: Column, first: str, *ties: str) -> DataFrame:
+    """Streams numbered by kind and then by their first packet."""
+    return streams.withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy(kind_rank, first, *ties)) - 1)
+
+
+def menus(streams: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """A program's streams as one list in order."""
+    return streams.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))), lambda x: x["__v"]), " / ").alias("list"))
+
+
+def chapter_positions(chapters: DataFrame, file: str, time: str, first: int, *ties: str) -> DataFrame:
+    """Field positions of a menu's chapters behind the schema's own fields, by time."""
+    return chapters.withColumn("pos", F.row_number().over(Window.partitionBy(file).orderBy(time, *ties)) - 1 + first)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.plans import derivation, formats, media, reports, sequences, streams, texts
+from reelframe.plans import derivation, formats, media, reports, sequences, streams, texts, tracks
 
-MODULES = [formats, derivation, streams, texts, sequences, reports, media]
+MODULES = [formats, derivation, streams, texts, sequences, reports, media, tracks]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
