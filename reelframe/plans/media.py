@@ -166,8 +166,8 @@ def q_probe_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ext_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    magic, ext = F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(magic & ext, 90).when(magic, 60).when(ext, 20).otherwise(0).alias("score"))
+    score = media.ext_score(F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 3 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
 def q_integers(spark: SparkSession, sf_dir: str) -> DataFrame:

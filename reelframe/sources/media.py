@@ -12,9 +12,10 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.functions.text import utc_text
 from reelframe.sources import more, tags
 
 Fields = dict[str, object]
@@ -648,9 +649,9 @@ def _is_annex_b(kind: Callable[[bytes], int], needed: set[int], exts: tuple[str,
     return probe
 
 
-def ext_score(magic: bool, ext: bool) -> int:
+def ext_score(magic: Column, ext: Column) -> Column:
     """Score of a format with and without its magic bytes and its extension."""
-    return 90 if magic and ext else 60 if magic else 20 if ext else 0
+    return F.when(magic & ext, 90).when(magic, 60).when(ext, 20).otherwise(0)
 
 
 #: What a probe or parser may raise on bytes that are cut off or damaged; the file then tells the first in ParseError.
@@ -756,3 +757,10 @@ def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
     """Stream rows of the files under a path, with Spark's own file listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     return stream_rows(files.select(F.col("path").alias("file"), "content"))
+
+
+def list_files(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
+    """path, size and modified (UTC text) of the files under the paths, sorted by path; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths))
+    modified = utc_text(F.unix_timestamp("modificationTime"))
+    return files.select("path", F.col("length").alias("size"), modified.alias("modified")).orderBy("path")

@@ -126,7 +126,6 @@ def test_other_formats():
     name, _, streams = media.parsed("a.jp2", b"\0\0\0\x0cjP  \r\n\x87\n" + size)
     assert name == "JPEG 2000" and (streams[1][1]["Width"], streams[1][1]["Height"], streams[1][1]["BitDepth"]) == (640, 480, 8)
     assert media.parsed("a.mxf", more.MXF_KEY + b"\1\2\4\0")[0] == "MXF" and media.parsed("a", more.NUT_HEAD)[0] == "Nut"
-    assert [media.ext_score(m, e) for m in (True, False) for e in (True, False)] == [90, 60, 20, 0]
 
 
 def test_damaged_heads_never_raise():
@@ -136,3 +135,19 @@ def test_damaged_heads_never_raise():
     for head in (b"\x1a\x45\xdf\xa3", b"fLaC\0\0\0\x22", b"OggS\0\2", b".RMF\0\0\0\x12", more.ASF_HEADER, b"\0\0\1\xb3", b"\0\0\0\1\x67", b"\0\0\0\1\x42\1", b"MAC ", b"wvpk", b"\x7f\xfe\x80\x01", b"ID3\3\0\0\0\0\1\0", b"RIFF\0\0\0\0WAVELIST", b"\x47" + b"\0" * 187):
         for _ in range(60):
             media.parsed("x", head * r.choice((1, 8)) + bytes(r.getrandbits(8) for _ in range(r.randrange(300))))
+
+
+def test_files_are_listed_and_streamed(spark, tmp_path):
+    from reelframe.plans.media import build_gif, build_png
+    from reelframe.streaming import read_stream
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "b.png").write_bytes(build_png(640, 480))
+    (tmp_path / "in" / "deep" / "a.gif").write_bytes(build_gif(10, 20))
+    listed = media.list_files(spark, str(tmp_path / "in"), recursive=True).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in listed] == ["b.png", "a.gif"] and listed[1].size == 13 and listed[0].modified.startswith("UTC 2")
+    assert media.list_files(spark, str(tmp_path / "in")).count() == 1
+    query = read_stream(spark, str(tmp_path / "in"), recursive=True).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'Image'").collect()
+    assert {(r.format, r.fields["Width"]) for r in rows} == {("PNG", "640"), ("GIF", "10")}
