@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or an exact round trip, with nulls, empties, ties, repeats and odd columns."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -337,42 +338,80 @@ def test_context_tree_base_and_normalisation(docs, rows, none):
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == expected
     assert {r.train_tokens for r in got} == {total} and all(r.score < 0 for r in got)
     assert context_tree.scored(none).count() == 0
-    context, symbols, _ = context_tree.context_keys(*context_tree.flat_bytes(pa.array(["abcabd the", "xyz é"])))
-    key, n = np.unique(context << 8 | symbols, return_counts=True)
-    model = context_tree.ContextTree(key, n)
-    assert np.allclose((10.0 ** model.parts[0]).sum(1), 1, atol=1e-5)
+
+
+def pairs_of(texts):
+    """Training counts of contexts and symbols, with every symbol after every context that occurs."""
+    keys = context_tree.keys_of(*context_tree.flat_bytes(pa.array(texts)))[0]
+    every = (np.unique(keys >> np.uint64(8))[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()
+    found, n = np.unique(keys, return_counts=True)
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, found)] = n
+    return keys, every, counts
 
 
 def test_context_tree_weights_equal_a_recursion():
-    """The mixture of one decision against the recursive definition, on a small text."""
-    text = "abracadabra abracadabra"
-    context, symbols, bounds = context_tree.context_keys(*context_tree.flat_bytes(pa.array([text])))
-    key, n = np.unique(context << 8 | symbols, return_counts=True)
-    model = context_tree.ContextTree(key, n)
-    shifts = [64, 10, 5, 0]
-
-    def node(depth, c, prefix, bits):
-        own = [(s, x) for s, x in zip(symbols, context, strict=True) if (depth == 0 or x >> shifts[depth] == c) and s >> 8 - bits == prefix]
-        ones = sum(s >> 7 - bits & 1 for s, _ in own)
-        zeros = len(own) - ones
-        block = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(len(own) + 1) - 2 * math.lgamma(0.5)
-        chance = (ones + 0.5) / (len(own) + 1)
-        if depth == 3:
-            return block, block, chance
-        below = sum(node(depth + 1, k, prefix, bits)[1] for k in {x >> shifts[depth + 1] for _, x in own})
-        return block, math.log(0.5) + np.logaddexp(block, below), chance
-
-    expected = 0.0
-    for c, s in zip(context, symbols, strict=True):
+    """The mixture over all depths against the recursive definition, on a small text."""
+    keys, every, counts = pairs_of(["abracadabra abracadabra"])
+    none = np.empty(0, np.int64)
+    got = dict(zip(every.tolist(), context_tree.Divided(none, none).log_chances(every, counts), strict=True))
+    text = b"abracadabra abracadabra\0"
+    places = [(bytes(6) + text)[i : i + 6] for i in range(len(text))]
+
+    @functools.cache
+    def node(before, prefix, bits):
+        own = [s for c, s in zip(places, text, strict=True) if c.endswith(before) and s >> 8 - bits == prefix]
+        ones = sum(s >> 7 - bits & 1 for s in own)
+        block = math.lgamma(len(own) - ones + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(len(own) + 1) - 2 * math.lgamma(0.5)
+        if len(before) == 6:
+            return block, block, (ones + 0.5) / (len(own) + 1)
+        longer = {c[5 - len(before) :] for c in places if c.endswith(before)}
+        return block, math.log(0.5) + np.logaddexp(block, sum(node(c, prefix, bits)[1] for c in longer)), (ones + 0.5) / (len(own) + 1)
+
+    for key in [*set(keys.tolist()), int(keys[5]) ^ 1, int(keys[9]) ^ 64]:
+        before, symbol = (key >> 8).to_bytes(6, "little"), key & 255
+        expected = 0.0
         for bits in range(8):
-            prefix, bit = int(s) >> 8 - bits, int(s) >> 7 - bits & 1
             p = None
-            for depth in (3, 2, 1, 0):
-                block, weighted, chance = node(depth, int(c) >> shifts[depth] if depth else 0, prefix, bits)
-                w = math.exp(block + math.log(0.5) - weighted) if depth < 3 else 1
-                p = chance if p is None else w * chance + (1 - w) * p
-            expected += math.log10(p if bit else 1 - p)
-    assert model.scores(pa.array([text]))[0] == pytest.approx(expected, rel=1e-4)
+            for depth in range(6, -1, -1):
+                block, weighted, chance = node(before[6 - depth :], symbol >> 8 - bits, bits)
+                p = chance if p is None else (w := math.exp(block + math.log(0.5) - weighted)) * chance + (1 - w) * p
+            expected += math.log10(p if symbol >> 7 - bits & 1 else 1 - p)
+        assert got[key] == pytest.approx(expected, rel=1e-9)
+
+
+def test_context_tree_divided(docs, rows, monkeypatch):
+    """Divided contexts: chances sum to one, groups stay small, and the exchange gives each text its chances."""
+    table = docs.select("doc_id", "text").withColumn("learned", context_tree.fold(docs.doc_id) != 1)
+    for name, value in (("LEAST", 1), ("SHARES", 50)):
+        monkeypatch.setattr(context_tree, name, value)
+    divided = context_tree.fit(table)
+    assert len(divided.contexts[0]) == 1 and len(divided.contexts[1]) > 5 and len(divided.contexts[2]) > 1
+    training = [t for d, t in rows if zlib.crc32(str("" if d is None else d).encode()) % 5 != 1]
+    _, every, counts = pairs_of(training)
+    assert np.allclose((10.0 ** divided.log_chances(every, counts)).reshape(-1, 256).sum(1), 1, atol=1e-5)
+    everything = context_tree.keys_of(*context_tree.flat_bytes(pa.array([t for _, t in rows])))[0]
+    home = divided.home(everything)
+    groups = collections.Counter(zip(home.tolist(), (everything >> (8 * (7 - home)).astype(np.uint64)).tolist(), strict=True))
+    assert max(n for (d, _), n in groups.items() if d < context_tree.DEPTH) <= len(everything) / 50
+    learned = np.concatenate([np.full(len(t.encode()) + 1, zlib.crc32(str("" if d is None else d).encode()) % 5 != 1) for d, t in rows])
+    keys, n = context_tree.counted(everything, learned)
+    chance = divided.log_chances(keys, n)
+    expected = [(str(d), chance[np.searchsorted(keys, context_tree.keys_of(*context_tree.flat_bytes(pa.array([t])))[0])].sum()) for d, t in rows]
+    got = sorted((str(r.doc_id), r.score) for r in context_tree.scored(docs).collect())
+    assert [d for d, _ in got] == [d for d, _ in sorted(expected)]
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(expected)], rtol=1e-3)
+
+
+def test_context_tree_learns_beyond_letters(spark):
+    """What only long contexts tell lowers the score of words that the text breaks off."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = [(k, " ".join(r.choice(words) for _ in range(60)), "", "", 0, 0, "") for k in range(200)]
+    texts.append((1000, " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)), "", "", 0, 0, ""))
+    got = {x.doc_id: x for x in context_tree.scored(spark.createDataFrame(texts, SCHEMA)).collect()}
+    held = [x.score for x in got.values() if x.held_out and x.doc_id < 1000]
+    assert np.mean(held) > 0.5 * got[1000].score
 
 
 def test_packing(docs, rows, none):
