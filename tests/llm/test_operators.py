@@ -391,8 +391,9 @@ def test_context_tree_divided(docs, rows, monkeypatch):
     _, every, counts = pairs_of(training)
     assert np.allclose((10.0 ** divided.log_chances(every, counts)).reshape(-1, 256).sum(1), 1, atol=1e-5)
     everything = context_tree.keys_of(*context_tree.flat_bytes(pa.array([t for _, t in rows])))[0]
-    home = divided.home(everything)
-    groups = collections.Counter(zip(home.tolist(), (everything >> (8 * (7 - home)).astype(np.uint64)).tolist(), strict=True))
+    rising = np.sort(everything)
+    home = divided.home(rising)
+    groups = collections.Counter(zip(home.tolist(), (rising >> (8 * (7 - home)).astype(np.uint64)).tolist(), strict=True))
     assert max(n for (d, _), n in groups.items() if d < context_tree.DEPTH) <= len(everything) / 50
     learned = np.concatenate([np.full(len(t.encode()) + 1, zlib.crc32(str("" if d is None else d).encode()) % 5 != 1) for d, t in rows])
     keys, n = context_tree.counted(everything, learned)
