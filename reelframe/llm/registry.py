@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.llm import context_tree, license_scan, ngram_join, oracles, packing, piece_bpe, quality_classifier, quality_rules, suffix_dedup, toxicity, transport_stream
+from reelframe.llm import centroid_clustering, context_tree, lexical_search, license_scan, ngram_join, oracles, packing, piece_bpe, quality_classifier, quality_rules, suffix_dedup, toxicity, transport_stream, url_filter
 from reelframe.llm.common import table
 
 
@@ -56,6 +56,23 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.digests(table(spark, sf_dir, "documents"))
 
 
+#: Host, path and verdict of the rules that the pages are judged by.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(table(spark, sf_dir, "pages"), rules)
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
 
@@ -67,4 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": oracles.ngram_join(),
         "op5_quality_rules": oracles.quality_rules(),
         "op9_license_scan": license_scan.oracle_sql(),
+        "op11_url_filter": url_filter.oracle_sql(URL_RULES),
+        "op12_centroid_clustering": centroid_clustering.oracle_sql(),
+        "op13_lexical_search": lexical_search.oracle_sql(),
     }
