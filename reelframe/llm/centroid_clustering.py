@@ -47,7 +47,7 @@ def seed_hash(vec_id: Column) -> Column:
 
 def first_centroids(rows: DataFrame, clusters: int = CLUSTERS) -> np.ndarray:
     found = rows.select(seed_hash(F.col("vec_id")).alias("h"), "v").orderBy("h", "v").limit(clusters).collect()
-    return np.array([r.v for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r.v for r in found], np.int64).reshape(len(found), len(found[0].v) if found else 0)
 
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
