@@ -1,7 +1,7 @@
 """Element trees of binary columns as tables: nested boxes, chunks and EBML elements, found by built-in functions alone.
 
-A level of a tree is one projection: a fold over the bytes of each container reads header after header and gathers the
-elements, and the containers among them are the next level's input. The content stays in its row, nothing is exchanged and no
+A tree is one projection: a fold over the bytes of each container reads header after header and gathers the elements,
+and a fold over the levels makes the containers among them the next level's input. The content stays in its row, nothing is exchanged and no
 Python runs. A fold takes at most LIMIT elements of a container; where more follow, the rest of that container is the
 input of another round over the files that have one, until none is left.
 
@@ -162,20 +162,20 @@ def _inside(nodes: Column, family: Family, depth: int) -> Column:
 
 def _expanded(files: DataFrame, file: str, family: Family, depth: int, most: int) -> DataFrame:
     """Nodes of the containers in column seeds, down to depth levels; `deep` for a container that isn't entered."""
-    frame, names = files.select(file, "content", F.col("seeds").alias("l0")), []
-    for k in range(depth):
-        frame = frame.withColumn(f"n{k}", _level(F.col("content"), F.col(f"l{k}"), family, most)).withColumn(f"l{k + 1}", _inside(F.col(f"n{k}"), family, depth))
-        names.append(f"n{k}")
-    deep = lambda x: (x["depth"] == depth - 1) & (x["state"] != "more") & x["id"].isin(list(family.containers))
-    nodes = F.transform(F.flatten(F.array(*names)), lambda x: F.when(deep(x), x.withField("state", F.lit("deep"))).otherwise(x))
-    return frame.select(file, F.explode(nodes).alias("x")).select(file, "x.*")
+    zero = F.struct(F.col("seeds").alias("front"), F.array().cast(f"array<{_NODE}>").alias("nodes"))
+    more = lambda state: lambda own: F.struct(_inside(own, family, depth).alias("front"), F.concat(state["nodes"], own).alias("nodes"))
+    step = lambda state, _: F.when(F.size(state["front"]) > 0, let(_level(F.col("content"), state["front"], family, most), more(state))).otherwise(state)
+    levels = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), zero, step, lambda state: state["nodes"])
+    deep = (F.col("depth") == depth - 1) & (F.col("state") != "more") & F.col("id").isin(list(family.containers))
+    nodes = files.select(file, F.explode(levels).alias("x")).select(file, "x.*")
+    return nodes.withColumn("state", F.when(deep, "deep").otherwise(F.col("state")))
 
 
 def elements(files: DataFrame, family: Family, file: str = "file", depth: int = 8, most: int = LIMIT) -> DataFrame:
     """The element tree of every file; files: a key and content (binary)."""
-    own = files.filter(F.length("content") > 0).select(file, "content")
+    own = files.select(file, "content")
     top = F.array(F.struct(F.lit(None).cast("string"), F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.length("content").cast("long"), F.lit("")).cast(_NODE))
-    out, found = None, checkpointed(_expanded(own.withColumn("seeds", top), file, family, depth, most))
+    out, found = None, checkpointed(_expanded(own.withColumn("seeds", F.when(F.length("content") > 0, top).otherwise(F.array().cast(f"array<{_NODE}>"))), file, family, depth, most))
     while True:
         done = found.filter("state <> 'more'")
         out = done if out is None else out.unionByName(done)

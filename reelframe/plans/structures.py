@@ -55,9 +55,11 @@ BOXES = staged(
 CHUNKS = staged(
     f"CASE form WHEN 3 THEN '52494646ffffffff' || riff ELSE {chunk('RIFF', 'riff')} END",
     {"strh": "substr(h, 1, 24)", "strf": "substr(h, 1, 10)", "isft": "substr(h, 1, 14)"},
-    {"stream": f"'7374726c' || {chunk('strh', 'strh')} || {chunk('strf', 'strf')}", "info": f"'494e464f' || {chunk('ISFT', 'isft')}", "movi": f"'6d6f7669' || {chunk('00dc', 'h')} || {chunk('01wb', "''")}"},
-    {"header": f"'6864726c' || {chunk('avih', "'0000000000'")} || repeat({chunk('LIST', 'stream')}, n)"},
-    {"riff": f"'41564920' || {chunk('LIST', 'header')} || {chunk('LIST', 'info')} || {chunk('LIST', 'movi')}"},
+    {"parts": f"{chunk('strh', 'strh')} || {chunk('strf', 'strf')}", "named": chunk("ISFT", "isft"), "frames": f"{chunk('00dc', 'h')} || '3031776200000000'"},
+    {"stream": "'7374726c' || parts", "info": "'494e464f' || named", "movi": "'6d6f7669' || frames"},
+    {"streams": chunk("LIST", "stream"), "info_list": chunk("LIST", "info"), "movi_list": chunk("LIST", "movi")},
+    {"header": "'6864726c6176696805000000000000000000' || repeat(streams, n)"},
+    {"riff": f"'41564920' || {chunk('LIST', 'header')} || info_list || movi_list"},
 )
 EBML = staged(
     f"{element('1A45DFA3', "'4282100000047765626d'")} || '18538067' || CASE WHEN form % 2 = 0 THEN '01FFFFFFFFFFFFFF' ELSE {be('268435456 + length(body) div 2')} END || body",
