@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.plans import derivation, formats, media, reports, sequences, streams, structures, texts, tracks
+from reelframe.plans import derivation, formats, graphs, media, reports, sequences, streams, structures, texts, tracks
 
-MODULES = [formats, derivation, streams, texts, sequences, reports, media, tracks, structures]
+MODULES = [formats, derivation, streams, texts, sequences, reports, media, tracks, structures, graphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
