@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelframe.operators import assign, clocks, runs
+from reelframe.operators import assign, clocks, demux, runs
 from reelframe.sources.tables import table
 
 
@@ -76,6 +76,16 @@ def q_codec_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.in_order(*streams_and_entries(spark, sf_dir), "description")
 
 
+def q_packet_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as packets of two pids, some sent twice, some lost: units with their gaps, whether they are closed, and a digest."""
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    n, l = F.col("turn"), F.length("text")  # noqa: E741
+    twice = F.when(l % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    counter = (F.floor(n / 2) + F.when(l % 13 == 0, F.lit(2)).otherwise(F.lit(0))) % 16
+    sent = rows.select(F.col("conv_id").cast("string").alias("file"), F.col("role").alias("pid"), n.alias("turn"), counter.alias("counter"), (l % 3 == 0).alias("start"), F.col("text").alias("payload"), F.explode(twice).alias("again"))
+    return demux.units(sent.withColumn("number", F.col("turn") * 2 + F.col("again"))).withColumn("digest", F.md5("data")).drop("data")
+
+
 QUERIES = {name: value for name, value in globals().items() if name.startswith("q_")}
 _SAMPLES = f"""WITH {_T},
 x AS (SELECT file, turn, coalesce(l % 7 * 10, 0) AS delta, unnest(range(coalesce(l % 40, 0))) AS k FROM t),
@@ -101,7 +111,14 @@ _SYSTEM = _clock((1 << 33) * 300)
 _LISTS = f"""{_T}, k AS (SELECT *, CASE role WHEN 'user' THEN 'Video' ELSE 'Audio' END AS kind, ['WMV3', '55', '', 'WMV3', '161'][l % 5 + 1] AS key, ['WMV3', '55', '', 'WMV3', '161'][(l + turn % 2) % 5 + 1] AS entry_key FROM t WHERE l IS NOT NULL),
 s AS (SELECT file, kind, key, turn AS number FROM k),
 e AS (SELECT file, CASE WHEN l % 13 = 0 THEN 'Text' ELSE kind END AS kind, entry_key AS key, turn AS number, 'codec ' || l AS description FROM k WHERE l % 3 > 0)"""
+_UNITS = """WITH p AS (SELECT conv_id::VARCHAR AS file, role AS pid, turn * 2 + again AS number, (turn // 2 + CASE WHEN length(text) % 13 = 0 THEN 2 ELSE 0 END) % 16 AS counter, length(text) % 3 = 0 AS start, text
+ FROM conversations, (VALUES (0), (1)) AS v(again) WHERE text IS NOT NULL AND (again = 0 OR length(text) % 7 = 0)),
+q AS (SELECT *, lag(counter) OVER o AS c, lag(text) OVER o AS t FROM p WINDOW o AS (PARTITION BY file, pid ORDER BY number)),
+k AS (SELECT *, CASE WHEN c IS NOT NULL AND counter <> (c + 1) % 16 THEN 1 ELSE 0 END AS gap FROM q WHERE NOT (c IS NOT DISTINCT FROM counter AND t IS NOT DISTINCT FROM text)),
+u AS (SELECT *, sum(start::INT) OVER (PARTITION BY file, pid ORDER BY number) AS unit, sum(start::INT) OVER (PARTITION BY file, pid) AS last FROM k)
+SELECT file, pid, unit::BIGINT AS unit, min(number) AS first, count(*) AS packets, sum(gap)::BIGINT AS gaps, unit < any_value(last) AS closed, md5(string_agg(text, '' ORDER BY number)) AS digest FROM u WHERE unit > 0 GROUP BY file, pid, unit"""
 ORACLE = {
+    "q_packet_units": _UNITS,
     "q_edit_window_samples": _SAMPLES,
     "q_run_totals": f"""WITH {_T}, a AS (SELECT file, turn, coalesce(l % 40, 0) AS n, coalesce(l % 7 * 10, 0) AS delta FROM t), b AS (SELECT file, sum((l % 31 + 1) * (l % 1000))::BIGINT AS bytes FROM t WHERE turn % 5 < 4 GROUP BY file),
 g AS (SELECT file, sum(n)::BIGINT AS samples, sum(n * delta)::BIGINT AS duration, count(*) AS k, arg_max(n, turn) AS z, arg_max(delta, turn) AS last, arg_min(delta, turn) AS first FROM a GROUP BY file)
