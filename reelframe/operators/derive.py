@@ -1,14 +1,19 @@
-"""The derivation pass: fields of a stream that follow from its other fields.
+"""The derivation pass: fields of a stream that follow from its other fields, and of a file from its streams.
 
-Streams are rows of file, kind, idx and fields (map of name to text), as the media source gives them. What a phase derives
-fills empty fields only, unless said otherwise: first names and codes by broadcast joins with fixed tables, then values and
-readable strings, then the numbers of streams by a window.
+Streams are rows of file, kind, idx and fields (map of name to text), as the media source gives them. A phase is one
+projection over the map: its entries fill empty fields only, unless said otherwise. Rules that read what others fill come in a later
+phase, which `phased` sees to. All is built from Catalyst functions; only numbers of over 64 bits go through Arrow. What a
+file's streams add up to is one aggregate by file, joined back to the file's General row.
+
+Fields are text: a value that isn't a number counts as missing where a number is wanted, a division by nothing fills
+nothing, null maps are empty ones. Decimals round the exact binary value, ties to even.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +22,10 @@ from pyspark.sql.types import StringType
 
 from reelframe.functions import formatters as f
 from reelframe.functions import tables
+from reelframe.functions.text import channel_positions
+from reelframe.operators.elements import let
+from reelframe.operators.streams import KINDS, known_total, overall_mode
+from reelframe.sources.tables import checkpointed
 
 Entries = list[tuple[str, Column]]
 #: Words of coded values, by field.
@@ -35,6 +44,7 @@ SIZES = "StreamSize Source_StreamSize StreamSize_Encoded Source_StreamSize_Encod
 FRAME_RATES = "FrameRate FrameRate_Minimum FrameRate_Nominal FrameRate_Maximum FrameRate_Original".split()
 PIXELS = "Width Height Width_Original Height_Original Width_CleanAperture Height_CleanAperture Width_Offset Height_Offset".split()
 BITS = "BitDepth BitDepth_Detected BitDepth_Stored".split()
+CHANNELS = "Channel(s) Channel(s)_Original Matrix_Channel(s)".split()
 #: Formats that are sampled at their own size.
 SAMPLED = ["AVC", "HEVC", "MPEG Video", "MPEG-4 Visual", "AV1", "H.263", "JPEG"]
 
@@ -48,9 +58,9 @@ def number(name: str) -> Column:
     return F.expr(f"try_cast(element_at(fields, '{name}') AS DOUBLE)")
 
 
-def filled(streams: DataFrame, entries: Entries, over: bool = False) -> DataFrame:
-    """The streams with the entries that have text; a field that has text stays, unless over."""
-    given = F.array(*(F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")) for n, v in entries))
+def filled(streams: DataFrame, entries: Entries | Column, over: bool = False) -> DataFrame:
+    """The streams with the entries (pairs, or an array of key and value) that have text; a field that has text stays, unless over."""
+    given = entries if isinstance(entries, Column) else F.array(*(F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")) for n, v in entries))
     new = streams.withColumn("__new", F.map_from_entries(F.filter(given, lambda x: F.coalesce(x["value"], F.lit("")) != "")))
     has = lambda m, k: F.coalesce(F.element_at(m, k), F.lit("")) != ""
     kept, added = ("__new", "fields") if over else ("fields", "__new")
@@ -58,118 +68,216 @@ def filled(streams: DataFrame, entries: Entries, over: bool = False) -> DataFram
     return new.withColumn("fields", merged).drop("__new")
 
 
-def fixed_digits(value: float, digits: int) -> str:
-    """So many significant digits (the whole part always stays), thousands apart."""
-    text_ = f"{value:.{max(digits - len(str(int(abs(value)))), 0)}f}"
-    text_ = f"{float(text_):.{max(digits - len(str(int(abs(float(text_))))), 0)}f}"  # rounding may have added a digit
-    whole_, dot, rest = text_.partition(".")
-    return f"{int(whole_):,}".replace(",", " ") + dot + rest
-
-
-def bit_rate_text(given: str) -> str:
-    """One bit rate, or a list with ` / ` between, each with its unit and three significant digits."""
-    out = []
-    for part in given.split(" / "):
-        value = abs(_float(part) or 0.0) if _float(part) is not None else None
-        if value is None:
-            continue
-        by, unit = next((x for x in ((1e3, "kb/s"), (1e6, "Mb/s")) if value < x[0] * 1e4), (1e9, "Gb/s"))
-        out.append(f"{int(value + 0.5):,} b/s".replace(",", " ") if value < 10_000 else f"{fixed_digits(value / by, 3)} {unit}")
-    return " / ".join(out)
-
-
-def size_texts(n: int) -> list[str]:
-    """A size in binary units: the usual text, and those of a whole number, 2, 3 and 4 digits."""
-    power = 0
-    while n >= 1024 ** (power + 1) and power < len(f.SIZE_UNITS) - 1:
-        power += 1
-    value = n / 1024**power
-    unit = f.SIZE_UNITS[power] + ("s" if power == 0 and n > 1 else "")
-    shown = [fixed_digits(value, 3) if power else str(n), f"{value:.0f}", *(fixed_digits(value, k) if power else str(n) for k in (2, 3, 4))]
-    return [f"{x} {unit}" for x in shown]
-
-
-def duration_texts(given: float, fps: float | None) -> dict[str, str]:
-    """A duration in two units, in all, as a clock, as a clock with frames, and as both."""
-    total = int(abs(given) + 0.5)
-    sign = "-" if given < 0 else ""
-    parts = [total // 3_600_000, total // 60_000 % 60, total // 1000 % 60, total % 1000]
-    first = next((k for k in range(3) if parts[k]), 3)
-    units = [f"{v} {u}" for v, u in zip(parts, ("h", "min", "s", "ms"), strict=True)][first:]
-    clock = sign + ":".join(f"{v:02}" for v in parts[:3])
-    out = {"": sign + " ".join(units[:2]), "1": sign + " ".join(units), "2": sign + " ".join(units[:2]), "3": f"{clock}.{parts[3]:03}"}
-    if fps and fps > 0:
-        out["4"] = f"{clock}:{int(parts[3] * fps / 1000):02}"
-    return out | {"5": f"{out['3']} ({out['4']})" if "4" in out else out["3"]}
-
-
-def _float(given: str | None) -> float | None:
-    try:
-        return float(given) if given else None
-    except ValueError:
-        return None
-
-
-def _plural(n: float, one: str) -> str:
-    return f"{int(n)} {one}" if int(n) == 1 else f"{int(n)} {one}s"
-
-
-def _grouped(value: float, decimals: int = 0) -> str:
-    return f"{value:,.{decimals}f}".replace(",", " ")
-
-
-def strings(kind: str, fields: dict[str, str], file_size: float | None = None) -> dict[str, str]:
-    """The readable twins of a stream's values."""
-    out: dict[str, str] = {}
-    value = {n: _float(v) for n, v in fields.items()}
-    have = lambda names: ((n, value[n]) for n in names if value.get(n) is not None)
-    fps = value.get("FrameRate") if kind in ("Video", "General") else None
-    for name, v in have(DURATIONS):
-        own = duration_texts(v, fps if name == "Duration" else None)
-        out |= {f"{name}/String{k}": x for k, x in own.items() if name == "Duration" or k in ("", "1", "2", "3")}
-    for name, v in have(DELAYS):
-        out |= {f"{name}/String{k}": x for k, x in duration_texts(v, None).items() if k == "3" or v and k in ("", "1", "2")}
-    out |= {f"{n}/String": bit_rate_text(fields[n]) for n in BIT_RATES if fields.get(n)}
-    spf = value.get("SamplesPerFrame")
-    for name, v in have(FRAME_RATES):
-        if abs(v) != float("inf") and v == v and not (kind == "Audio" and name == "FrameRate" and value.get("SamplingRate") is None):
-            out[f"{name}/String"] = _grouped(v, 3) + " FPS" + (f" ({int(spf)} SPF)" if kind == "Audio" and name == "FrameRate" and spf else "")
-    out |= {f"{n}/String": _grouped(v) + " pixels" for n, v in have(PIXELS)}
-    out |= {f"{n}/String": _plural(v, "bit") for n, v in have(BITS)}
-    out |= {f"{n}/String": _plural(v, "channel") for n, v in have(("Channel(s)", "Channel(s)_Original", "Matrix_Channel(s)"))}
-    out |= {f"{n}/String": _plural(v, "frame") for n, v in have(("Format_Settings_RefFrames",))}
-    for _, v in have(("SamplingRate",)):
-        out["SamplingRate/String"] = f"{_grouped(v)} Hz" if v < 10_000 else f"{fixed_digits(v / 1000, 3)} kHz"
-    for _, v in have(("DisplayAspectRatio",)):
-        out["DisplayAspectRatio/String"] = next((name for ratio, name in f.ASPECT_NAMES if abs(v - ratio) < 0.011), f"{v:.3f}:1")
-    total = value.get("FileSize") or file_size
-    if kind == "General" and value.get("FileSize") is not None:
-        out |= {f"FileSize/String{k or ''}": x for k, x in enumerate(size_texts(int(value["FileSize"])))}
-    for name, v in have(SIZES):
-        own = size_texts(int(v))
-        out |= {f"{name}/String{k or ''}": x for k, x in enumerate(own)}
-        if total and total >= v:
-            share = f"{own[0]} ({int(v / total * 100 + 0.5)}%)"
-            out |= {f"{name}/String": share, f"{name}/String5": share, f"{name}_Proportion": f"{v / total:.5f}"}
-    out |= {f"{n}/String": words.get(fields[n], fields[n]) for n, words in WORDS.items() if fields.get(n)}
-    out |= {f"{n}/String": fields[n] for n in SAME if fields.get(n)}
-    out |= {f"{n}/String": f"{fields[n]} dB" for n in ("ReplayGain_Gain", "Album_ReplayGain_Gain") if fields.get(n)}
-    if points := fields.get("Format_Settings_GMC"):
-        out["Format_Settings_GMC/String"] = "No warppoints" if points == "0" else f"{points} warppoints"
-    if preload := fields.get("Interleave_Preload"):
-        out["Interleave_Preload/String"] = f"{preload}  ms"
-    if apart := fields.get("Interleave_Duration"):
-        out["Interleave_Duration/String"] = f"{apart}  ms" + (f" ({x} video frame)" if (x := fields.get("Interleave_VideoFrames")) else "")
+def decimals(value: Column, digits: Column | int, grouped: bool = True) -> Column:
+    """So many decimals (to six) of a double, its exact binary value rounded half to even; thousands apart, or not.
+
+    The product with a power of ten is taken with its rounding error, so ties are told from values beside them; exact for products below
+    2**53, and larger ones have no binary digits behind the point that would count.
+    """
+    scale = F.element_at(F.array(*(F.lit(10.0**k) for k in range(7))), (F.lit(digits) if isinstance(digits, int) else digits) + 1)
+    halves = lambda x: F.struct((x * 134217729.0 - (x * 134217729.0 - x)).alias("h"), (x - (x * 134217729.0 - (x * 134217729.0 - x))).alias("l"))
+
+    def rounded(x: Column) -> Column:
+        error = ((x["v"]["h"] * x["s"]["h"] - x["p"]) + x["v"]["h"] * x["s"]["l"] + x["v"]["l"] * x["s"]["h"]) + x["v"]["l"] * x["s"]["l"]
+        low = F.floor(x["p"])
+        beyond = (x["p"] - low.cast("double") - 0.5) + error
+        return low + F.when((beyond > 0) | ((beyond == 0) & (low % 2 == 1)), 1).otherwise(0)
+
+    def shown(n: Column) -> Column:
+        unit = scale.cast("long")
+        number_ = F.format_number(F.floor(n / unit), 0) if grouped else F.floor(n / unit).cast("string")
+        behind = F.when(scale > 1, F.concat(F.lit("."), F.lpad((n % unit).cast("string"), F.length(unit.cast("string")) - 1, F.lit("0")))).otherwise("")
+        return F.concat(F.translate(number_, ",", " "), behind)
+
+    def signed(v: Column) -> Column:
+        text_ = let(F.struct(halves(F.abs(v)).alias("v"), halves(scale).alias("s"), (F.abs(v) * scale).alias("p")), lambda x: let(rounded(x).cast("long"), shown))
+        return F.concat(F.when(v < 0, "-").otherwise(""), text_)
+
+    return let(value, signed)
+
+
+def plain(value: Column, digits: Column | int) -> Column:
+    return decimals(value, digits, grouped=False)
+
+
+def whole(value: Column) -> Column:
+    """A double as an integer's text, rounded half up."""
+    return F.floor(value + 0.5).cast("long").cast("string")
+
+
+def significant(value: Column, digits: int) -> Column:
+    """So many significant digits, the whole part always kept; rounding may add a digit to it."""
+    left = lambda v: F.greatest(F.lit(digits) - F.length(F.floor(F.abs(v)).cast("long").cast("string")), F.lit(0))
+    return let(let(value, lambda v: plain(v, left(v)).cast("double")), lambda once: decimals(once, left(once)))
+
+
+def size_texts(n: Column) -> Column:
+    """Bytes in binary units with three digits, as a whole number, and with 2, 3 and 4 digits; a power of two divides doubles exactly."""
+    power = lambda v: reduce(lambda out, k: out.when(v < 1024 ** (k + 1), k), range(1, 5), F.when(v < 1024, 0)).otherwise(5)
+    by, units = F.array(*(F.lit(1024.0**k) for k in range(6))), F.array(*map(F.lit, f.SIZE_UNITS))
+    parts = lambda v, k: F.struct(k.alias("k"), (v.cast("double") / F.get(by, k)).alias("x"), F.concat(F.lit(" "), F.get(units, k), F.when((k == 0) & (v > 1), "s").otherwise("")).alias("unit"))
+
+    def shown(s: Column) -> Column:
+        digits = F.transform(F.array(*map(F.lit, (2, 3, 4))), lambda d: F.when(s["k"] == 0, decimals(s["x"], 0, False)).otherwise(significant(s["x"], d)))
+        return let(digits, lambda t: F.transform(F.array(F.get(t, F.lit(1)), decimals(s["x"], 0, False), F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.get(t, F.lit(2))), lambda x: F.concat(x, s["unit"])))
+
+    return let(n.cast("long"), lambda v: let(let(power(v), lambda k: parts(v, k)), shown))
+
+
+def bit_rate_text(given: Column) -> Column:
+    """One bit rate, or a list with ` / ` between, each with its unit and three significant digits; parts that are no numbers go."""
+
+    def one(v: Column) -> Column:
+        by, unit = F.when(v < 10_000_000, 1e3).when(v < 10_000_000_000, 1e6).otherwise(1e9), F.when(v < 10_000_000, " kb/s").when(v < 10_000_000_000, " Mb/s").otherwise(" Gb/s")
+        return F.when(v < 10_000, F.concat(F.translate(F.format_number(F.floor(v + 0.5), 0), ",", " "), F.lit(" b/s"))).otherwise(F.concat(significant(v / by, 3), unit))
+
+    return F.array_join(F.filter(F.transform(F.transform(F.split(given, " / "), lambda part: F.abs(part.try_cast("double"))), one), lambda x: x.isNotNull()), " / ")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A field that follows from others: the names it reads, its text, and the kinds of streams it holds for (none: all)."""
+
+    name: str
+    needs: tuple[str, ...]
+    text: Callable[..., Column]
+    kinds: tuple[str, ...] = ()
+    numbers: bool = True
+
+
+def phased(streams: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The streams with all rules applied in order, in as few projections as their needs allow.
+
+    A rule joins the current projection unless it reads or fills a field that an earlier rule of the projection fills.
+    """
+    phase: list[Rule] = []
+    for rule in rules:
+        if {rule.name, *rule.needs} & {x.name for x in phase}:
+            streams, phase = filled(streams, [_entry(x) for x in phase]), []
+        phase.append(rule)
+    return filled(streams, [_entry(x) for x in phase]) if phase else streams
+
+
+def _entry(rule: Rule) -> tuple[str, Column]:
+    given = [(number if rule.numbers else text)(n) for n in rule.needs]
+    known = reduce(lambda a, b: a & b, (x.isNotNull() for x in given), F.col("kind").isin(*rule.kinds) if rule.kinds else F.lit(True))
+    return rule.name, F.when(known, rule.text(*given))
+
+
+def _ratio(value: Column) -> Column:
+    return plain(value, 3)
+
+
+def _positive(by: Column, value: Column) -> Column:
+    return F.when(by > 0, value)
+
+
+_PICTURE, _SOUND = ("Video",), ("Audio",)
+_OWN_SIZE = lambda side: lambda given, other: F.when(text("Format").isin(SAMPLED) & text("CodecID_Description").isNull(), given.cast("long").cast("string"))
+#: Values of video and audio streams that follow from others, in this order.
+VALUES = [
+    Rule("Sampled_Width", ("Width", "Height"), _OWN_SIZE("Width"), _PICTURE),
+    Rule("Sampled_Height", ("Height", "Width"), _OWN_SIZE("Height"), _PICTURE),
+    Rule("PixelAspectRatio", ("DisplayAspectRatio", "Height", "Width"), lambda d, h, w: _ratio(F.try_divide(d * h, w)), _PICTURE),
+    Rule("PixelAspectRatio", ("Width", "Height"), lambda w, h: F.when(text("DisplayAspectRatio").isNull(), "1.000"), _PICTURE),
+    Rule("DisplayAspectRatio", ("Width", "PixelAspectRatio", "Height"), lambda w, p, h: _ratio(F.try_divide(w * p, h)), _PICTURE),
+    Rule("FrameCount", ("Duration", "FrameRate"), lambda d, r: F.rint(d / 1000 * r).cast("long").cast("string"), _PICTURE),
+    Rule("Duration", ("FrameCount", "FrameRate"), lambda n, r: _positive(r, whole(F.try_divide(n, r) * 1000)), _PICTURE),
+    Rule("Duration", ("StreamSize", "BitRate"), lambda n, r: _positive(r, whole(F.try_divide(n * 8, r) * 1000)), _SOUND),
+    Rule("FrameRate", ("SamplingRate", "SamplesPerFrame"), lambda r, n: _ratio(F.try_divide(r, n)), _SOUND),
+    Rule("SamplingCount", ("Duration", "SamplingRate"), lambda d, r: whole(d / 1000 * r), _SOUND),
+    Rule("Source_FrameCount", ("Source_Duration", "FrameRate"), lambda d, r: whole(d / 1000 * r), _SOUND),
+    *(Rule(f"{n}/String2", (n,), channel_positions, _SOUND, False) for n in ("ChannelPositions", "ChannelPositions_Original", "Matrix_ChannelPositions")),
+    Rule("BitRate", ("StreamSize", "Duration"), lambda n, d: _positive(d, whole(F.try_divide(n * 8 * 1000, d))), _PICTURE + _SOUND),
+    Rule("Bits-(Pixel*Frame)", ("BitRate", "Width", "Height", "FrameRate"), lambda b, w, h, r: _ratio(F.try_divide(b, w * h * r)), _PICTURE),
+    Rule("ColorSpace", ("ChromaSubsampling",), lambda _: F.lit("YUV"), _PICTURE, False),
+]
+
+
+def _entry_of(name: Column, value: Column) -> Column:
+    return F.struct(name.alias("key"), value.cast("string").alias("value"))
+
+
+def _each(names: list[str], make: Callable[[Column, Column], list[tuple[str, Column]]], numbers: bool = True) -> Column:
+    """Entries of every named field that has a value: the expression is one for all of them. make gives suffixes and texts."""
+    given = F.array(*(F.struct(F.lit(n).alias("n"), (number if numbers else text)(n).alias("v")) for n in names))
+    own = lambda x: F.array(*(_entry_of(F.concat(x["n"], F.lit(suffix)), value) for suffix, value in make(x["n"], x["v"])))
+    return F.flatten(F.transform(F.filter(given, lambda x: x["v"].isNotNull()), own))
+
+
+def _times() -> Column:
+    """A duration in two units, in all, as a clock, as a clock with frames, and as both; delays of nothing have the clock alone."""
+    fps = F.when(F.col("kind").isin("Video", "General"), number("FrameRate"))
+    texts = lambda v, rate: let(f.duration_strings(v, rate), lambda s: F.array(s["s2"], s["s1"], s["s2"], s["s3"], s["s4"], s["s5"]))
+
+    def entries(n: Column, own: Column, shown: list[Column]) -> Column:
+        return F.filter(F.array(*(_entry_of(F.when(keep, F.concat(n, F.lit(f"/String{k or ''}"))), F.get(own, F.lit(k))) for k, keep in enumerate(shown))), lambda x: x["key"].isNotNull())
+
+    given = F.array(*(F.struct(F.lit(n).alias("n"), number(n).alias("v"), F.lit(n in DELAYS).alias("delay")) for n in DURATIONS + DELAYS))
+    always = F.lit(True)
+
+    def one(x: Column) -> Column:
+        long, there = x["n"] == "Duration", ~x["delay"] | (x["v"] != 0)
+        return let(texts(x["v"], F.when(long, fps)), lambda own: entries(x["n"], own, [there, there, there, always, long, long]))
+
+    return F.flatten(F.transform(F.filter(given, lambda x: x["v"].isNotNull()), one))
+
+
+def _plural(n: Column, one: Column) -> Column:
+    count = n.cast("long")
+    return F.concat(count.cast("string"), F.lit(" "), one, F.when(count == 1, "").otherwise("s"))
+
+
+def _rates() -> Column:
+    per_frame = number("SamplesPerFrame")
+
+    def frame_rate(n: Column, v: Column) -> list[tuple[str, Column]]:
+        sound = (F.col("kind") == "Audio") & (n == "FrameRate")
+        shown = F.concat(decimals(v, 3), F.lit(" FPS"), F.when(sound & (per_frame != 0), F.concat(F.lit(" ("), per_frame.cast("long").cast("string"), F.lit(" SPF)"))).otherwise(""))
+        return [("/String", F.when(~F.isnan(v) & (F.abs(v) < float("inf")) & ~(sound & number("SamplingRate").isNull()), shown))]
+
+    def ratio(n: Column, v: Column) -> list[tuple[str, Column]]:
+        named = reduce(lambda chain, x: chain.when(F.abs(v - x[0]) < 0.011, x[1]), f.ASPECT_NAMES[1:], F.when(F.abs(v - f.ASPECT_NAMES[0][0]) < 0.011, f.ASPECT_NAMES[0][1]))
+        return [("/String", named.otherwise(F.concat(plain(v, 3), F.lit(":1"))))]
+
+    unit = F.create_map(*(F.lit(x) for n, one in ([(b, "bit") for b in BITS] + [(c, "channel") for c in CHANNELS] + [("Format_Settings_RefFrames", "frame")]) for x in (n, one)))
+    return F.concat(
+        _each(BIT_RATES, lambda n, t: [("/String", bit_rate_text(t))], numbers=False), _each(FRAME_RATES, frame_rate), _each(["DisplayAspectRatio"], ratio),
+        _each(["SamplingRate"], lambda n, v: [("/String", F.when(v < 10_000, F.concat(decimals(v, 0), F.lit(" Hz"))).otherwise(F.concat(significant(v / 1000, 3), F.lit(" kHz"))))]),
+        _each(PIXELS, lambda n, v: [("/String", F.concat(decimals(v, 0), F.lit(" pixels")))]), _each([*BITS, *CHANNELS, "Format_Settings_RefFrames"], lambda n, v: [("/String", _plural(v, F.element_at(unit, n)))]),
+    )
+
+
+def _sizes(file_size: Column) -> Column:
+    """Sizes in binary units, with their share of the file where that is known."""
+    total = F.coalesce(F.nullif(number("FileSize"), F.lit(0.0)), file_size)
+
+    def own(x: Column, texts: Column) -> Column:
+        share = F.when(total >= x["v"], F.concat(F.get(texts, F.lit(0)), F.lit(" ("), whole(F.try_divide(x["v"], total) * 100), F.lit("%)")))
+        whole_file = x["n"] == "FileSize"
+        shown = [F.when(whole_file, F.get(texts, F.lit(0))).otherwise(F.coalesce(share, F.get(texts, F.lit(0)))), *(F.get(texts, F.lit(k)) for k in range(1, 5)), F.when(~whole_file, share)]
+        named = [_entry_of(F.concat(x["n"], F.lit(f"/String{k or ''}")), v) for k, v in enumerate(shown)]
+        return F.array(*named, _entry_of(F.concat(x["n"], F.lit("_Proportion")), F.when(~whole_file & (total >= x["v"]), plain(F.try_divide(x["v"], total), 5))))
+
+    given = F.array(*(F.struct(F.lit(n).alias("n"), F.when((F.lit(n) != "FileSize") | (F.col("kind") == "General"), number(n)).alias("v")) for n in ["FileSize", *SIZES]))
+    return F.flatten(F.transform(F.filter(given, lambda x: x["v"].isNotNull()), lambda x: let(size_texts(x["v"]), lambda texts: own(x, texts))))
+
+
+def _words() -> Column:
+    """Words of codes, twins that are the text itself, and texts with a unit or their parts apart."""
+    table = F.create_map(*(F.lit(x) for n, words in WORDS.items() for code, word in words.items() for x in (f"{n}={code}", word)))
+    twins = _each([*WORDS, *SAME], lambda n, t: [("/String", F.coalesce(F.element_at(table, F.concat(n, F.lit("="), t)), t))], numbers=False)
+    gains = _each(["ReplayGain_Gain", "Album_ReplayGain_Gain"], lambda n, t: [("/String", F.concat(t, F.lit(" dB")))], numbers=False)
+    points, frames = text("Format_Settings_GMC"), text("Interleave_VideoFrames")
+    out = [("Format_Settings_GMC/String", F.when(points == "0", "No warppoints").otherwise(F.concat(points, F.lit(" warppoints"))))]
+    out.append(("Interleave_Preload/String", F.concat(text("Interleave_Preload"), F.lit("  ms"))))
+    out.append(("Interleave_Duration/String", F.concat(text("Interleave_Duration"), F.lit("  ms"), F.coalesce(F.concat(F.lit(" ("), frames, F.lit(" video frame)")), F.lit("")))))
     for base in ("Encoded_Library", "Encoded_Application"):
-        given, name, version, date = (fields.get(base + x, "") for x in ("", "_Name", "_Version", "_Date"))
-        if name:  # a date is told only beside the field itself
-            out[f"{base}/String"] = " ".join(x for x in (name, version, f"({date})" if date and given else "") if x)
-        elif " - " in given:
-            left, _, right = given.partition(" - ")
-            out |= {f"{base}_Name": left, f"{base}_Version": right, f"{base}/String": f"{left} {right}"}
-        elif given:
-            out[f"{base}/String"] = given
-    return out
+        given, name, version, date = text(base), text(f"{base}_Name"), text(f"{base}_Version"), text(f"{base}_Date")
+        parts = F.when(name.isNull() & (F.instr(given, " - ") > 0), F.split(given, " - ", 2))
+        dated = F.when(given.isNotNull(), F.concat(F.lit("("), date, F.lit(")")))  # a date is told only beside the field itself
+        out += [(f"{base}/String", F.coalesce(F.when(name.isNotNull(), F.concat_ws(" ", name, version, dated)), F.array_join(parts, " "), given)), (f"{base}_Name", F.get(parts, F.lit(0))), (f"{base}_Version", F.get(parts, F.lit(1)))]
+    return F.concat(twins, gains, F.array(*(_entry_of(F.lit(n), v) for n, v in out)))
 
 
 def with_names(streams: DataFrame) -> DataFrame:
@@ -198,76 +306,14 @@ def hexadecimal(values: pa.Array) -> pa.Array:
     return pa.array([None if v is None else f"{int(v):X}" for v in values.to_pylist()], pa.string())
 
 
-def completed(kind: str, fields: dict[str, str]) -> dict[str, str]:
-    """Values of a video or audio stream that follow from others: ratios, counts, times and rates."""
-    have = dict(fields)
-    value = lambda n: _float(have.get(n))
-
-    def add(name: str, wanted: list[str], make, shown: str = "{}") -> None:
-        """A missing value from other ones; make's None and division by nothing leave it missing."""
-        given = [value(n) for n in wanted]
-        if not have.get(name) and None not in given:
-            try:
-                if (x := make(*given)) is not None:
-                    have[name] = shown.format(x)
-            except ZeroDivisionError:
-                pass
-
-    half_up = lambda x: int(math.floor(x + 0.5))
-    if kind == "Video":
-        if have.get("Format") in SAMPLED and not have.get("CodecID_Description") and value("Width") is not None and value("Height") is not None:
-            add("Sampled_Width", ["Width"], int)
-            add("Sampled_Height", ["Height"], int)
-        add("PixelAspectRatio", ["DisplayAspectRatio", "Height", "Width"], lambda d, h, w: d * h / w, "{:.3f}")
-        if not have.get("DisplayAspectRatio"):
-            add("PixelAspectRatio", ["Width", "Height"], lambda w, h: 1.0, "{:.3f}")
-            add("DisplayAspectRatio", ["Width", "Height", "PixelAspectRatio"], lambda w, h, p: w * p / h, "{:.3f}")
-        add("FrameCount", ["Duration", "FrameRate"], lambda d, r: round(d / 1000 * r))
-        add("Duration", ["FrameCount", "FrameRate"], lambda n, r: half_up(n / r * 1000) if r > 0 else None)
-    if kind == "Audio":
-        add("Duration", ["StreamSize", "BitRate"], lambda n, r: half_up(n * 8 / r * 1000) if r > 0 else None)
-        add("FrameRate", ["SamplingRate", "SamplesPerFrame"], lambda r, n: r / n, "{:.3f}")
-        add("SamplingCount", ["Duration", "SamplingRate"], lambda d, r: half_up(d / 1000 * r))
-        add("Source_FrameCount", ["Source_Duration", "FrameRate"], lambda d, r: half_up(d / 1000 * r))
-        for base in ("ChannelPositions", "ChannelPositions_Original", "Matrix_ChannelPositions"):
-            if have.get(base) and not have.get(f"{base}/String2"):
-                have[f"{base}/String2"] = speakers(have[base])
-    if kind in ("Video", "Audio"):
-        add("BitRate", ["StreamSize", "Duration"], lambda n, d: half_up(n * 8 * 1000 / d) if d > 0 else None)
-    if kind == "Video":
-        add("Bits-(Pixel*Frame)", ["BitRate", "Width", "Height", "FrameRate"], lambda b, w, h, r: b / (w * h * r), "{:.3f}")
-        if have.get("ChromaSubsampling"):
-            have.setdefault("ColorSpace", "YUV")
-    return have
-
-
-def speakers(positions: str) -> str:
-    """Numbers of front, side and back speakers, and of low-frequency ones."""
-    parts = [x.partition(":") for x in positions.split(",")]
-    count = lambda group: sum(len(names.split()) for name, _, names in parts if name.strip() == group)
-    low = sum(name.strip().upper() == "LFE" and not dots for name, dots, _ in parts)
-    return "/".join(str(count(g)) for g in ("Front", "Side", "Back")) + (f".{low}" if low or "LFE" in positions else "")
-
-
 def with_values(streams: DataFrame) -> DataFrame:
-    """Values that follow from others and the readable twins of all, in one Arrow pass over each stream's fields.
-
-    Exact decimals of doubles need Python, and the rules feed each other, so they stay together. Beside file, kind, idx
-    and fields, a column file_size gives the bytes of the stream's file.
-    """
+    """Values that follow from others, and then the readable twins of all values; a column file_size gives the bytes of the stream's file."""
     names = streams.columns
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("fields")
-            sizes = batch.column("file_size").to_pylist() if "file_size" in names else [None] * batch.num_rows
-            out = []
-            for kind, pairs, size in zip(batch.column("kind").to_pylist(), batch.column("fields").to_pylist(), sizes, strict=True):
-                fields = completed(kind, {k: v for k, v in pairs or () if v})
-                out.append(list((strings(kind, fields, size) | fields).items()))
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-
-    return streams.mapInArrow(rows, streams.schema)
+    total = F.col("file_size").cast("double") if "file_size" in names else F.lit(None).cast("double")
+    out = phased(streams.withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>"))), VALUES)
+    for entries in (_times(), _rates(), _sizes(total), _words()):
+        out = filled(out, entries)
+    return out.select(*names)
 
 
 def with_numbers(streams: DataFrame) -> DataFrame:
@@ -278,8 +324,65 @@ def with_numbers(streams: DataFrame) -> DataFrame:
     return filled(out, entries, over=True).drop("__n")
 
 
+def file_totals(streams: DataFrame) -> DataFrame:
+    """file and totals, a map of what a file's streams tell of it: counts, lists, modes, the first video's rate, the longest duration, the bytes of all.
+
+    One aggregate by file with partial sums; lists keep one entry a stream, empty where unknown, as long as any stream has one.
+    """
+    own = streams.filter("kind <> 'General'")
+    entries, aggregates = [], []
+    text_of = lambda n: F.coalesce(text(n), F.lit(""))
+    hinted = F.when((text_of("CodecID/Hint") == "") | (text_of("Format/String") == ""), text_of("Format/String")).otherwise(F.concat(text_of("Format/String"), F.lit(" ("), text_of("CodecID/Hint"), F.lit(")")))
+    for kind in KINDS[1:]:
+        mine = F.col("kind") == kind
+        aggregates.append(F.count_if(mine).alias(f"{kind}Count"))
+        entries.append((f"{kind}Count", F.when(F.col(f"{kind}Count") > 0, F.col(f"{kind}Count"))))
+        for name, value in (("Format_List", text_of("Format/String")), ("Format_WithHint_List", hinted), ("Language_List", text_of("Language/String"))):
+            listed = F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("idx", value.alias("v"))))), lambda x: x["v"])
+            aggregates.append(listed.alias(f"{kind}_{name}"))
+            joined = F.when(F.exists(F.col(f"{kind}_{name}"), lambda x: x != ""), F.array_join(F.col(f"{kind}_{name}"), " / "))
+            entries += [(f"{kind}_{name}", joined)] + ([(f"{kind}_Codec_List", joined)] if name == "Format_List" else [])
+    first = F.when(F.col("kind") == "Video", F.col("idx"))
+    for name in ("FrameRate", "FrameRate/String", "FrameCount"):
+        aggregates.append(F.min_by(text(name), first).alias(f"first {name}"))
+        rate = F.col("first FrameRate").isNotNull() if name == "FrameRate/String" else F.lit(True)
+        entries.append((name, F.when(rate, F.col(f"first {name}"))))
+    alone = ["Encoded_Library", "Encoded_Library_Settings", "Encoded_Library_Name", "Encoded_Library_Version", "Encoded_Library/String"]
+    aggregates += [F.count(F.lit(1)).alias("streams"), F.max(number("Duration")).alias("longest"), overall_mode(text("BitRate_Mode"), F.col("kind")).alias("mode"), known_total(number("StreamSize").cast("long")).alias("bytes")]
+    aggregates += [F.max(text("Format")).alias("format"), F.max(text("Encoded_Library_Settings").isNotNull() | (F.col("kind") == "Audio")).alias("encoded"), *(F.max(text(n)).alias(f"alone {n}") for n in alone)]
+    entries += [("Duration", whole(F.col("longest"))), ("OverallBitRate_Mode", F.col("mode"))]
+    # Only where the single stream of an elementary file has the file's own format.
+    entries += [(f"alone/{n}", F.when((F.col("streams") == 1) & F.col("encoded") & (F.col("format") != "FLAC"), F.col(f"alone {n}"))) for n in alone]
+    entries += [("alone/Format", F.col("format")), ("bytes", F.col("bytes"))]
+    grouped = own.groupBy("file").agg(*aggregates)
+    given = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")) for n, v in entries)), lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    return grouped.select("file", F.map_from_entries(given).alias("totals"))
+
+
+def with_totals(general: DataFrame, totals: DataFrame) -> DataFrame:
+    """General rows with what their streams tell of them, and with what follows: bit rate and the bytes beside the streams."""
+    joined = general.join(totals, "file", "left").withColumn("totals", F.coalesce("totals", F.create_map().cast("map<string,string>")))
+    same = F.coalesce(F.element_at("totals", F.lit("alone/Format")), F.lit("")) == F.coalesce(text("Format"), F.lit(""))
+    alone = F.transform_keys(F.map_filter("totals", lambda k, _: k.startswith("alone/Encoded") & same), lambda k, _: F.substring(k, F.lit(7), F.length(k)))
+    own = F.map_concat(F.map_filter("totals", lambda k, _: ~k.startswith("alone/") & (k != "bytes")), alone)
+    missing = F.map_filter(own, lambda k, _: F.coalesce(F.element_at("fields", k), F.lit("")) == "")
+    kept = F.map_filter("fields", lambda k, v: F.coalesce(v, F.lit("")) != "")
+    size, streams = number("FileSize"), F.element_at("totals", F.lit("bytes")).cast("long")
+    out = joined.withColumn("fields", F.map_concat(kept, missing))
+    out = filled(out, [("OverallBitRate", F.when(number("Duration") > 0, whole(F.try_divide(size * 8 * 1000, number("Duration"))))), ("StreamSize", F.when(size.cast("long") >= streams, size.cast("long") - streams))])
+    return out.select(*general.columns)
+
+
 def derived(streams: DataFrame) -> DataFrame:
-    """All phases in order, over rows of file, kind, idx, fields."""
-    general = F.when(F.col("kind") == "General", number("FileSize"))
-    sized = streams.withColumn("file_size", F.max(general).over(Window.partitionBy("file")))
-    return with_numbers(with_values(with_names(sized))).drop("file_size")
+    """All phases in order, over rows of file, kind, idx, fields: streams first, then the files from them, then the numbers.
+
+    The streams are written to the checkpoint folder once they are done. A file's size comes from its General row. Extensions that don't belong to the format are told last.
+    """
+    sizes = streams.filter("kind = 'General'").groupBy("file").agg(F.max(number("FileSize")).alias("file_size"))
+    columns = streams.columns
+    parts = checkpointed(with_values(with_names(streams.filter("kind <> 'General'").join(sizes, "file", "left"))))  # read twice
+    general = with_totals(with_names(streams.filter("kind = 'General'")), file_totals(parts)).withColumn("file_size", F.lit(None).cast("double"))
+    known = F.split(text("Format/Extensions"), " ")
+    invalid = F.when(~F.array_contains(known, F.lower(text("FileExtension"))), text("Format/Extensions"))
+    whole_ = filled(with_values(general), [("FileExtension_Invalid", invalid)])
+    return with_numbers(parts.unionByName(whole_)).select(*columns)

@@ -63,6 +63,23 @@ def q_derive_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(op.with_numbers(_streams(spark, sf_dir, kind, {"Format": F.lit("x")})), kind="StreamKind", count="StreamCount", id="StreamKindID", pos="StreamKindPos")
 
 
+def q_derived_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pass from given fields to totals: a conversation acts as a file, its turns as video and audio streams."""
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
+    l, file = F.length("text").cast("long"), F.col("conv_id").cast("string").alias("file")  # noqa: E741
+    mapped = lambda fields: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")) for n, v in fields.items())), lambda x: x["value"].isNotNull()))
+    video = F.col("role") == "user"
+    own = {
+        "Format": F.when(video, "AVC").otherwise("FLAC"), "Duration": F.when(l % 3 > 0, l * 40), "FrameRate": F.when(video, "25.000"), "StreamSize": F.when(l % 7 > 0, l * 1000), "BitRate_Mode": F.when(l % 5 > 0, "CBR").otherwise("VBR"),
+        "FrameCount": F.when(video & (l % 3 == 0), l), "Width": F.when(video, 640), "Height": F.when(video, 480),
+    }
+    streams = rows.select(file, F.when(video, "Video").otherwise("Audio").alias("kind"), (F.floor(F.col("turn") / 2)).cast("int").alias("idx"), mapped(own).alias("fields"))
+    general = rows.filter("turn = 0").select(file, F.lit("General").alias("kind"), F.lit(0).alias("idx"), mapped({"Format": F.lit("Matroska"), "FileSize": l * 9_000_000, "FileExtension": F.when(l % 2 == 0, "mkv").otherwise("txt")}).alias("fields"))
+    out = op.derived(streams.unionByName(general))
+    names = {"count": "StreamCount", "duration": "Duration", "clock": "Duration/String3", "bit_rate": "BitRate", "overall": "OverallBitRate", "mode": "OverallBitRate_Mode", "words": "BitRate_Mode/String", "size": "StreamSize", "video": "VideoCount", "audio": "AudioCount", "formats": "Video_Format_List", "fps": "FrameRate", "frames": "FrameCount", "dar": "DisplayAspectRatio/String", "share": "StreamSize_Proportion"}
+    return out.select("file", "kind", "idx", *(F.coalesce(F.element_at("fields", F.lit(n)), F.lit("")).alias(a) for a, n in names.items()), F.element_at("fields", F.lit("FileExtension_Invalid")).isNotNull().alias("invalid"))
+
+
 QUERIES = {name: value for name, value in globals().items() if name.startswith("q_")}
 
 
@@ -79,7 +96,17 @@ d AS (SELECT *, CASE WHEN n % 3 <> 0 THEN 25.0::DOUBLE END AS fps, CASE WHEN n %
 b AS (SELECT *, CASE WHEN dur > 0 THEN round(size * 8.0::DOUBLE * 1000 / dur) END AS br FROM d)"""
 _PICK = lambda *values: f"[{', '.join(repr(v) for v in values)}][l_partkey % {len(values)} + 1]"
 _RATE = "CASE WHEN {0} < 10000 THEN {0}::BIGINT || ' b/s' WHEN {0} < 10000000 THEN {1} || ' kb/s' ELSE {2} || ' Mb/s' END"
+_DERIVED = """WITH t AS (SELECT conv_id::VARCHAR AS file, turn, role = 'user' AS v, (turn // 2)::INTEGER AS idx, length(text)::BIGINT AS l FROM conversations WHERE text IS NOT NULL),
+g AS (SELECT file, l * 9000000 AS fs, l % 2 = 1 AS invalid FROM t WHERE turn = 0),
+s AS (SELECT t.*, CASE WHEN l % 3 > 0 THEN l * 40 WHEN v THEN floor(l / 25.0::DOUBLE * 1000 + 0.5)::BIGINT END AS dur, CASE WHEN l % 7 > 0 THEN l * 1000 END AS size, CASE WHEN l % 5 > 0 THEN 'CBR' ELSE 'VBR' END AS m FROM t),
+x AS (SELECT *, CASE WHEN v THEN CASE WHEN l % 3 = 0 THEN l ELSE round_even(l * 40 / 1000.0::DOUBLE * 25, 0)::BIGINT END END AS frames, CASE WHEN dur > 0 AND size IS NOT NULL THEN floor(size * 8000.0::DOUBLE / dur + 0.5)::BIGINT END AS br FROM s),
+a AS (SELECT file, max(dur) AS dur, CASE WHEN bool_or(m = 'VBR') THEN 'VBR' ELSE 'CBR' END AS m, CASE WHEN count(*) = count(size) THEN sum(size)::BIGINT END AS size, count(*) FILTER (v) AS nv, count(*) FILTER (NOT v) AS na, arg_min(frames, idx) FILTER (v AND frames IS NOT NULL) AS frames FROM x GROUP BY file),
+o AS (SELECT g.file, 'General' AS kind, 0 AS idx, 1 AS count, a.dur, NULL AS br, CASE WHEN a.dur > 0 THEN floor(fs * 8000.0::DOUBLE / a.dur + 0.5)::BIGINT END AS overall, a.m AS mode, '' AS words, CASE WHEN fs >= a.size THEN fs - a.size END AS size, nv, na, CASE WHEN nv > 0 THEN repeat('AVC / ', nv - 1) || 'AVC' END AS formats, nv > 0 AS fps, a.frames, '' AS dar, CASE WHEN fs >= a.size AND fs > 0 THEN (fs - a.size)::DOUBLE / fs END AS share, invalid FROM g JOIN a USING (file)
+ UNION ALL SELECT x.file, CASE WHEN v THEN 'Video' ELSE 'Audio' END, idx, CASE WHEN v THEN nv ELSE na END, x.dur, br, NULL, '', CASE x.m WHEN 'CBR' THEN 'Constant' ELSE 'Variable' END, x.size, NULL, NULL, NULL, v, x.frames, CASE WHEN v THEN '4:3' ELSE '' END, CASE WHEN fs >= x.size AND fs > 0 THEN x.size::DOUBLE / fs END, false FROM x JOIN a USING (file) LEFT JOIN g USING (file))
+SELECT file, kind, idx, count::VARCHAR AS count, coalesce(dur::VARCHAR, '') AS duration, coalesce(printf('%02d:%02d:%02d.%03d', dur // 3600000, dur // 60000 % 60, dur // 1000 % 60, dur % 1000), '') AS clock, coalesce(br::VARCHAR, '') AS bit_rate, coalesce(overall::VARCHAR, '') AS overall, mode, words, coalesce(size::VARCHAR, '') AS size,
+ CASE WHEN nv > 0 THEN nv::VARCHAR ELSE '' END AS video, CASE WHEN na > 0 THEN na::VARCHAR ELSE '' END AS audio, coalesce(formats, '') AS formats, CASE WHEN fps THEN '25.000' ELSE '' END AS fps, coalesce(frames::VARCHAR, '') AS frames, dar, coalesce(printf('%.5f', share), '') AS share, invalid FROM o"""
 ORACLE = {
+    "q_derived_files": _DERIVED,
     "q_derive_video": f"""{_V} SELECT l_orderkey, l_linenumber, CASE WHEN n % 4 = 0 THEN '1.500' ELSE '1.000' END AS par, printf('%.3f', w * CASE WHEN n % 4 = 0 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END / h) AS dar,
  CASE WHEN n % 2 = 1 THEN t::VARCHAR WHEN fps IS NULL THEN '' ELSE round_even(t / 1000.0::DOUBLE * fps, 0)::BIGINT::VARCHAR END AS frames, coalesce(dur::BIGINT::VARCHAR, '') AS duration, coalesce(br::BIGINT::VARCHAR, '') AS bit_rate,
  CASE WHEN br IS NULL OR fps IS NULL THEN '' ELSE printf('%.3f', br / (w * h * fps)) END AS bits, CASE WHEN n = 1 THEN 'YUV' ELSE '' END AS color, w::BIGINT::VARCHAR AS sampled FROM b""",
