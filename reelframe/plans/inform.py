@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelframe.functions import schema
 from reelframe.operators import schema as op
+from reelframe.operators import tagmaps
 from reelframe.sources.tables import table
 
 #: name, SQL of the text, measure and options, in the order in which the fields are set.
@@ -74,6 +75,18 @@ def q_inform_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.inform(fields(spark, sf_dir), op.Options().option("Output", "json")[1])
 
 
+#: Keys of two sources: source, key, field, rule, part.
+TAG_MAPS = [("id3", "tit2", "Title", "first", None), ("id3", "TPE1", "Performer", "join", None), ("id3", "TRCK", "Track/Position", "last", "position"), ("ape", "Title", "Title", "first", None), ("ape", "ARTIST", "Performer", "join", None), ("ape", "comment", "Comment", "last", None)]
+
+
+def q_tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of two sources of a file, with keys that both know, that repeat, and that neither knows."""
+    keys = "element_at(array('TIT2', 'TPE1', 'TRCK', 'Title', 'artist', 'COMMENT', 'x'), CAST(length(text) % 7 + 1 AS INT))"
+    tags = spark.sql(f"SELECT CAST(conv_id AS STRING) AS file, CASE role WHEN 'user' THEN 'id3' ELSE 'ape' END AS source, turn AS seq, {keys} AS key, CASE WHEN length(text) % 7 = 2 THEN concat(turn, '/ ', length(text)) ELSE concat('v', length(text) % 5) END AS text FROM {{conversations}}", conversations=table(spark, sf_dir, "conversations"))
+    rows = ", ".join(f"({', '.join(_quoted(x) for x in row)})" for row in TAG_MAPS)
+    return tagmaps.resolved(tags, spark.sql(f"SELECT * FROM VALUES {rows} AS t(source, key, field, rule, part)"), ["ape", "id3"])
+
+
 TEMPLATE = "General;%CompleteName% (%Title%)$if(%Mood%, %Mood%,)\\nVideo;%Width%x%Height%: %Note%\\n--\\nAudio;$if(%Width%,wide,narrow) %Format%\\n"
 
 
@@ -117,7 +130,15 @@ _ELEMENT = "'<' || {0} || '>' || {1} || '</' || {0} || '>' || chr(10)"
 _TRACK = "'<track type=\"' || kind || CASE WHEN among > 1 THEN '\" {0}=\"' || place ELSE '' END || '\">' || chr(10)"
 _HEAD = "'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || "
 _FIELD = "coalesce(max(text) FILTER (name = '{0}'), '')"
+_MAPS = ", ".join(f"({', '.join(_quoted(x).replace('STRING', 'VARCHAR') for x in row)})" for row in TAG_MAPS)
+_TAGS = f"""WITH t AS (SELECT conv_id::VARCHAR AS file, CASE role WHEN 'user' THEN 'id3' ELSE 'ape' END AS source, turn AS seq, ['TIT2', 'TPE1', 'TRCK', 'Title', 'artist', 'COMMENT', 'x'][length(text) % 7 + 1] AS key,
+ CASE WHEN length(text) % 7 = 2 THEN turn || '/ ' || length(text) ELSE 'v' || length(text) % 5 END AS text FROM conversations WHERE text IS NOT NULL), m(source, k, field, rule, part) AS (VALUES {_MAPS}),
+j AS (SELECT t.*, m.field, coalesce(m.rule, 'first') AS rule, m.field IS NULL AS extra, m.part, CASE t.source WHEN 'ape' THEN 1 ELSE 2 END AS place FROM t LEFT JOIN m ON m.source = t.source AND upper(m.k) = upper(t.key)),
+p AS (SELECT file, coalesce(field, key) AS field, rule, extra, place, seq, CASE WHEN part IS NULL THEN text ELSE trim(split_part(text, '/', 1)) END AS text FROM j UNION ALL SELECT file, field || '_Total', rule, extra, place, seq, trim(split_part(text, '/', 2)) FROM j WHERE part IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY file, field ORDER BY place, seq) AS a, row_number() OVER (PARTITION BY file, field ORDER BY place DESC, seq DESC) AS z, row_number() OVER (PARTITION BY file, field, text ORDER BY place, seq) AS d FROM p WHERE text <> '')
+SELECT file, field, CASE max(rule) FILTER (a = 1) WHEN 'join' THEN string_agg(text, ' / ' ORDER BY place, seq) FILTER (d = 1) WHEN 'last' THEN max(text) FILTER (z = 1) ELSE max(text) FILTER (a = 1) END AS text, bool_or(extra) FILTER (a = 1) AS extra FROM n GROUP BY file, field"""
 ORACLE = {
+    "q_tag_rules": _TAGS,
     "q_schema_fields": f"{_PLACED} SELECT * FROM p",
     "q_schema_get_at": f"{_PLACED} SELECT file, kind, idx, CASE kind WHEN 'Video' THEN ' ms' WHEN 'Audio' THEN ' ms' ELSE '' END AS value FROM (SELECT DISTINCT file, kind, idx FROM a)",
     "q_schema_get": f"{_PLACED} SELECT file, kind, idx, coalesce(max(x.t) FILTER (name = 'Title'), '') AS text FROM g GROUP BY ALL",
