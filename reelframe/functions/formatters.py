@@ -165,3 +165,9 @@ def ntsc_fraction(fps: Column) -> Column:
     """Numerator over 1001 of a rate within 0.0005 of one, else null."""
     near = lambda n: F.abs(fps - F.lit(n / 1001.0)) < 0.0005
     return reduce(lambda out, n: out.when(near(n), n), NTSC_NUMERATORS[1:], F.when(near(NTSC_NUMERATORS[0]), NTSC_NUMERATORS[0]))
+
+
+def compression_ratio(sampling_rate: Column, bits: Column, channels: Column, bit_rate: Column) -> Column:
+    """How many times smaller a coded sound is than its samples, to three decimals; null without a positive bit rate."""
+    raw = (sampling_rate.cast("long") * bits.cast("long") * channels.cast("long")).cast("double")
+    return F.when(bit_rate > 0, fixed(F.try_divide(raw, bit_rate.cast("double")), 3))

@@ -128,3 +128,10 @@ def utc_text(seconds: Column) -> Column:
 def unwrapped(ticks: Column, first: Column) -> Column:
     """Milliseconds of a 33-bit 90 kHz clock that may have started anew since first."""
     return (ticks + F.when(ticks + F.lit(1 << 32) < first, F.lit(1 << 33)).otherwise(F.lit(0).cast("long"))) / 90
+
+
+def hms_to_ms(text: Column) -> Column:
+    """Milliseconds (double) of `HH:MM:SS.nnnnnnnnn`, as duration tags have it; null where one of the first three parts is no number."""
+    parts = F.split(F.trim(text), ":")
+    part = lambda k: F.get(parts, F.lit(k)).try_cast("double")
+    return ((part(0) * 60.0 + part(1)) * 60.0 + part(2)) * 1000.0

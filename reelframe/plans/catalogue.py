@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelframe.plans import derivation, formats, graphs, inform, media, reports, runs, sequences, streams, structures, texts, tracks
+from reelframe.plans import derivation, details, formats, graphs, inform, media, reports, runs, sequences, streams, structures, texts, tracks
 
-MODULES = [formats, derivation, streams, texts, sequences, reports, media, tracks, structures, graphs, runs, inform]
+MODULES = [formats, derivation, streams, texts, sequences, reports, media, tracks, structures, graphs, runs, inform, details]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
