@@ -61,11 +61,13 @@ def number(name: str) -> Column:
 def filled(streams: DataFrame, entries: Entries | Column, over: bool = False) -> DataFrame:
     """The streams with the entries (pairs, or an array of key and value) that have text; a field that has text stays, unless over."""
     given = entries if isinstance(entries, Column) else F.array(*(F.struct(F.lit(n).alias("key"), v.cast("string").alias("value")) for n, v in entries))
-    new = streams.withColumn("__new", F.map_from_entries(F.filter(given, lambda x: F.coalesce(x["value"], F.lit("")) != "")))
-    has = lambda m, k: F.coalesce(F.element_at(m, k), F.lit("")) != ""
-    kept, added = ("__new", "fields") if over else ("fields", "__new")
-    merged = F.map_concat(F.map_filter(F.col(added), lambda k, _: ~has(F.col(kept), k)), F.map_filter(F.col(kept), lambda k, v: has(F.col(kept), k)))
-    return new.withColumn("fields", merged).drop("__new")
+    told = F.filter(given, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    held = F.map_filter("fields", lambda _, v: F.coalesce(v, F.lit("")) != "")
+    if over:
+        new = streams.withColumn("__new", F.map_from_entries(told))
+        return new.withColumn("fields", F.map_concat(F.map_filter(held, lambda k, _: ~F.map_contains_key("__new", k)), F.col("__new"))).drop("__new")
+    added = F.filter(told, lambda x: ~F.map_contains_key("fields", x["key"]))
+    return streams.withColumn("fields", held).withColumn("fields", F.map_concat("fields", F.map_from_entries(added)))
 
 
 def decimals(value: Column, digits: Column | int, grouped: bool = True) -> Column:
