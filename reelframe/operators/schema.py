@@ -136,6 +136,7 @@ class Library:
     version: str = "1.0"
     url: str = "urn:reelframe"
     namespace: str = "urn:reelframe:media:2.0"
+    root: str = "MediaReport"  # the outermost element
 
 
 def _complete_name() -> Column:
@@ -162,8 +163,8 @@ def xml_report(fields: DataFrame, dimension: DataFrame | None = None, library: L
     streams = _streams(_exported(placed(fields, dimension)), _lines(line, there & ~F.col("dynamic"), F.col("nth")).alias("lines"), _lines(line, there & F.col("dynamic"), F.col("nth")).alias("more"), _complete_name())
     more = F.when(F.col("more") != "", F.concat(F.lit("<extra>\n"), "more", F.lit("</extra>\n"))).otherwise("")
     whole = _files(streams, F.concat(_track("typeorder"), "lines", more, F.lit("</track>\n")), "", F.max("complete").alias("complete"))
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<MediaInfo\n    xmlns="{library.namespace}"\n    version="2.0">\n<creatingLibrary version="{library.version}" url="{library.url}">{library.name}</creatingLibrary>\n<media ref="'
-    return whole.select("file", F.concat(F.lit(head), xml_escape(F.coalesce("complete", F.lit(""))), F.lit('">\n'), "body", F.lit("</media>\n</MediaInfo>\n")).alias("report"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<{library.root}\n    xmlns="{library.namespace}"\n    version="2.0">\n<creatingLibrary version="{library.version}" url="{library.url}">{library.name}</creatingLibrary>\n<media ref="'
+    return whole.select("file", F.concat(F.lit(head), xml_escape(F.coalesce("complete", F.lit(""))), F.lit('">\n'), "body", F.lit(f"</media>\n</{library.root}>\n")).alias("report"))
 
 
 def old_xml_report(fields: DataFrame, dimension: DataFrame | None = None, library: Library = Library()) -> DataFrame:
@@ -171,8 +172,8 @@ def old_xml_report(fields: DataFrame, dimension: DataFrame | None = None, librar
     name = F.replace(export_name(F.col("label")), F.lit("__"), F.lit("_"))
     line = F.concat(F.lit("<"), name, F.lit(">"), xml_escape(F.col("text")), F.lit("</"), name, F.lit(">\n"))
     streams = _streams(placed(fields, dimension), _lines(line, F.substring("options", 1, 1) == "Y").alias("lines"))
-    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<Mediainfo version="{library.version}">\n<File>\n'
-    return _files(streams, F.concat(_track("streamid"), "lines", F.lit("</track>\n")), "").select("file", F.concat(F.lit(head), "body", F.lit("</File>\n</Mediainfo>\n")).alias("report"))
+    head = f'<?xml version="1.0" encoding="UTF-8"?>\n<{library.root} version="{library.version}">\n<File>\n'
+    return _files(streams, F.concat(_track("streamid"), "lines", F.lit("</track>\n")), "").select("file", F.concat(F.lit(head), "body", F.lit(f"</File>\n</{library.root}>\n")).alias("report"))
 
 
 def json_report(fields: DataFrame, dimension: DataFrame | None = None, library: Library = Library()) -> DataFrame:

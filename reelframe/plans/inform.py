@@ -144,11 +144,11 @@ ORACLE = {
     "q_schema_get": f"{_PLACED} SELECT file, kind, idx, coalesce(max(x.t) FILTER (name = 'Title'), '') AS text FROM g GROUP BY ALL",
     "q_schema_count": f"{_PLACED} SELECT file, kind, idx, any_value(slots) + count(*) FILTER (slot IS NULL) AS count FROM j JOIN z USING (kind) GROUP BY file, kind, idx",
     "q_inform_text": _text("kind || CASE WHEN among > 1 THEN ' #' || place ELSE '' END || chr(10)", "CASE WHEN length(label) >= 41 THEN label ELSE rpad(label, 41, ' ') END || ': ' || text || chr(10)", "''", "chr(10)", "substr(options, 1, 1) = 'Y'", "''", "chr(10)"),
-    "q_inform_oldxml": _text(_TRACK.format("streamid"), _ELEMENT.format(f"replace({_NAME.format('label')}, '__', '_')", _XML.format("text")), "'</track>' || chr(10)", "''", "substr(options, 1, 1) = 'Y'", f"{_HEAD}'<Mediainfo version=\"1.0\">' || chr(10) || '<File>' || chr(10)", "'</File>' || chr(10) || '</Mediainfo>' || chr(10)"),
+    "q_inform_oldxml": _text(_TRACK.format("streamid"), _ELEMENT.format(f"replace({_NAME.format('label')}, '__', '_')", _XML.format("text")), "'</track>' || chr(10)", "''", "substr(options, 1, 1) = 'Y'", f"{_HEAD}'<MediaReport version=\"1.0\">' || chr(10) || '<File>' || chr(10)", "'</File>' || chr(10) || '</MediaReport>' || chr(10)"),
     "q_inform_xml": _pairs(
         _TRACK.format("typeorder"), _ELEMENT.format(_NAME.format("n"), _XML.format("v")), "'<extra>' || chr(10) || more || '</extra>' || chr(10)", "'</track>' || chr(10)", "''",
-        f"{_HEAD}'<MediaInfo' || chr(10) || '    xmlns=\"urn:reelframe:media:2.0\"' || chr(10) || '    version=\"2.0\">' || chr(10) || '<creatingLibrary version=\"1.0\" url=\"urn:reelframe\">reelframe</creatingLibrary>' || chr(10) || '<media ref=\"' || {_XML.format('coalesce(max(complete), %s)' % repr(''))} || '\">' || chr(10)",
-        "'</media>' || chr(10) || '</MediaInfo>' || chr(10)",
+        f"{_HEAD}'<MediaReport' || chr(10) || '    xmlns=\"urn:reelframe:media:2.0\"' || chr(10) || '    version=\"2.0\">' || chr(10) || '<creatingLibrary version=\"1.0\" url=\"urn:reelframe\">reelframe</creatingLibrary>' || chr(10) || '<media ref=\"' || {_XML.format('coalesce(max(complete), %s)' % repr(''))} || '\">' || chr(10)",
+        "'</media>' || chr(10) || '</MediaReport>' || chr(10)",
     ),
     "q_inform_json": _pairs(
         "'{' || chr(10) || '\"@type\": \"' || kind || '\"' || CASE WHEN among > 1 THEN ',' || chr(10) || '\"@typeorder\": \"' || place || '\"' ELSE '' END", f"',' || chr(10) || {_JSON.format(_NAME.format('n'))} || ': ' || {_JSON.format('v')}",

@@ -55,7 +55,7 @@ def test_text_report(spark, fields):
 
 def test_exports(fields):
     xml, json, old = (reports(op.inform(fields, op.Options().option("Output", x)[1]))["f"] for x in ("xml", "JSON", "OLDXML"))
-    assert '<media ref="/a &amp; b">' in xml and xml.endswith("</media>\n</MediaInfo>\n")
+    assert '<media ref="/a &amp; b">' in xml and xml.endswith("</media>\n</MediaReport>\n")
     assert '<track type="General">\n<Format>MPEG-4</Format>\n<Duration>1.0215</Duration>\n<extra>\n<Mood>calm</Mood>\n<Late>é&quot;&lt;</Late>\n</extra>\n</track>\n' in xml
     assert '<track type="Video" typeorder="1">\n<Format_Version>4</Format_Version>\n<Format_Profile>Main 10</Format_Profile>\n<Format_Level>4</Format_Level>\n<Format_Tier>Main</Format_Tier>\n</track>\n<track type="Video" typeorder="2">\n</track>\n' in xml
     assert '"@ref": "/a & b",' in json and ',\n"extra": {\n"Mood": "calm",\n"Late": "é\\"<"\n}\n}' in json and '{\n"@type": "Menu",\n"extra": {\n"_00_00_00_000": "Start"\n}\n}\n]\n}\n}\n' in json
