@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, fold, only, pieces, with_text
+from reelframe.llm.common import checkpointed, fold, only, pieces, release, with_text
 from reelframe.llm.textstats import Words, salted
 
 THRESHOLD = 0.3
@@ -84,6 +84,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = x[y == k]
             total[k] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
     yield pa.RecordBatch.from_pydict({"moments": [total.ravel().tolist()]})
+    release()
 
 
 class Discriminant:
@@ -142,6 +143,7 @@ def scored(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
         for batch in batches:
             x = np.array(batch.column("features").flatten()).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(model.value.scores(x))], ["row", "doc_id", "score"])
+        release()
 
     out = stats.mapInArrow(score, "row long, doc_id long, score double")
     return out.select("row", "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, flat_bytes, gather, numbered, pieces, spread, with_text
+from reelframe.llm.common import checkpointed, flat_bytes, gather, numbered, pieces, release, spread, with_text
 from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_of, bucket_rows, buckets_for, chunk_name, from_planes, homed, unpack
 from reelframe.llm.textstats import prefix_hashes, second_prefix_hashes, second_span_hashes, span_hashes
 
@@ -412,6 +412,7 @@ def _united(length: int):
             bounds = pa.array(np.searchsorted(owner[heads], np.arange(batch.num_rows + 1)).astype(np.int32))
             spans_ = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(start[heads]), pa.array(reach[lasts] - shift[heads])], ["start", "stop"]))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("row", "doc_id", "n_bytes", "sha256")), spans_], ["row", "doc_id", "n_bytes", "sha256", "spans"])
+        release()
 
     return rows
 
@@ -444,7 +445,7 @@ def cleaned(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with text cut and n_chars counted anew; characters that a cut splits lose their other bytes too."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             kept = [t if t is None or not s else cut(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(texts, batch.column("__spans").to_pylist(), strict=True)]
             out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(kept, pa.string()))
@@ -464,7 +465,7 @@ def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     plain = counted.filter("n_removed = 0 OR n_removed = n_bytes").select(*columns[:4], F.when(F.col("n_removed") == 0, F.col("sha256")).otherwise(F.lit(_NOTHING)).alias("kept_sha256"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             kept = [hashlib.sha256(cut(t.encode(), s)).hexdigest() for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns[:4]), pa.array(kept, pa.string())], columns)
 

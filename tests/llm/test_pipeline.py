@@ -30,3 +30,18 @@ def test_stages_keep_what_their_operators_keep(spark):
     assert all(kept[r.doc_id] - 6 * 50 <= len(r.text.encode()) <= kept[r.doc_id] and r.n_chars == len(r.text) for r in four.collect())
     five = stages[4](spark, four, SF)
     assert {r.doc_id for r in five.collect()} == set(kept)
+
+
+def test_tasks_follow_the_data_through_checkpoints(spark, monkeypatch):
+    from reelframe.llm import common
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(common, "TASK_BYTES", 1 << 14)
+    kept = common.checkpointed(docs.filter("doc_id >= 0"))
+    texts = docs.selectExpr("sum(octet_length(text))").first()[0]
+    held = common.input_bytes(kept)
+    assert texts // 4 <= held <= 2 * texts  # checkpoints are compressed, as files are
+    assert common.spread(kept) == (held + (1 << 14) - 1) >> 14
+    assert common.spread(kept) > 4 and common.input_bytes(docs) // 4 <= held <= 4 * common.input_bytes(docs)
+    joined = common.checkpointed(kept.join(docs.select("doc_id"), "doc_id"))
+    assert common.input_bytes(joined) <= 2 * held  # measured, not the product of two sides
