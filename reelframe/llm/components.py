@@ -26,7 +26,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has a link; root is the smallest node reachable. edges: columns a, b (long)."""
+    """(node, root) of every linked node that isn't the smallest reachable itself; root is that one. edges: columns a, b (long)."""
     edges = checkpointed(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:

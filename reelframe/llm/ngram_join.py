@@ -4,17 +4,21 @@
    occur in two documents or more; the others can't be shared. Shingles are ordered by (frequency, hash), so these come
    after the document's unique ones, and a prefix that holds unique ones alone makes the document a class of its own.
 2. Documents with equal sets collapse into one class, named by its first row.
-3. Classes meet in an equi-join on prefix shingles, under the length, positional and suffix filters, and every pair is
-   verified once: all links between classes, also inside a component (linked_classes, grouped_documents). The suffix
+3. Classes meet on prefix shingles under the length, positional and suffix filters. The suffix
    filter splits the shingles at 1023 fixed pivots: in each part where two sets' numbers of shingles differ in parity
    stands a shingle that one of them lacks, so the parts that differ bound the Hamming distance from below.
-4. Links become components by stars over distributed links. A document's links are the other rows of its class and all
-   rows of the classes that its class links with.
-
-representatives() needs the components alone, so its star rounds come first (spanning_links): each class is verified
-against one partner per round, linked classes get one label, a shingle whose classes all share a label is done, and the
-equi-join has the pairs of different labels only, without those that a round has rejected. It joins the same components
-by fewer links.
+   First come enough links for the components (spanning_links): each class is verified
+   against one partner per round, linked classes get one label, a shingle whose classes all share a label is done, and an
+   equi-join on prefix shingles has the pairs of different labels only, without those that a round has rejected.
+4. Links become components by stars over distributed links.
+5. All links lie within components, so each component's classes are dealt into blocks and meet block by block: a tile (i, j) joins
+   two blocks on their prefix shingles, under the same filters, and verifies every pair that is left once (tiled). Tiles answer
+   with numbers of links per class, so a group of near copies makes no row per pair (grouped_documents); linked_classes has
+   the pairs themselves. A document's links are the other rows of its class and all rows of the classes that its class links with.
+
+A tile's blocks have about BLOCK_SETS classes and BLOCK_SHINGLES shingles each (one set alone may have more), whatever the
+component's size. A component of b blocks sends each of its classes to b tiles; for one of millions of different texts that
+is the larger part of the exchange. representatives() needs the components alone and stops at step 4.
 
 Sets are compared by 64-bit shingle hashes, not by their words: two different shingles of one pair of sets share a hash
 with a chance of |a| * |b| / 2**64.
@@ -28,13 +32,14 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelframe.llm.common import checkpointed, gather, only, pieces, spread, with_text
+from reelframe.llm.common import checkpointed, gather, only, pieces, release, spread, with_text
 from reelframe.llm.components import components
 from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, from_planes, homed, planes, unpack
 from reelframe.llm.textstats import Words, mix, salted, windows
@@ -44,6 +49,9 @@ PERCENT = 80
 #: Shingles of a chunk; a task with more begins another chunk.
 CHUNK = 2_000_000
 ROUNDS = 2
+#: Classes and shingles of a block of a component.
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1 << 20
 #: 64-bit words of the parity bits of a set.
 _WORDS = 16
 #: Prefix shingles that a prefix row carries along from before its own, so that a pair isn't found at each of them again.
@@ -202,7 +210,7 @@ def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, checkpointed(placed.select(*CARRIED, (F.col("first") + F.col("place")).alias("place"), "token", before))
 
 
-def _exact(open_: DataFrame, sets: DataFrame, percent: int, tried: DataFrame | None = None) -> DataFrame:
+def _exact(open_: DataFrame, sets: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
     """Every link (a, b), a < b, of classes with different labels that meet in rows of _open() and aren't in tried."""
     left, right = (open_.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("label", "place", "before", *CARRIED))) for s in "ab")
     # From the first common prefix shingle on, both sets have to hold what a link needs: the positional filter.
@@ -217,15 +225,137 @@ def _exact(open_: DataFrame, sets: DataFrame, percent: int, tried: DataFrame | N
     return checkpointed(_verified(pairs, sets, percent).filter("linked").select("a", "b"))
 
 
+class Tile:
+    """Classes of one block, or of two that meet, as flat arrays."""
+
+    def __init__(self, parts: list[tuple[dict[str, np.ndarray], int, int]]):
+        own = {n: np.concatenate([c[n][i:j] for c, i, j in parts]) for n in ("left", "cid", "n", "first", "prefix", "members", "sizes", "parity")}
+        self.left, self.cid, self.n, self.first, self.prefix, self.members, self.sizes, self.parity = own.values()
+        self.tokens = np.concatenate([c["tokens"][c["at"][i] : c["at"][j]] for c, i, j in parts])
+        self.within = bool(parts[0][0]["within"][parts[0][1]])
+
+    def links(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """A class and those after it (or of the other block) that it links with; both are places in the tile."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        known, codes = np.unique(self.tokens, return_inverse=True)
+        at = gather(starts, self.prefix)
+        owner = np.repeat(np.arange(len(self.n)), self.prefix)
+        place = self.first[owner] + at - starts[owner]
+        order = np.argsort(codes[at], kind="stable")
+        posted, owner, place = codes[at][order], owner[order], place[order]
+        begin = np.searchsorted(posted, np.arange(len(known) + 1))
+        mark = np.zeros(len(known), np.int64)
+        for a in range(len(self.n)) if self.within else np.flatnonzero(self.left):
+            own = codes[starts[a] : starts[a] + self.sizes[a]]
+            prefix = own[: self.prefix[a]]
+            size = begin[prefix + 1] - begin[prefix]
+            hit = gather(begin[prefix], size)
+            other = owner[hit]
+            apart = np.flatnonzero(other > a if self.within else ~self.left[other])
+            # A pair is met at its rarest common shingle, the first of a's prefix; the others are the same pair again.
+            b, met = np.unique(other[apart], return_index=True)
+            met = apart[met]
+            place_a, place_b = self.first[a] + np.repeat(np.arange(len(prefix)), size)[met], place[hit[met]]
+            need = -(-percent * (self.n[a] + self.n[b]) // (100 + percent))
+            possible = 100 * np.minimum(self.n[a], self.n[b]) >= percent * np.maximum(self.n[a], self.n[b])
+            possible &= np.minimum(self.n[a] - place_a, self.n[b] - place_b) >= need
+            distance = np.bitwise_count(self.parity[b] ^ self.parity[a]).sum(1, dtype=np.int64) + self.first[a] + self.first[b]
+            b = b[possible & (self.n[a] + self.n[b] - distance >= 2 * need)]
+            if not len(b):
+                continue
+            mark[own] = 1
+            common = np.add.reduceat(mark[codes[gather(starts[b], self.sizes[b])]], np.cumsum(self.sizes[b]) - self.sizes[b])
+            mark[own] = 0
+            b = b[100 * common >= percent * (self.n[a] + self.n[b] - common)]
+            if len(b):
+                yield int(a), b
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
+    """Tiles of rows that are sorted by root, i, j."""
+    held: list[tuple[dict[str, np.ndarray], int, int]] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("root", "i", "j", "left", "cid", "n", "first", "prefix", "members")}
+        own["left"] = own["left"].astype(bool)
+        own["tokens"] = batch.column("shared").flatten().to_numpy()
+        own["sizes"] = batch.column("shared").value_lengths().to_numpy().astype(np.int64)
+        own["at"] = np.append(0, np.cumsum(own["sizes"]))
+        own["parity"] = batch.column("parity").flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
+        own["within"] = own["i"] == own["j"]
+        keys = np.stack([own["root"], own["i"], own["j"]], 1)
+        bounds = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for i, j in pairwise(bounds):
+            key = tuple(keys[i].tolist())
+            if held and key != last:
+                yield Tile(held)
+                held = []
+            held.append((own, i, j))
+            last = key
+    if held:
+        yield Tile(held)
+    release()
+
+
+def _tile_counts(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each class of a tile, the rows of the classes that it links with there."""
+        for tile in _tiles(batches):
+            beside = np.zeros(len(tile.n), np.int64)
+            for a, b in tile.links(percent):
+                beside[a] += tile.members[b].sum()
+                beside[b] += tile.members[a]
+            some = np.flatnonzero(beside)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(tile.cid[some]), pa.array(beside[some])], ["cid", "beside"])
+
+    return rows
+
+
+def _tile_pairs(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches):
+            for a, b in tile.links(percent):
+                one, two = np.minimum(tile.cid[a], tile.cid[b]), np.maximum(tile.cid[a], tile.cid[b])
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["a", "b"])
+
+    return rows
+
+
+def _dealt(sets: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """A row per class and tile that it has a part in: the tile (root, i, j), whether it stands in block i, and the class."""
+    named = roots.select(F.col("node").alias("cid"), "root").unionAll(roots.select(F.col("root").alias("cid"), "root").distinct())
+    weights = sets.select("cid", F.size("shared").alias("size")).join(named, "cid").groupBy("root").agg(F.count(F.lit(1)).alias("classes"), F.sum("size").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = named.join(weights.select("root", blocks.alias("blocks")), "root").join(members, "cid").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keys = met.select("cid", "members", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"))
+    held = sets.select("cid", "n", "first", F.size("prefix").cast("long").alias("prefix"), "shared", F.array(*(f"w{k}" for k in range(_WORDS))).alias("parity"))
+    return keys.join(held, "cid")
+
+
+def tiled(sets: DataFrame, members: DataFrame, roots: DataFrame, answer, schema: str) -> DataFrame:
+    """What answer makes of the tiles of all components; sets: the classes of _classes(), members: cid and its number of rows."""
+    parts = spread(sets)
+    dealt = _dealt(sets, members, roots).repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return checkpointed(dealt.mapInArrow(answer, schema))
+
+
 def linked_classes(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every verified pair (a, b), a < b, of classes that link; documents: the rows of shingled()."""
     sets, prefixes = _classes(documents)
-    return _exact(_open(prefixes, sets.select("cid", F.col("cid").alias("label"))), sets, percent)
+    roots = components(_spanning(sets, prefixes, percent))
+    return tiled(sets, _members(documents).select("cid", "members"), roots, _tile_pairs(percent), "a long, b long")
 
 
 def spanning_links(documents: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Links (a, b) of classes, enough for the same components as all links have."""
-    sets, prefixes = _classes(documents)
+    return _spanning(*_classes(documents), percent, rounds)
+
+
+def _spanning(sets: DataFrame, prefixes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     size = sets.count()
     found: DataFrame | None = None
     tried: DataFrame | None = None
@@ -275,18 +405,17 @@ def _members(sets: DataFrame) -> DataFrame:
 
 def grouped_documents(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """A row per input row: row, doc_id, n_shingles, component_id, group (a row number that names the component), n_links."""
-    sets = shingled(documents, size, percent)
-    edges = linked_classes(sets, percent)
-    classes = checkpointed(_members(sets))
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beside = both.join(classes.select(F.col("cid").alias("b"), "members"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("members").alias("beside"))
+    shingled_ = shingled(documents, size, percent)
+    sets, prefixes = _classes(shingled_)
+    roots = components(_spanning(sets, prefixes, percent))
+    classes = checkpointed(_members(shingled_))
+    beside = tiled(sets, classes.select("cid", "members"), roots, _tile_counts(percent), "cid long, beside long").groupBy("cid").agg(F.sum("beside").alias("beside"))
     counted = classes.join(beside, "cid", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("beside", F.lit(0)))
-    return _grouped(sets, counted, edges)
+    return _grouped(shingled_, counted, roots)
 
 
-def _grouped(sets: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+def _grouped(sets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of grouped_documents(); n_links is what classes has."""
-    roots = components(edges)
     rooted = checkpointed(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = rooted.select("high", "low", "root", "n_links").join(least, "root").select("high", "low", "component_id", F.col("root").alias("group"), "n_links")
@@ -299,6 +428,6 @@ def _grouped(sets: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame
 def representatives(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each component the document with the smallest doc_id (the first row of it), with all its columns."""
     sets = shingled(documents, size, percent)
-    found = _grouped(sets, _members(sets).withColumn("n_links", F.lit(None).cast("long")), spanning_links(sets, percent))
+    found = _grouped(sets, _members(sets).withColumn("n_links", F.lit(None).cast("long")), components(spanning_links(sets, percent)))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     return only(documents, found.groupBy("group").agg(F.min_by("row", order).alias("row")))
