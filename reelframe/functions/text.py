@@ -111,6 +111,13 @@ def clock_to_ms(text: Column, pattern: str) -> Column:
     return F.when(valid, ((number(part(1)) * 60 + number(part(2))) * 60 + number(part(3))) * 1000 + number(F.rpad(part(4), 3, "0")))
 
 
+def timecode(frames: Column, rate: int) -> Column:
+    """A count of frames as `HH:MM:SS:FF`; parts have two digits at least, and hours go on beyond 99."""
+    part = lambda by: ((frames - frames % by) / by).cast("long")
+    two = lambda x: F.lpad(x.cast("string"), F.greatest(F.lit(2), F.length(x.cast("string"))), F.lit("0"))
+    return F.concat_ws(":", *(two(x) for x in (part(3600 * rate), part(60 * rate) % 60, part(rate) % 60, frames % rate)))
+
+
 #: Time formats of subtitle files.
 SRT_TIME = r"^\s*(\d+):(\d{1,2}):(\d{1,2})[,.](\d{1,3})\s*$"
 VTT_TIME = r"^\s*(?:(\d{2,}):)?(\d{2}):(\d{2})\.(\d{3})\s*$"

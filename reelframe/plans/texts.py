@@ -127,9 +127,7 @@ def q_pts_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame counts as timecodes of 25 frames."""
-    n = F.col("l_partkey") * 37
-    part = lambda by, size: ((n - n % by) / by).cast("long") % size
-    code = F.concat_ws(":", *(F.lpad(x.cast("string"), 2, "0") for x in (part(90_000, 100), part(1500, 60), part(25, 60), n % 25)))
+    code = f.timecode(F.col("l_partkey") * 37, 25)
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", code.alias("timecode"))
 
 

@@ -119,3 +119,10 @@ def test_subtitles_and_unknown_files(spark, tmp_path):
     got = {r.file[-5:]: (r.format, r.fields) for r in media.read_files(spark, str(tmp_path)).filter("kind = 'Text' OR format IS NULL").collect()}
     assert got["a.srt"][1]["ElementCount"] == "1" and got["b.vtt"][1]["Duration"] == "2000" and got["c.ass"][1]["Delay"] == "1500" and got["e.idx"][1]["Language"] == "en"
     assert got["d.bin"] == (None, {"FileSize": "3", "StreamSize": "3"})
+
+
+def test_timecodes_of_more_than_99_hours(spark):
+    frame = spark.createDataFrame([(90_000 * 100 + 26,), (90_000 * 1234,), (24,)], "n long")
+    from reelframe.functions.text import timecode
+
+    assert [r[0] for r in frame.select(timecode(F.col("n"), 25)).collect()] == ["100:00:01:01", "1234:00:00:00", "00:00:00:24"]
