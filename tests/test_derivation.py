@@ -41,3 +41,34 @@ def test_files_get_what_their_streams_tell(spark):
     assert got["f", "Audio", 1]["StreamKindPos"] == "2" and "StreamKindPos" not in video and "Duration" not in got["g", "General", 0]
     assert got["h", "General", 0]["Encoded_Library_Name"] == "x" and got["h", "General", 0]["Encoded_Library_Version"] == "1"
     assert op.derived(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_derived_queries_build_no_maps(spark):
+    from reelframe.plans import derivation
+
+    for name in ("q_derive_audio", "q_derive_video", "q_derive_words", "q_derive_names", "q_derive_bit_rate_lists"):
+        plan = derivation.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "map_from_entries" not in plan and "map_concat" not in plan and "ArrowEval" not in plan, name
+
+
+def test_layouts_agree(spark):
+    r = random.Random(5)
+    pools = {
+        "Format": ["AVC", "FLAC", "MPEG Video", ""], "CodecID": ["55", "x"], "Format_Version": ["Version 2", "2"], "UniqueID": ["255", "z"], "Width": ["640", "0", "x"], "Height": ["480", "0"], "FrameRate": ["25.000", "-1"], "Duration": ["9000.4", "0", "x", "61234"],
+        "FrameCount": ["250"], "StreamSize": ["600000", "123456789", ""], "BitRate": ["128000", "99960000 / x / 12"], "SamplingRate": ["48000", "8000"], "SamplesPerFrame": ["1024", "0"], "Delay": ["0", "-40"], "DisplayAspectRatio": ["1.778", "1.9"], "FileSize": ["7000000"],
+        "BitRate_Mode": ["CBR", "x"], "Channel(s)": ["1", "6"], "ReplayGain_Gain": ["-3.5"], "Format_Settings_GMC": ["0", "2"], "Encoded_Library": ["a - b - c", "plain"], "Encoded_Library_Name": ["own"], "Interleave_Duration": ["5"], "ScanOrder": ["TFF"], "BitDepth": ["8"],
+    }
+    rows = [(str(k), r.choice(["Video", "Audio", "General", "Image"]), 0, {n: r.choice(v) for n, v in pools.items() if r.random() < 0.7}) for k in range(60)]
+    maps = spark.createDataFrame(rows, SCHEMA).withColumn("file_size", F.lit(650000).cast("long"))
+    whole = {x.file: {k: v for k, v in x.fields.items() if v} for x in op.with_values(op.with_names(maps)).collect()}
+    wanted = sorted({n for x in whole.values() for n in x})
+    wide = maps.select("file", "kind", "idx", "file_size", *(F.element_at("fields", F.lit(n)).alias(op.COLUMN + n) for n in pools))
+    got = op.value_columns(op.name_columns(wide), wanted)
+    mine = {x["file"]: {n: x[op.COLUMN + n] for n in wanted if x[op.COLUMN + n]} for x in got.collect()}
+    assert mine == whole and len(wanted) > 60
+
+
+def test_bit_rates_whose_rounding_adds_a_digit(spark):
+    frame = spark.createDataFrame([("99960000 / 999600000 / 12000000000",)], "t string")
+    row = frame.select(op.bit_rate_text(F.col("t")).alias("a"), op.bit_rate_text(F.col("t"), settled=False, units=2).alias("b")).first()
+    assert row.a == "100 Mb/s / 1 000 Mb/s / 12.0 Gb/s" and row.b == "100.0 Mb/s / 1000 Mb/s / 12 000 Mb/s"
