@@ -332,8 +332,9 @@ def _sizes(n: Column, v: Column, texts: Column, look: Look) -> list[tuple[str, C
 
 
 def _coded(n: Column, t: Column, _: Column, look: Look) -> list[tuple[str, Column]]:
-    table = F.create_map(*(F.lit(x) for n, words in WORDS.items() for code, word in words.items() for x in (f"{n}={code}", word)))
-    return [("/String", F.coalesce(F.element_at(table, F.concat(n, F.lit("="), t)), t))]
+    """Words of codes; conditions on a name that is fixed are gone from the plan."""
+    word = lambda words: reduce(lambda out, x: F.when(t == x[0], x[1]).otherwise(out), words.items(), t)
+    return [("/String", reduce(lambda out, x: F.when(n == x[0], word(x[1])).otherwise(out), WORDS.items(), t))]
 
 
 #: Readable twins, in the order in which they fill fields.
