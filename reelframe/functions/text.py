@@ -62,14 +62,16 @@ def clean_text(text: Column) -> Column:
 
 def xml_escape(text: Column) -> Column:
     pairs = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
-    return F.regexp_replace(reduce(lambda out, p: F.replace(out, F.lit(p[0]), F.lit(p[1])), pairs, text), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    escaped = F.regexp_replace(reduce(lambda out, p: F.replace(out, F.lit(p[0]), F.lit(p[1])), pairs, text), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return F.when(text.rlike(r'[&<>"\x00-\x1F]'), escaped).otherwise(text)
 
 
 def json_escape(text: Column) -> Column:
     """A JSON string with quotes; characters beyond ASCII stay."""
-    pairs = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-    pairs += [(chr(k), f"\\u{k:04x}") for k in range(32) if k not in (9, 10, 13)]
-    return F.concat(F.lit('"'), reduce(lambda out, p: F.replace(out, F.lit(p[0]), F.lit(p[1])), pairs, text), F.lit('"'))
+    replaced = lambda out, pairs: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, out)
+    controls = [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), *((chr(k), f"\\u{k:04x}") for k in range(32) if k not in (9, 10, 13))]
+    plain = replaced(text, [("\\", "\\\\"), ('"', '\\"')])
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1F]"), replaced(plain, controls)).otherwise(plain), F.lit('"'))
 
 
 def export_name(name: Column) -> Column:

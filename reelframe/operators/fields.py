@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelframe.functions.text import export_name, json_escape, xml_escape
@@ -40,7 +41,7 @@ def count_get(rows: DataFrame, keys: list[str], schema_size: int) -> DataFrame:
 
 def ordered(line: Column, *order: str) -> Column:
     """Lines joined in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("__line")))), lambda x: x["__line"]), "")
+    return F.array_join(F.sort_array(F.collect_list(F.struct(*order, line.alias("__line")))).getField("__line"), "")
 
 
 def text_line(label: Column, text: Column) -> Column:
@@ -49,38 +50,45 @@ def text_line(label: Column, text: Column) -> Column:
     return F.concat(padded, F.lit(": "), text, F.lit("\n"))
 
 
-def _headed(rows: DataFrame, file: str) -> DataFrame:
-    """Each stream's number in its kind and the kind's count."""
-    streams = rows.groupBy(file, "kind_id", "kind", "idx").agg(F.lit(1).alias("one")).drop("one")
-    own = streams.groupBy(file, "kind_id").agg(F.array_sort(F.collect_list("idx")).alias("own"))
-    return rows.join(own, [file, "kind_id"]).withColumns({"place": F.array_position("own", F.col("idx")), "among": F.size("own")}).drop("own")
+def _bodies(rows: DataFrame, file: str, line: Callable[[Column, Column], Column], fields: list[str] | None) -> DataFrame:
+    """A row per stream that has a field: body (its lines), place (its number in its kind), among (the kind's count).
 
-
-def text_report(rows: DataFrame, file: str = "file") -> DataFrame:
-    """A text report per file: kinds in order, a heading per stream, a line per field, a blank line after each stream."""
+    rows: a row per field; with fields, a row per stream with a column for each of these, which needs no grouping.
+    """
+    keys = [file, "kind_id", "kind", "idx"]
+    if fields is None:
+        streams = rows.groupBy(*keys).agg(ordered(line(F.col("name"), F.col("text")), "pos").alias("body"))
+    else:
+        texts = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in fields}
+        streams = rows.select(*keys, F.concat(*(F.when(t != "", line(F.lit(n), t)).otherwise("") for n, t in texts.items())).alias("body")).filter("body <> ''")
+    own = Window.partitionBy(file, "kind_id")
+    return streams.withColumns({"place": F.row_number().over(own.orderBy("idx")), "among": F.count(F.lit(1)).over(own)})
+
+
+def text_report(rows: DataFrame, file: str = "file", fields: list[str] | None = None) -> DataFrame:
+    """A text report per file: kinds in order, a heading per stream, a line per field, a blank line after each stream. rows, fields: see `_bodies`."""
     head = F.when(F.col("among") > 1, F.concat("kind", F.lit(" #"), F.col("place").cast("string"), F.lit("\n"))).otherwise(F.concat("kind", F.lit("\n")))
-    streams = _headed(rows, file).groupBy(file, "kind_id", "idx", head.alias("head")).agg(ordered(text_line(F.col("name"), F.col("text")), "pos").alias("body"))
-    return streams.groupBy(file).agg(ordered(F.concat("head", "body", F.lit("\n")), "kind_id", "idx").alias("report"))
+    return _bodies(rows, file, text_line, fields).groupBy(file).agg(ordered(F.concat(head, "body", F.lit("\n")), "kind_id", "idx").alias("report"))
 
 
-def xml_report(rows: DataFrame, file: str = "file", old: bool = False) -> DataFrame:
+def xml_report(rows: DataFrame, file: str = "file", old: bool = False, fields: list[str] | None = None) -> DataFrame:
     """Tracks of a file with an element per field; old has streamid for the number and no double underscores."""
     attribute = "streamid" if old else "typeorder"
     head = F.concat(F.lit('<track type="'), "kind", F.when(F.col("among") > 1, F.concat(F.lit(f'" {attribute}="'), F.col("place").cast("string"))).otherwise(""), F.lit('">\n'))
-    name = export_name(F.col("name"))
-    name = F.replace(name, F.lit("__"), F.lit("_")) if old else name
-    line = F.concat(F.lit("<"), name, F.lit(">"), xml_escape(F.col("text")), F.lit("</"), name, F.lit(">\n"))
-    streams = _headed(rows, file).groupBy(file, "kind_id", "idx", head.alias("head")).agg(ordered(line, "pos").alias("body"))
-    return streams.groupBy(file).agg(ordered(F.concat("head", "body", F.lit("</track>\n")), "kind_id", "idx").alias("report"))
+
+    def line(name: Column, text: Column) -> Column:
+        own = F.replace(export_name(name), F.lit("__"), F.lit("_")) if old else export_name(name)
+        return F.concat(F.lit("<"), own, F.lit(">"), xml_escape(text), F.lit("</"), own, F.lit(">\n"))
+
+    return _bodies(rows, file, line, fields).groupBy(file).agg(ordered(F.concat(head, "body", F.lit("</track>\n")), "kind_id", "idx").alias("report"))
 
 
-def json_report(rows: DataFrame, file: str = "file") -> DataFrame:
+def json_report(rows: DataFrame, file: str = "file", fields: list[str] | None = None) -> DataFrame:
     """Tracks of a file as JSON objects, all values strings."""
     head = F.concat(F.lit('{\n"@type": "'), "kind", F.lit('"'), F.when(F.col("among") > 1, F.concat(F.lit(',\n"@typeorder": "'), F.col("place").cast("string"), F.lit('"'))).otherwise(""))
-    line = F.concat(F.lit(",\n"), json_escape(export_name(F.col("name"))), F.lit(": "), json_escape(F.col("text")))
-    streams = _headed(rows, file).groupBy(file, "kind_id", "idx", head.alias("head")).agg(ordered(line, "pos").alias("body"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind_id", "idx", F.concat("head", "body", F.lit("\n}")).alias("x")))), lambda s: s["x"]), ",\n")
-    return streams.groupBy(file).agg(joined.alias("report"))
+    line = lambda name, text: F.concat(F.lit(",\n"), json_escape(export_name(name)), F.lit(": "), json_escape(text))
+    tracks = F.sort_array(F.collect_list(F.struct("kind_id", "idx", F.concat(head, "body", F.lit("\n}")).alias("x")))).getField("x")
+    return _bodies(rows, file, line, fields).groupBy(file).agg(F.array_join(tracks, ",\n").alias("report"))
 
 
 def template(text: str, fields: dict[str, Column]) -> Column:

@@ -14,9 +14,13 @@ _ROWS = "r AS (SELECT file, idx, kind, u.* FROM t, LATERAL (VALUES (0, 'format',
 _KIND_ID = "CASE kind WHEN 'Video' THEN 1 WHEN 'Audio' THEN 2 ELSE 3 END"
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("kind") == "Video", 1).when(F.col("kind") == "Audio", 2).otherwise(3)
-    return op.to_rows(streams_of(spark, sf_dir).withColumn("kind_id", kind), ["file", "kind_id", "kind", "idx"], _FIELDS)
+    return streams_of(spark, sf_dir).withColumn("kind_id", kind)
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.to_rows(_streams(spark, sf_dir), ["file", "kind_id", "kind", "idx"], _FIELDS)
 
 
 def q_eav_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def q_count_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.text_report(_rows(spark, sf_dir))
+    return op.text_report(_streams(spark, sf_dir), fields=_FIELDS)
 
 
 _HEADED = f"WITH {_STREAMS}, {_ROWS}, h AS (SELECT *, {_KIND_ID} AS k, dense_rank() OVER (PARTITION BY file, kind ORDER BY idx) AS p FROM r), c AS (SELECT *, max(p) OVER (PARTITION BY file, kind) AS among FROM h)"
@@ -51,15 +55,15 @@ def _report(line: str, head: str, tail: str, outer: str = "''") -> str:
 
 
 def q_xml_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.xml_report(_rows(spark, sf_dir))
+    return op.xml_report(_streams(spark, sf_dir), fields=_FIELDS)
 
 
 def q_oldxml_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.xml_report(_rows(spark, sf_dir), old=True)
+    return op.xml_report(_streams(spark, sf_dir), old=True, fields=_FIELDS)
 
 
 def q_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.json_report(_rows(spark, sf_dir))
+    return op.json_report(_streams(spark, sf_dir), fields=_FIELDS)
 
 
 def q_template(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,15 @@ def test_timecodes_of_more_than_99_hours(spark):
     from reelframe.functions.text import timecode
 
     assert [r[0] for r in frame.select(timecode(F.col("n"), 25)).collect()] == ["100:00:01:01", "1234:00:00:00", "00:00:00:24"]
+
+
+def test_reports_of_columns_and_rows_agree_without_a_join(spark):
+    rows = [("f", 1, "Video", 1, "a<b", '"q"\x01'), ("f", 1, "Video", 3, "", None), ("f", 1, "Video", 4, "c&", ""), ("f", 2, "Audio", 2, None, "\tt\\"), ("g", 3, "Text", 1, "", "")]
+    wide = spark.createDataFrame(rows, "file string, kind_id int, kind string, idx int, a string, b string")
+    long = fields.to_rows(wide, ["file", "kind_id", "kind", "idx"], ["a", "b"])
+    for report in (fields.text_report, fields.xml_report, fields.json_report, lambda *x, **y: fields.xml_report(*x, old=True, **y)):
+        mine, other = report(wide, fields=["a", "b"]), report(long)
+        assert mine.collect() == other.collect() and len(mine.collect()) == 1
+        assert "Join" not in mine._jdf.queryExecution().executedPlan().toString()
+    assert fields.text_report(wide, fields=["a"]).first()[1] == "Video #1\n" + "a".ljust(41) + ": a<b\n\nVideo #2\n" + "a".ljust(41) + ": c&\n\n"
+    assert "&lt;" in fields.xml_report(long).first()[1] and "\x01" not in fields.xml_report(long).first()[1] and "\\u0001" in fields.json_report(long).first()[1]
