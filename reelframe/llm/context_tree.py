@@ -11,9 +11,10 @@ packed, to the task of their group, which sums them over all chunks, builds that
 by its log10 probability. A group is all that ends in one context; a context that more than 1 / SHARES of all bytes
 follow (and more than LEAST) is divided, its longer contexts make groups of their own. So no group has much more than
 1 / SHARES of the corpus, however frequent a letter or a passage is. The divided contexts, at most SHARES per depth, are
-collected and broadcast with their exact counts; the weight of a divided context takes its children's own
-estimates in place of their mixtures, because these are known only after the exchange. An answer is a half-precision
-number, which moves a score by some 1e-4 of itself at most.
+collected and broadcast with their exact counts and weights: the packed counts are kept where they have met, each
+group tells the counts and the mixtures of its shortest context, and from their sums the driver goes on to the
+divided contexts, the longest first. So the same scores come out whether and wherever contexts are divided. An answer
+is a half-precision number, which moves a score by some 1e-4 of itself at most.
 
 The base score comes from counts of words over all training texts, summed in the same exchange by hash, so the
 vocabulary is never held in one place.
@@ -25,6 +26,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelframe.llm.common import checkpointed, flat_bytes, fold, gather, pieces, spread, with_text
-from reelframe.llm.exchange import ROW, Answer, answered, batch_of, bucket_rows, buckets_for, chunk_name, from_planes, homed, unpack
+from reelframe.llm.exchange import ROW, Answer, batch_of, bucket_of, buckets_for, chunk_name, grouped, homed, meeting, told, unpack
 from reelframe.llm.textstats import Words, mix
 
 #: Bytes of the longest context.
@@ -44,7 +46,7 @@ SHARES, LEAST = 4096, 1 << 16
 CHUNK_BYTES, PART_BYTES = 12 << 20, 4 << 20
 #: Buckets of contexts for each bucket of words.
 CONTEXT_BUCKETS = 4
-_HALF = 0.5723649429247001  # log of gamma(0.5)
+_HALF = math.lgamma(0.5)
 
 
 def keys_of(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +94,12 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     for _ in range(7):
         shift += np.log(y)
         y = y + 1
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) - shift
 
 
 _SMALL = 1 << 12
-_AT_HALVES, _AT_WHOLES = _log_gamma(np.arange(_SMALL) + 0.5), _log_gamma(np.arange(_SMALL) + 1.0)
+#: Exact, so that the block of no symbols is 0 and contexts that only held-out texts have add nothing.
+_AT_HALVES, _AT_WHOLES = (np.array([math.lgamma(k + x) for k in range(_SMALL)]) for x in (0.5, 1.0))
 
 
 def _block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -135,8 +138,11 @@ class Divided:
 
     def __init__(self, depth: np.ndarray, values: np.ndarray):
         self.contexts = [np.sort(values[depth == d]).astype(np.uint64) for d in range(DEPTH)]
-        self.weights = [np.full((len(c), 256), 0.5, np.float32) for c in self.contexts]
-        self.chances = [np.full((len(c), 256), 0.5, np.float32) for c in self.contexts]
+        self.weights = [np.full((len(c), 256), 0.5) for c in self.contexts]
+        self.chances = [np.full((len(c), 256), 0.5) for c in self.contexts]
+
+    def any(self) -> bool:
+        return any(map(len, self.contexts))
 
     def places(self, keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Where the context of each key stands among the divided ones of a depth, and whether it does."""
@@ -171,21 +177,25 @@ class Divided:
         own = ((mix(ending[first] + np.uint64(1)) >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)).astype(np.int64)
         return np.repeat(own, np.diff(np.append(first, len(keys))))
 
-    def learn(self, depth: np.ndarray, values: np.ndarray, place: np.ndarray, amount: np.ndarray) -> None:
-        """place under 256: how often that symbol follows; 256 and over: log of the children's estimates at a node."""
+    def learn(self, at: np.ndarray, amount: np.ndarray) -> None:
+        """What the undivided children of each divided context told, in sum (places as _told() gives them)."""
+        depth, place, ending = at & 7, at >> 3 & 511, (at >> 12).astype(np.uint64)
+        sums = [np.zeros((len(own), 512)) for own in self.contexts]
         for d, own in enumerate(self.contexts):
             rows = np.flatnonzero(depth == d)
-            if not len(own) or not len(rows):
-                continue
-            table = np.zeros((len(own), 512))
-            table[np.searchsorted(own, values[rows].astype(np.uint64)), place[rows]] = amount[rows]
+            sums[d][np.searchsorted(own, ending[rows]), place[rows]] = amount[rows]
+        for d in range(DEPTH - 1, -1, -1):
+            own, table = self.contexts[d], sums[d]
             heap = np.concatenate([np.zeros((len(own), 256)), table[:, :256]], axis=1)
             for j in range(255, 0, -1):
                 heap[:, j] = heap[:, 2 * j] + heap[:, 2 * j + 1]
             zeros, ones = heap[:, 0::2], heap[:, 1::2]
             block = _block(zeros.ravel(), ones.ravel()).reshape(zeros.shape)
-            self.weights[d] = np.exp(block - np.logaddexp(block, table[:, 256:])).astype(np.float32)
-            self.chances[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
+            both = np.logaddexp(block, table[:, 256:])
+            self.weights[d] = np.exp(block - both)
+            self.chances[d] = (ones + 0.5) / (zeros + ones + 1)
+            if d:
+                np.add.at(sums[d - 1], np.searchsorted(self.contexts[d - 1], own >> np.uint64(8)), np.concatenate([table[:, :256], both - np.log(2)], axis=1))
 
     def log_chances(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Log10 probability of each key's symbol after its context; keys: whole groups, rising, with their training counts."""
@@ -199,21 +209,50 @@ class Divided:
                 node = (1 << bit) | (own & np.uint64(255)).astype(np.int64) >> 8 - bit
                 one = (own >> np.uint64(7 - bit) & np.uint64(1)).astype(bool)
                 for d, at in above:
-                    weight, ones = self.weights[d][at, node].astype(float), self.chances[d][at, node].astype(float)
+                    weight, ones = self.weights[d][at, node], self.chances[d][at, node]
                     chance = weight * np.where(one, ones, 1 - ones) + (1 - weight) * chance
                 total += np.log10(chance)
             out[rows] = total
         return out
 
 
-def _mixed(keys: np.ndarray, counts: np.ndarray, top: int) -> Iterator[np.ndarray]:
-    """For each bit, the probability of the keys' own bit from the weighted contexts of depth top to DEPTH."""
+def _levels(keys: np.ndarray, counts: np.ndarray, top: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """Pairs and counts at the depths from DEPTH up to top, and the place of each pair in the level after its own."""
     levels, up = [(keys, counts)], []
     for _ in range(DEPTH - top):
         pairs, own = levels[-1]
         shorter, place = np.unique(_shorter(pairs), return_inverse=True)
         up.append(place)
         levels.append((shorter, np.bincount(place, weights=own, minlength=len(shorter)).astype(np.int64)))
+    return levels, up
+
+
+def _told(keys: np.ndarray, counts: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """What groups of depth top tell the divided contexts that they are children of: places and amounts.
+
+    A place is ending * 4096 + number * 8 + depth of such a context. number under 256: how often that symbol follows;
+    256 and over: log of the mixture of a child at a node.
+    """
+    levels, up = _levels(keys, counts, top)
+    pairs, own = levels[-1]
+    places, amounts = [pairs >> np.uint64(16) << np.uint64(9) | pairs & np.uint64(255)], [own.astype(float)]
+    for bit in range(8):
+        first, _, zeros, ones, _ = _nodes(*levels[0], bit)
+        below = _block(zeros, ones)
+        for (pairs, own), to in zip(levels[1:], up, strict=True):
+            children = to[first]
+            first, node, zeros, ones, _ = _nodes(pairs, own, bit)
+            below = np.logaddexp(_block(zeros, ones), np.bincount(node[children], weights=below, minlength=len(first))) - np.log(2)
+        node = (np.uint64(1 << bit) | (pairs[first] & np.uint64(255)) >> np.uint64(8 - bit)) + np.uint64(256)
+        places.append(pairs[first] >> np.uint64(16) << np.uint64(9) | node)
+        amounts.append(below)
+    place, inverse = np.unique(np.concatenate(places), return_inverse=True)
+    return (place << np.uint64(3) | np.uint64(top - 1)).astype(np.int64), np.bincount(inverse, weights=np.concatenate(amounts), minlength=len(place))
+
+
+def _mixed(keys: np.ndarray, counts: np.ndarray, top: int) -> Iterator[np.ndarray]:
+    """For each bit, the probability of the keys' own bit from the weighted contexts of depth top to DEPTH."""
+    levels, up = _levels(keys, counts, top)
     for bit in range(8):
         first, _, zeros, ones, chance = _nodes(*levels[0], bit)
         below, place = _block(zeros, ones), np.arange(len(keys))
@@ -246,61 +285,55 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), d)), pa.array((context(keys[first[kept]], d)).astype(np.int64)), pa.array(size[kept].astype(np.int64))], ["depth", "ending", "n"])
 
 
-def _children(divided):
+def frequent(rows: DataFrame) -> Divided:
+    """rows: text and learned. The contexts that are divided, at most SHARES * DEPTH, with no weights yet."""
+    total = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0))).first()[0]
+    least = max(LEAST, total // SHARES)
+    empty = np.empty(0, np.int64)
+    if total <= least:
+        return Divided(empty, empty)
+    hot = rows.mapInArrow(_frequent, "depth long, ending long, n long").groupBy("depth", "ending").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()
+    return Divided(hot.column("depth").to_numpy(), hot.column("ending").to_numpy())
+
+
+def _summed(own: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rising distinct keys of all chunks, the place of each chunk's keys among them, and the sums of their counts."""
+    distinct, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    return distinct, inverse, np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+
+
+def _tell(divided, buckets: int):
+    """From rows that have met: what the groups tell the divided contexts."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, limit=PART_BYTES):
-            keys, n = counted(*_keys(batch))
-            keys, n = keys[n > 0], n[n > 0]
-            for d in range(DEPTH - 1, -1, -1):
-                if d < DEPTH - 1:
-                    keys, place = np.unique(_shorter(keys), return_inverse=True)
-                    n = np.bincount(place, weights=n, minlength=len(keys)).astype(np.int64)
-                own, wanted = divided.value.contexts[d], keys >> np.uint64(16)
-                rows = gather(first := np.searchsorted(wanted, own), np.searchsorted(wanted, own, "right") - first)
-                pairs, number = keys[rows], n[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), d)), pa.array((pairs >> np.uint64(8)).astype(np.int64)), pa.array((pairs & np.uint64(255)).astype(np.int32)), pa.array(number)], ["depth", "child", "symbol", "n"])
+        for bucket, own in grouped(batches, "bucket"):
+            if bucket < buckets:
+                continue
+            counts = [_grown(r["b"], np.uint32) for r in own]
+            keys, _, total = _summed([_grown(r["a"], np.uint64)[n > 0] for r, n in zip(own, counts, strict=True)], np.concatenate([n[n > 0] for n in counts]))
+            home = divided.value.home(keys)
+            for top in np.unique(home[home > 0]).tolist():
+                at, amount = _told(keys[home == top], total[home == top], top)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(amount)], ["at", "amount"])
 
     return rows
 
 
-def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From whole children, the symbols' counts and the logs of the children's estimates at the nodes of the divided contexts."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    depth, child, symbol, n = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("depth", "child", "symbol", "n"))
-    for d in np.unique(depth):
-        rows = np.flatnonzero(depth == d)
-        pairs = child[rows].astype(np.uint64) << np.uint64(8) | symbol[rows].astype(np.uint64)
-        order = np.argsort(pairs)
-        pairs, counts = pairs[order], n[rows][order]
-        found = [(_shorter(pairs), counts.astype(float))]
-        for bit in range(8):
-            first, _, zeros, ones, _ = _nodes(pairs, counts, bit)
-            node = (np.uint64(1 << bit) | (pairs[first] & np.uint64(255)) >> np.uint64(8 - bit)) + np.uint64(256)
-            found.append((pairs[first] >> np.uint64(16) << np.uint64(9) | node, _block(zeros, ones)))
-        found[0] = (found[0][0] >> np.uint64(8) << np.uint64(9) | found[0][0] & np.uint64(255), found[0][1])
-        place, inverse = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
-        amount = np.bincount(inverse, weights=np.concatenate([a for _, a in found]), minlength=len(place))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), d)), pa.array((place >> np.uint64(9)).astype(np.int64)), pa.array((place & np.uint64(511)).astype(np.int32)), pa.array(amount)], ["depth", "ending", "place", "amount"])
+def meet(rows: DataFrame) -> tuple[Divided, DataFrame, int]:
+    """rows: doc_id, text and learned. The divided contexts with their weights, the packed rows that have met, and the buckets of words."""
+    context, parts, buckets = rows.sparkSession.sparkContext, spread(rows), buckets_for(rows)
+    divided = frequent(rows)
+    met = meeting(homed(rows.mapInArrow(_pack(context.broadcast(divided), buckets), ROW)), parts)
+    if divided.any():
+        met = checkpointed(met)
+        known = met.mapInArrow(_tell(context.broadcast(divided), buckets), "at long, amount double").groupBy("at").agg(F.sum("amount").alias("amount")).toArrow()
+        divided.learn(known.column("at").to_numpy(), known.column("amount").to_numpy())
+    return divided, met, buckets
 
 
 def fit(rows: DataFrame) -> Divided:
-    """rows: text and learned. The divided contexts and their estimates: at most SHARES * DEPTH contexts of 511 numbers."""
-    spark, parts = rows.sparkSession, spread(rows)
-    total = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0))).first()[0]
-    least = max(LEAST, total // SHARES)
-    empty = np.empty(0, np.int64)
-    if total <= least:
-        return Divided(empty, empty)
-    hot = rows.mapInArrow(_frequent, "depth long, ending long, n long").groupBy("depth", "ending").agg(F.sum("n").alias("n")).filter(F.col("n") > least).toArrow()
-    divided = Divided(hot.column("depth").to_numpy(), hot.column("ending").to_numpy())
-    sent = spark.sparkContext.broadcast(divided)
-    children = rows.filter("learned").mapInArrow(_children(sent), "depth long, child long, symbol int, n long").groupBy("depth", "child", "symbol").agg(F.sum("n").alias("n"))
-    known = children.repartition(parts, "depth", "child").mapInArrow(_estimates, "depth long, ending long, place int, amount double").groupBy("depth", "ending", "place").agg(F.sum("amount").alias("amount")).toArrow()
-    divided.learn(*(known.column(c).to_numpy() for c in ("depth", "ending", "place", "amount")))
-    sent.destroy()
-    return divided
+    """rows: doc_id, text and learned. The divided contexts and their weights."""
+    return meet(rows)[0]
 
 
 def _shrunk(values: np.ndarray) -> bytes:
@@ -332,7 +365,10 @@ def _pack(divided, buckets: int):
             known = batch.column("doc_id")
             table = np.stack([known.fill_null(0).to_numpy(), known.is_null().to_numpy(zero_copy_only=False).astype(np.int64), learned.astype(np.int64), np.diff(offsets)], axis=1)
             yield batch_of([(chunk, -1, table.astype(np.int64).tobytes(), _shrunk(flat), b"")])
-            out = bucket_rows(chunk, buckets, distinct, count)
+            out, bucket = [], bucket_of(distinct, buckets)
+            first = _starts(bucket)
+            for i, j in zip(first, np.append(first[1:], len(bucket)), strict=True):
+                out.append((chunk, int(bucket[i]), _shrunk(distinct[i:j]), _shrunk(count[i:j].astype(np.uint32)), b""))
             del hashes, place, distinct, count
             keys, n = counted(*_keys(batch))
             bucket = divided.value.buckets(keys, CONTEXT_BUCKETS * buckets)
@@ -356,11 +392,9 @@ def _answer(divided, buckets: int):
 
     def answers(rows: list[dict]) -> Iterator[Answer]:
         words = rows[0]["bucket"] < buckets
-        own = [from_planes(r["a"]) if words else _grown(r["a"], np.uint64) for r in rows]
-        counts = np.concatenate([unpack(r["b"], np.int64) if words else _grown(r["b"], np.uint32) for r in rows])
+        own = [_grown(r["a"], np.uint64) for r in rows]
         ends = np.cumsum([len(k) for k in own])
-        distinct, inverse = np.unique(np.concatenate(own), return_inverse=True)
-        total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)
+        distinct, inverse, total = _summed(own, np.concatenate([_grown(r["b"], np.uint32) for r in rows]))
         if words:
             yield _STATISTICS, rows[0]["bucket"], int((total > 0).sum()).to_bytes(8, "little"), b"", b""
         values = total if words else divided.value.log_chances(distinct, total).astype(np.float16)
@@ -417,8 +451,9 @@ def _assemble(divided, buckets: int):
 def scored(documents: DataFrame, held_out_fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     rows = with_text(documents).withColumn("learned", fold(F.col("doc_id")) != held_out_fold)
-    divided, buckets = documents.sparkSession.sparkContext.broadcast(fit(rows)), buckets_for(documents)
-    counts = checkpointed(answered(homed(rows.mapInArrow(_pack(divided, buckets), ROW)), _answer(divided, buckets), _assemble(divided, buckets), COUNTED, spread(documents)))
+    found, met, buckets = meet(rows)
+    divided = documents.sparkSession.sparkContext.broadcast(found)
+    counts = checkpointed(told(met, _answer(divided, buckets), _assemble(divided, buckets), COUNTED, spread(documents)))
     trained = F.col("held_out") == F.lit(False)
     totals = counts.agg(F.coalesce(F.sum("vocabulary"), F.lit(0)), F.coalesce(F.sum(F.when(trained, F.col("words"))), F.lit(0)), F.count_if(trained)).first()
     ends = int(totals[2])

@@ -62,11 +62,21 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
     release()
 
 
+def meeting(packed: DataFrame, parts: int) -> DataFrame:
+    """The rows of each bucket side by side in one task, in rising order of buckets and chunks. packed: ROW rows and home."""
+    return packed.repartition(parts, "bucket", "home").sortWithinPartitions("bucket", "chunk").select(*NAMES)
+
+
 def answered(packed: DataFrame, answer: Callable[[list[dict]], Iterator[Answer]], assemble: Callable[[str, dict | None, list[dict]], Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
     """packed: ROW rows. answer: the rows of one bucket to answers. assemble: a chunk, its payload row, its answers.
 
     parts: tasks of each exchange.
     """
+    return told(meeting(packed, parts), answer, assemble, schema, parts)
+
+
+def told(met: DataFrame, answer: Callable[[list[dict]], Iterator[Answer]], assemble: Callable[[str, dict | None, list[dict]], Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+    """answered() from rows that have met."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in grouped(batches, "bucket"):
@@ -83,8 +93,7 @@ def answered(packed: DataFrame, answer: Callable[[list[dict]], Iterator[Answer]]
             payload = next((r for r in rows if r["bucket"] < 0), None)
             yield from assemble(chunk, payload, [r for r in rows if r["bucket"] >= 0])
 
-    met = packed.repartition(parts, "bucket", "home").sortWithinPartitions("bucket", "chunk").select(*NAMES).mapInArrow(reduce, ROW)
-    return met.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(regroup, schema)
+    return met.mapInArrow(reduce, ROW).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(regroup, schema)
 
 
 def homed(packed: DataFrame) -> DataFrame:

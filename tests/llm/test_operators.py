@@ -409,6 +409,23 @@ def test_context_tree_divided(docs, rows, monkeypatch):
     assert np.allclose([s for _, s in got], [s for _, s in sorted(expected)], rtol=1e-3)
 
 
+def test_context_tree_divided_or_not(docs, rows, monkeypatch):
+    """The same chances and scores whether and wherever contexts are divided."""
+    table = docs.select("doc_id", "text").withColumn("learned", context_tree.fold(docs.doc_id) != 1)
+    learned = np.concatenate([np.full(len(t.encode()) + 1, zlib.crc32(str("" if d is None else d).encode()) % 5 != 1) for d, t in rows])
+    keys, n = context_tree.counted(context_tree.keys_of(*context_tree.flat_bytes(pa.array([t for _, t in rows])))[0], learned)
+    whole = context_tree.fit(table)
+    assert not whole.any()
+    scores = sorted((str(r.doc_id), r.score) for r in context_tree.scored(docs).collect())
+    for least, shares in ((1, 50), (1, 400)):
+        for name, value in (("LEAST", least), ("SHARES", shares)):
+            monkeypatch.setattr(context_tree, name, value)
+        divided = context_tree.fit(table)
+        assert len(divided.contexts[2]) > 1
+        assert np.allclose(divided.log_chances(keys, n), whole.log_chances(keys, n), rtol=1e-9, atol=1e-9)
+    assert sorted((str(r.doc_id), r.score) for r in context_tree.scored(docs).collect()) == scores
+
+
 def test_context_tree_learns_beyond_letters(spark):
     """What only long contexts tell lowers the score of words that the text breaks off."""
     r = random.Random(5)
