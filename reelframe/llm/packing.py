@@ -31,17 +31,20 @@ from reelframe.llm.textstats import Words
 CAPACITY = 2048
 END_ID = 0
 GROUP = 20_000
-#: Distinct blank-separated chunks whose ids a worker keeps; beyond that it starts anew.
-KEPT_CHUNKS = 500_000
-#: Text bytes that are encoded at once: in larger pieces the same chunks come again, so fewer are looked up.
-PIECE = 4 << 20
-#: Chunks of these characters are cut into the vocabulary's words here, and only new words are encoded; all other chunks
-#: (and those that may hold a special token) go to the library whole.
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Distinct parts of chunks whose ids a worker keeps; beyond that it starts anew.
+KEPT_PARTS = 250_000
+#: Text bytes that are encoded at once: in larger pieces the same chunks come again, so fewer are split.
+PIECE = 2 << 20
+#: Chunks of ASCII and the letters of Latin-1 are cut into the vocabulary's words here, and only new words are encoded; all
+#: other chunks (and those that may hold a special token) go to the library whole. These letters are c3 and one of these bytes.
+_SECOND = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 #: The normaliser and the splitter that this holds for; texts go to the library whole with any other.
 _NORMALIZERS = [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+|\n")
+#: What bytes are in the vocabulary; blanks stay, as words are joined by them.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: c for b, c in zip([*_OWN, *(b for b in range(256) if b not in _OWN)], [*_OWN, *range(256, 512)], strict=False) if b != 32}
 
 
 def splits_at_blanks(settings: dict) -> bool:
@@ -55,7 +58,7 @@ def splits_at_blanks(settings: dict) -> bool:
 
 
 class ChunkIds:
-    """Ids of texts, encoded once per distinct chunk between blanks.
+    """Ids of texts, split once per distinct chunk between blanks of a piece, and encoded once per distinct part of a chunk.
 
     The vocabulary drops white space and never merges across it, so the ids of a text are those of its chunks in turn.
     """
@@ -64,64 +67,85 @@ class ChunkIds:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for parts, whose bytes are already the vocabulary's. Zeros between parts stand alone: 0 is a part of its own.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.zero = self.words.encode("0", add_special_tokens=False).ids
         with open(path, encoding="utf-8") as file:
-            self.chunked = splits_at_blanks(json.load(file))
+            self.chunked = splits_at_blanks(json.load(file)) and len(self.zero) == 1
         self.reset()
 
     def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        """Part 0 is the end of a chunk, without ids; part 1 is the zero."""
+        self.at = {"\n": 0, "0": 1}
+        self.ids, self.starts = np.array(self.zero, np.uint32), np.array([0, 0, len(self.zero)], np.int64)
 
-    def _library(self, many: list[str]) -> Iterator[tuple[int, ...]]:
+    def _library(self, many: list[str]) -> Iterator[list[int]]:
         for first in range(0, len(many), 8192):
-            yield from (tuple(x.ids) for x in self.tokenizer.encode_batch_fast(many[first : first + 8192], add_special_tokens=False))
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.parts) > KEPT_CHUNKS:
-            self.parts = {}
-        given = [c.decode() for c in chunks]
-        cut_up = [_PARTS.findall(c.lower()) if "<|" not in c and _PLAIN.fullmatch(c) else None for c in given]
-        new = sorted({p for parts in cut_up if parts for p in parts if p not in self.parts})
-        self.parts.update(zip(new, self._library(new), strict=True))
-        whole = self._library([c for c, parts in zip(given, cut_up, strict=True) if parts is None])
-        get = self.parts.__getitem__
-        found = [next(whole) if parts is None else get(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(get, parts))) for parts in cut_up]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        need, known = self.used + int(size.sum()), len(self.at)
-        while need > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        while known + len(found) + 1 > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * len(self.starts))
-        self.ids[self.used : need] = np.fromiter(chain.from_iterable(found), np.uint32, need - self.used)
-        self.starts[known + 1 : known + 1 + len(found)] = self.used + np.cumsum(size)
-        self.at.update(zip(chunks, range(known, known + len(found)), strict=True))
-        self.used = need
+            yield from (x.ids for x in self.tokenizer.encode_batch_fast(many[first : first + 8192], add_special_tokens=False))
+
+    def _learn(self, new: list[str]) -> None:
+        ids, size = [self.ids], []
+        for first in range(0, len(new), 1 << 14):
+            many = new[first : first + (1 << 14)]
+            joined = [" 0 ".join(many[k : k + 64]).encode().decode("latin-1").translate(_BYTES) for k in range(0, len(many), 64)]
+            found = np.fromiter(chain.from_iterable(chain(x.ids, self.zero) for x in self.words.encode_batch_fast(joined, add_special_tokens=False)), np.uint32)
+            end = np.flatnonzero(found == self.zero[0])
+            size.append(np.diff(np.append(-1, end)) - 1)
+            ids.append(np.delete(found, end))
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(size)))
+        self.ids = np.concatenate(ids)
+
+    def _plain(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks, one chunk after the other, and how many each has."""
+        size = ends - starts + 1
+        data = flat[np.minimum(gather(starts, size), len(flat) - 1)]
+        data[np.cumsum(size) - 1] = 10
+        parts = _PARTS.findall(data.tobytes().decode().lower())
+        if new := sorted(set(parts) - self.at.keys()):
+            self._learn(new)
+        part = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
+        first = self.starts[part]
+        size = self.starts[part + 1] - first
+        return self.ids[gather(first, size)], np.diff(np.append(0, np.cumsum(size)[part == 0]))
 
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         if not self.chunked:
             return [np.array(x, np.uint32) for x in self._library([x or "" for x in column.to_pylist()])]
-        if len(self.at) > KEPT_CHUNKS:
-            known = self.parts
+        if len(self.at) > KEPT_PARTS:
             self.reset()
-            self.parts = known
         words = Words(column)
-        _, first, inverse = np.unique(words.hashes(False), return_index=True, return_inverse=True)
-        data = words.flat.tobytes()
-        chunks = [data[i:j] for i, j in zip(words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]
-        self._learn([c for c in chunks if c not in self.at])
-        place = np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))[inverse]
-        starts = self.starts[place]
-        size = self.starts[place + 1] - starts
-        ids = self.ids[gather(starts, size)]
-        ends = np.append(0, np.cumsum(size))[np.append(words.first, len(words.starts))]
-        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        _, at, inverse = np.unique(words.hashes(False), return_index=True, return_inverse=True)
+        starts, ends = words.starts[at], words.ends[at]
+        plain = ~_within(_odd(words.flat), starts, ends)
+        whole = np.flatnonzero(~plain)
+        others = [np.array(x, np.uint32) for x in self._library([words.flat[i:j].tobytes().decode() for i, j in zip(starts[whole].tolist(), ends[whole].tolist(), strict=True)])]
+        ids, size = self._plain(words.flat, starts[plain], ends[plain])
+        number = np.empty(len(at), np.int64)
+        number[plain], number[whole] = size, list(map(len, others))
+        first = np.empty(len(at), np.int64)
+        first[plain], first[whole] = np.cumsum(size) - size, len(ids) + np.cumsum(number[whole]) - number[whole]
+        pool, size = np.concatenate([ids, *others]), number[inverse]
+        out = pool[gather(first[inverse], size)]
+        bounds = np.append(0, np.cumsum(size))[np.append(words.first, len(words.starts))]
+        return [out[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _odd(flat: np.ndarray) -> np.ndarray:
+    """Bytes that no plain chunk has: of other letters, and those that begin a special token."""
+    before, after = np.append(np.uint8(0), flat[:-1]), np.append(flat[1:], np.uint8(0))
+    return np.where(flat < 0x80, (flat == ord("<")) & (after == ord("|")), ~((flat == 0xC3) & _SECOND[after] | (before == 0xC3) & _SECOND[flat]))
+
+
+def _within(marked: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each span has a marked byte."""
+    places = np.flatnonzero(marked)
+    return np.searchsorted(places, starts) < np.searchsorted(places, ends)
 
 
 _encoders: dict[str, ChunkIds] = {}

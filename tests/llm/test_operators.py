@@ -554,6 +554,23 @@ def test_packing_refuses_to_split_for_another_vocabulary(tmp_path):
     assert [x.tolist() for x in packing.ChunkIds(name).encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_encodes_parts_in_joined_strings(monkeypatch):
+    """The library's ids, with plain parts encoded once and many to a string, whatever a worker still keeps."""
+    tokenizers = pytest.importorskip("tokenizers")
+    name = path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(name)
+    odd = ["0 00 a0b 10.0", "it's I'LL x'", "ÀÉß×÷ÿ Ü", "e\u0301 İ ǅ 日本 \u00a0 \u0085z", "<| <|endoftext|>x a<b|c <", "|d \x00\x1c \x7f~", "", " \n"]
+    texts = odd + [" ".join(f"{a}{b}{c}," for a in "kmt" for b in "aeiou" for c in "rsxz") + f" {k}" for k in range(5)]
+    for kept in (4, 1000):
+        monkeypatch.setattr(packing, "KEPT_PARTS", kept)
+        own, sent = packing.ChunkIds(name), []
+        model = own.words
+        own.words = types.SimpleNamespace(encode_batch_fast=lambda many, model=model, sent=sent, **k: sent.append(len(many)) or model.encode_batch_fast(many, **k))
+        for part in (texts, texts[::-1]):
+            assert [x.tolist() for x in own.encode(pa.array(part))] == [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert sum(sent) <= 2 * (2 if kept == 4 else 1)
+
+
 def test_license_scan_equals_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     name = "/root/testdata/sf0.001/documents.parquet"
