@@ -14,14 +14,19 @@ from reelframe.sources.tables import table
 
 
 def _packed(frame: DataFrame, build: Callable[..., bytes]) -> DataFrame:
-    """key and content: a file's bytes built from the other columns."""
+    """key and content: a file's bytes built from the other columns.
+
+    The rows are dealt out by key first: a small table is one task's reading, but its files are much more work.
+    """
+    spark = frame.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, *columns = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in key], pa.string()), pa.array([build(*x) for x in zip(*columns, strict=True)], pa.binary())], ["file", "content"])
 
-    return frame.mapInArrow(rows, "file string, content binary")
+    return frame.repartition(tasks, frame.columns[0]).mapInArrow(rows, "file string, content binary")
 
 
 def _fields(files: DataFrame, kind: str, *names: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelframe.sources import bits, media, more, tags
 
@@ -151,3 +152,14 @@ def test_files_are_listed_and_streamed(spark, tmp_path):
     query.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).filter("kind = 'Image'").collect()
     assert {(r.format, r.fields["Width"]) for r in rows} == {("PNG", "640"), ("GIF", "10")}
+
+
+def test_built_files_are_dealt_out(spark, tmp_path):
+    """A table in a single file is still many tasks' work."""
+    from reelframe.plans import media as plans
+
+    spark.range(1, 401).selectExpr("id AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for query in (plans.q_mp3_header, plans.q_mp4_boxes):
+        got = query(spark, str(tmp_path))
+        assert got.count() == 400
+        assert got.select("file", F.spark_partition_id().alias("task")).groupBy("task").count().count() > 1
